@@ -36,7 +36,7 @@ def with_time_slices(
     slices: int = TIME_SLICES,
     floor: int = 100_000,
 ) -> DataFrame:
-    """Add `slice`: 0 for cold keys, 1..slices in time order for hot keys.
+    """Add `is_hot` and `slice`: 0 for cold keys, 1..slices in time order for hot keys.
 
     Slice borders are the time quantiles of all rows, so no slice of any key holds
     much more than 1/slices of the table, even when its rows come in bursts. The
@@ -52,5 +52,7 @@ def with_time_slices(
     return (
         rows.join(hot, key, "left")
         .withColumn("slice", F.coalesce(position, F.lit(0)))
+        # a filter on this flag turns the outer join into an inner one
+        .withColumn("is_hot", F.col("_borders").isNotNull())
         .drop("_borders")
     )

@@ -93,7 +93,7 @@ def bid_ledger(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     # hot auctions only: at most (1 / share) * slices rows
-    per_slice = parted.where("slice > 0").groupBy("auction_id", "slice").agg(
+    per_slice = parted.where("is_hot").groupBy("auction_id", "slice").agg(
         F.min("_rank").alias("_best")
     )
     slices_before = (
@@ -115,7 +115,7 @@ def bid_ledger(
     return (
         ledger.withColumn("accepted", accepted)
         .withColumn("reason", F.when(~F.col("accepted"), F.lit("not higher than the current bid")))
-        .drop("slice", "_rank", "_local", "_carried", "_prior")
+        .drop("slice", "is_hot", "_rank", "_local", "_carried", "_prior")
     )
 
 

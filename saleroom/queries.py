@@ -15,7 +15,10 @@ from saleroom.functions import text
 from saleroom.operators import auctions, listings, messaging, notify, quality, sales, users
 from saleroom.plans import changes, closing, conversations, trade
 from saleroom.sources.views import AS_OF, PURGE_AS_OF, Marketplace, with_views
-from saleroom.streaming import fanout
+from saleroom.streaming import bids as live_bids
+from saleroom.streaming import closing as live_closing
+from saleroom.streaming import fanout, inbox, mail, windows
+from saleroom.streaming.runner import replay, replay_updates
 
 Query = Callable[[Marketplace], DataFrame]
 
@@ -1237,3 +1240,105 @@ def decrypt_foreign_messages(m: Marketplace) -> DataFrame:
 """)
 def event_fanout(m: Marketplace) -> DataFrame:
     return fanout.fan_out(m["v_live_events"]).select("id", "event_name", "target")
+
+
+# ---- streaming jobs, replayed over the stored events ------------------------------------
+
+
+@query("stream_bids", f"""
+    SELECT id, auction_id, user_id, bid_amount, created_at,
+           CASE WHEN loser <> user_id THEN loser END AS outbid_user_id
+    FROM (SELECT *, lag(user_id) OVER (PARTITION BY auction_id ORDER BY created_at, id) AS loser
+          FROM ({_JUDGED}) j WHERE prior_amount IS NULL OR bid_amount > prior_amount) a
+""")
+def stream_bids(m: Marketplace) -> DataFrame:
+    return replay(live_bids.accept_bids(m.stream("events")["v_bids"]), "bids")
+
+
+# ends that the watermark (newest bid minus ten minutes) has passed
+_STREAM_CLOSE = f"""
+    SELECT e.auction_id, e.extensions, e.end_time, t.user_id, t.bid_amount, t.id AS bid_id, 'expired' AS reason,
+           'result' AS kind
+    FROM ({_EXTENDED}) e
+    JOIN (SELECT b.*, row_number() OVER (PARTITION BY b.auction_id ORDER BY b.bid_amount DESC, b.created_at, b.id) AS rn
+          FROM v_bids b JOIN ({_EXTENDED}) x ON x.auction_id = b.auction_id AND b.created_at < x.end_time) t
+      ON t.auction_id = e.auction_id AND t.rn = 1
+    WHERE e.end_time < (SELECT max(created_at) FROM v_bids) - INTERVAL 10 MINUTE
+    UNION ALL
+    SELECT b.auction_id, NULL, NULL, b.user_id, b.bid_amount, b.id, 
+           CASE WHEN x.auction_id IS NULL THEN 'unknown auction' ELSE 'after the end' END, 'dead-letter'
+    FROM v_bids b LEFT JOIN ({_EXTENDED}) x ON x.auction_id = b.auction_id
+    WHERE x.auction_id IS NULL OR b.created_at >= x.end_time
+"""
+
+
+@query("stream_auction_close", _STREAM_CLOSE)
+def stream_auction_close(m: Marketplace) -> DataFrame:
+    return replay(live_closing.close_auctions(m.stream("events")["v_bids"], m["v_snipe"]), "close")
+
+
+@query("stream_mail_throttle", _cooldown_sql("v_new_messages", 120))
+def stream_mail_throttle(m: Marketplace) -> DataFrame:
+    return replay(mail.throttle_mail(m.stream("events")["v_new_messages"]), "mail")
+
+
+@query("stream_inbox", """
+    SELECT conversation_id, max(sent_at) AS last_message_at, count(*) AS message_count,
+           count(CASE WHEN is_read = FALSE AND is_from_admin = FALSE THEN 1 END) AS unread_count
+    FROM v_messages GROUP BY conversation_id
+""")
+def stream_inbox(m: Marketplace) -> DataFrame:
+    live = inbox.live_inbox(m.stream("conversations")["v_messages"])
+    return replay_updates(live, ["conversation_id"], "inbox")
+
+
+@query("rate_limit_audit", """
+    SELECT coalesce(email, 'no-email') AS key, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS hits,
+           count(*) - 1 AS excess
+    FROM (SELECT ts, 'user' || CAST(user_id AS VARCHAR) || '@example.com' AS email FROM v_live_events) e
+    GROUP BY 1, 2 HAVING count(*) > 1
+""")
+def rate_limit_audit(m: Marketplace) -> DataFrame:
+    events = m.stream("events")["v_live_events"]
+    # NULL for the user without an id
+    email = F.concat(F.lit("User"), F.col("user_id").cast("string"), F.lit("@Example.com"))
+    hits = windows.hits_per_window(events, windows.email_key(email), "1 hour")
+    return windows.over_limit(replay_updates(hits, ["key", "window_start"], "rate"), 1)
+
+
+@query("typing_sessions", """
+    WITH marked AS (
+        SELECT *, CASE WHEN lag(ts) OVER u IS NULL OR lag(is_stop) OVER u
+                            OR ts > lag(ts) OVER u + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS begins
+        FROM v_typing WINDOW u AS (PARTITION BY user_id ORDER BY ts, id)),
+    bursts AS (
+        SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, id) AS burst FROM marked)
+    SELECT user_id, min(ts) AS started_at, max(ts) AS last_event_at, count(*) AS n_events,
+           CASE WHEN bool_or(is_stop) THEN 'stop' ELSE 'idle' END AS ended_by
+    FROM bursts GROUP BY user_id, burst
+    HAVING bool_or(is_stop)
+        OR burst < (SELECT max(b.burst) FROM bursts b WHERE b.user_id = bursts.user_id)
+        OR max(ts) + INTERVAL 30 MINUTE < (SELECT max(ts) FROM v_typing) - INTERVAL 10 MINUTE
+""")
+def typing_sessions(m: Marketplace) -> DataFrame:
+    return replay(windows.typing_sessions(m.stream("events")["v_typing"], gap_seconds=1800), "typing")
+
+
+@query("latest_status", """
+    SELECT key, status, changed_at, id
+    FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY changed_at DESC, id DESC) AS rn FROM v_status_changes) x
+    WHERE rn = 1
+""")
+def latest_status(m: Marketplace) -> DataFrame:
+    return inbox.replay_status(m.stream("events")["v_status_changes"])
+
+
+@query("message_routing", f"""
+    SELECT v.id, v.conversation_id, v.user_id, v.is_from_admin,
+           CASE WHEN v.is_from_admin THEN coalesce(r.recipient_id, v.user_id) ELSE {ADMIN_ID} END AS recipient_id
+    FROM v_messages v LEFT JOIN ({_REPLY_RECIPIENT}) r ON r.conversation_id = v.conversation_id
+""")
+def message_routing(m: Marketplace) -> DataFrame:
+    live = m.stream("conversations")["v_messages"].drop("message_content")
+    routed = messaging.route(live, messaging.reply_recipient(m["v_messages"]), ADMIN_ID)
+    return replay(routed.select("id", "conversation_id", "user_id", "is_from_admin", "recipient_id"), "routing")

@@ -174,6 +174,10 @@ VIEWS = {
                user_id, ts AS created_at
         FROM events WHERE event_type = 'purchase'
     """,
+    # typing events; a purchase ends the burst
+    "v_typing": """
+        SELECT event_id AS id, user_id, ts, event_type = 'purchase' AS is_stop FROM events
+    """,
     # status changes of a sale or message, keyed by user
     "v_status_changes": """
         SELECT event_id AS id, user_id AS key, event_type AS status, ts AS changed_at FROM events
