@@ -17,23 +17,27 @@ def assign(new: DataFrame, messages: DataFrame) -> DataFrame:
     which the users first write. A later message of a new user joins that conversation
     (also when the batch names one for an earlier message of the user).
     """
-    given = F.col("conversation_id") if "conversation_id" in new.columns else F.lit(None).cast("bigint")
+    has_given = "conversation_id" in new.columns
+    given = F.col("conversation_id") if has_given else F.lit(None).cast("bigint")
     rows = new.withColumn("_given", F.nullif(given, F.lit(0)))
     known = first_conversation(messages).withColumnRenamed("conversation_id", "_known")
     rows = rows.drop("conversation_id").join(known, "user_id", "left")
 
-    homeless = rows.where(F.col("_known").isNull())
     # one row per new user; the earliest message decides
-    first = homeless.groupBy("user_id").agg(
+    first = rows.where(F.col("_known").isNull()).groupBy("user_id").agg(
         F.min(F.struct("sent_at", "id", "_given")).alias("_first")
     ).select("user_id", F.col("_first.sent_at").alias("_at"), F.col("_first._given").alias("_named"))
+    unnamed = first.where(F.col("_named").isNull()) if has_given else first
     top = _highest(messages, new)
-    opened = numbered(first.where(F.col("_named").isNull()), ["_at", "user_id"], "_n").select(
+    opened = numbered(unnamed.select("user_id", "_at"), ["_at", "user_id"], "_n").select(
         "user_id", (top + F.col("_n")).alias("_opened")
     )
-    named = first.where(F.col("_named").isNotNull()).select("user_id", F.col("_named").alias("_opened"))
+    if has_given:
+        opened = opened.unionByName(
+            first.where(F.col("_named").isNotNull()).select("user_id", F.col("_named").alias("_opened"))
+        )
     return (
-        rows.join(opened.unionByName(named), "user_id", "left")
+        rows.join(opened, "user_id", "left")
         .withColumn("conversation_id", F.coalesce("_given", "_known", "_opened"))
         .drop("_given", "_known", "_opened")
     )
