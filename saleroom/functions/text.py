@@ -109,5 +109,5 @@ def is_digits(text: Column) -> Column:
 
 
 def truthy(value: Column) -> Column:
-    """JavaScript truthiness of a number: neither NULL nor zero."""
-    return F.coalesce(value != 0, F.lit(False))
+    """A number, or a text that reads as one, which is neither missing nor zero."""
+    return F.coalesce(value.try_cast("decimal(38,10)") != 0, F.lit(False))

@@ -35,6 +35,9 @@ def sale_rules() -> dict[str, Column]:
         "buyer_email is required": F.coalesce("buyer_email", F.lit("")) != "",
         "post_id is required": truthy(F.col("post_id")),
         "price is required": truthy(F.col("price")),
+        "price is too large": F.col("price").isNull()
+        | F.col("price").try_cast("decimal(10,2)").isNotNull()
+        | ~truthy(F.col("price")),
     }
 
 
