@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from saleroom.session import ensure_checkpoint_dir
 
 
+def pinned(rows: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder: computed once, safe to read many times."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint(eager=True)
+
+
 def numbered(rows: DataFrame, order: list[str | Column], name: str = "n") -> DataFrame:
     """Add `name` = 1, 2, 3, … following `order` (which must be total).
 
@@ -15,22 +21,20 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str = "n") -> Dat
     folder: that pins each row to its partition, so the two reads below (partition
     sizes, then the rows) agree even if an executor is lost between them.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    pinned = (
-        rows.sort(*order)
-        .checkpoint(eager=True)
+    fixed = (
+        pinned(rows.sort(*order))
         .withColumn("_part", F.spark_partition_id())
         # partition number in the high bits, row position in the low 33 bits
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
     # one row per partition: small by construction
-    sizes = pinned.groupBy("_part").agg(F.count("*").alias("_size"))
+    sizes = fixed.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
     return (
-        pinned.join(F.broadcast(offsets), "_part")
+        fixed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + F.col("_pos") + 1)
         .drop("_part", "_pos", "_offset")
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# Every global sort below ends with an id: the order is then total, and a range
+# partition never has to hold all rows that share one timestamp.
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 

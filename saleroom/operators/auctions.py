@@ -16,7 +16,7 @@ EXTENSION_SECONDS = 300
 
 def by_end_time(auctions: DataFrame) -> DataFrame:
     """All auctions, closed ones too, latest end first."""
-    return auctions.orderBy(newest("end_time"))
+    return auctions.orderBy(newest("end_time"), "id")
 
 
 def expired(auctions: DataFrame, as_of: str) -> DataFrame:
@@ -42,7 +42,7 @@ def bid_history(bids: DataFrame) -> DataFrame:
 def user_bids(bids: DataFrame, user_id: int | None = None) -> DataFrame:
     """Bids of one user, or by user, newest first."""
     if user_id is not None:
-        return bids.where(F.col("user_id") == user_id).orderBy(newest("created_at"))
+        return bids.where(F.col("user_id") == user_id).orderBy(newest("created_at"), "id")
     return bids.orderBy("user_id", newest("created_at"), "id")
 
 
@@ -209,14 +209,14 @@ def _wins(results: DataFrame, auctions: DataFrame) -> DataFrame:
 
 def user_wins(results: DataFrame, auctions: DataFrame) -> DataFrame:
     """Results with a winner and their auction, newest first; a NULL paid flag is unpaid."""
-    return _wins(results, auctions).orderBy(newest("closed_at"))
+    return _wins(results, auctions).orderBy(newest("closed_at"), "id")
 
 
 def for_admin(auctions: DataFrame, results: DataFrame) -> DataFrame:
     """All auctions with payment and tracking where a result exists, latest end first."""
     extra = [c for c in ("is_paid", "tracking_number") if c in results.columns]
     paid = results.select(F.col("auction_id").alias("id"), *extra)
-    return auctions.join(paid, "id", "left").orderBy(newest("end_time"))
+    return auctions.join(paid, "id", "left").orderBy(newest("end_time"), "id")
 
 
 def bids_with_profile(bids: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def bids_with_profile(bids: DataFrame, profiles: DataFrame) -> DataFrame:
     others = [c for c in profiles.columns if c != "user_id"]
     nested = profiles.select("user_id", F.struct("user_id", *others).alias("user"))
     return bids.join(nested, "user_id", "left").orderBy(
-        "auction_id", newest("bid_amount"), "created_at"
+        "auction_id", newest("bid_amount"), "created_at", "id"
     )
 
 

@@ -16,7 +16,7 @@ def _shown() -> Column:
 
 def visible(listings: DataFrame) -> DataFrame:
     """Listings that are neither hidden nor deleted, newest first."""
-    return listings.where(_shown()).orderBy(newest("created_at"))
+    return listings.where(_shown()).orderBy(newest("created_at"), newest("id"))
 
 
 def _matches(term: str | Column) -> Column:
@@ -34,7 +34,7 @@ def search(listings: DataFrame, term: str) -> DataFrame:
 
     Case-insensitive; `%` and `_` in the term act as wildcards.
     """
-    return listings.where(_shown() & _matches(term)).orderBy(newest("created_at"))
+    return listings.where(_shown() & _matches(term)).orderBy(newest("created_at"), newest("id"))
 
 
 def search_terms(listings: DataFrame, terms: list[str]) -> DataFrame:
@@ -56,8 +56,8 @@ def missing(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
 def by_author(listings: DataFrame, author_id: int | None = None) -> DataFrame:
     """Listings of one author, or of every author, newest first."""
     if author_id is not None:
-        return listings.where(F.col("author_id") == author_id).orderBy(newest("created_at"))
-    return listings.orderBy(F.col("author_id"), newest("created_at"))
+        return listings.where(F.col("author_id") == author_id).orderBy(newest("created_at"), newest("id"))
+    return listings.orderBy("author_id", newest("created_at"), newest("id"))
 
 
 def cards(listings: DataFrame, images: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def cards(listings: DataFrame, images: DataFrame) -> DataFrame:
         F.min_by("image_url", "id").alias("fallback_image_url")
     )
     return (
-        listings.where(_shown()).join(first, "id", "left").orderBy(newest("created_at"))
+        listings.where(_shown()).join(first, "id", "left").orderBy(newest("created_at"), newest("id"))
     )
 
 

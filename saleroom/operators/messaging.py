@@ -64,7 +64,7 @@ def inbox_summary(messages: DataFrame, users: DataFrame, profiles: DataFrame) ->
         .join(participants(messages), "conversation_id")
         .join(who, "user_id")
         .join(faces, "user_id", "left")
-        .orderBy(newest("last_message_at"))
+        .orderBy(newest("last_message_at"), "conversation_id", "user_id")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from saleroom.functions import text
 from saleroom.functions.ordering import newest
 from saleroom.functions.time import epoch_micros, interval, ntz
-from saleroom.session import ensure_checkpoint_dir
+from saleroom.session import scratch_path
 
 # Minutes between two mails of a kind, days a notification is kept.
 ITEM_COOLDOWN_MINUTES = 120
@@ -28,7 +28,7 @@ SITE = "https://shop.example"
 
 def unread(notifications: DataFrame) -> DataFrame:
     """Unread notifications, newest first."""
-    return notifications.where(~F.col("is_read")).orderBy(newest("created_at"))
+    return notifications.where(~F.col("is_read")).orderBy(newest("created_at"), newest("id"))
 
 
 def unread_badges(notifications: DataFrame, messages: DataFrame) -> DataFrame:
@@ -125,19 +125,16 @@ def mail_after_cooldown(
             .where(F.col("_last").isNull() | (F.col("_last") + interval("MINUTE", minutes) < F.col(at)))
             .drop("_last")
         )
-    times = arrivals.select(key, epoch_micros(F.col(at)).alias("_t")).distinct()
-    sizes = times.groupBy(key).agg(F.count("*").alias("_n"))
+    sizes = arrivals.groupBy(key).agg(F.count("*").alias("_n"))
     big = sizes.where(F.col("_n") > max_in_memory).select(key)
-    epoch = ntz("1970-01-01 00:00:00")
-
-    def as_time(df: DataFrame) -> DataFrame:
-        return df.select(key, F.timestamp_add("MICROSECOND", F.col("_t"), epoch).alias(at))
-
+    times = arrivals.select(key, epoch_micros(F.col(at)).alias("_t")).distinct()
     if big.isEmpty():
-        return as_time(_folded(times, key, gap))
-    small = times.join(big, key, "left_anti")
-    large = times.join(big, key, "left_semi")
-    return as_time(_folded(small, key, gap).unionByName(_stepwise(large, key, gap)))
+        sent = _folded(times, key, gap)
+    else:
+        small = _folded(times.join(big, key, "left_anti"), key, gap)
+        sent = small.unionByName(_stepwise(times.join(big, key, "left_semi"), key, gap))
+    epoch = ntz("1970-01-01 00:00:00")
+    return sent.select(key, F.timestamp_add("MICROSECOND", F.col("_t"), epoch).alias(at))
 
 
 def _folded(times: DataFrame, key: str, gap: int) -> DataFrame:
@@ -152,30 +149,35 @@ def _stepwise(times: DataFrame, key: str, gap: int) -> DataFrame:
     """The same for keys too large for one row: one pass in slots as long as the gap.
 
     Two mails are more than a gap apart, so a slot yields at most one per key: the
-    minimum of the slot's times beyond the key's last mail plus the gap. Each slot is
-    read once and aggregated map-side. The loop is as long as the period divided by
-    the gap, and the state is one row per large key, checkpointed at every step.
+    minimum of the slot's times beyond the key's last mail plus the gap. The times are
+    written once, one folder per slot, so every step reads its own slot only and
+    aggregates it map-side. The state, one row per large key, is a small table written
+    anew at every step. The number of steps is the period divided by the gap.
     """
     spark = times.sparkSession
-    ensure_checkpoint_dir(spark)
-    slotted = times.withColumn("_slot", F.expr(f"(_t - pmod(_t, {gap}L)) div {gap}L"))
-    slotted = slotted.repartitionByRange("_slot", "_t").checkpoint()
-    # bounded by the length of the period, not by the number of rows
-    slots = [r[0] for r in slotted.select("_slot").distinct().orderBy("_slot").toLocalIterator()]
-    state: DataFrame | None = None
-    sent: list[DataFrame] = []
-    for slot in slots:
-        rows = slotted.where(F.col("_slot") == slot)
-        if state is not None:
-            last = state.select(key, F.col("_t").alias("_last"))
-            rows = rows.join(last, key, "left").where(
+    base = scratch_path(spark, "cooldown")
+    slot = F.expr(f"(_t - pmod(_t, {gap}L)) div {gap}L")
+    times.withColumn("_slot", slot).repartitionByRange("_slot", "_t").write.partitionBy(
+        "_slot"
+    ).parquet(f"{base}/times")
+    slotted = spark.read.parquet(f"{base}/times")
+    # folder names, as many as the period has slots
+    slots = sorted(r[0] for r in slotted.select("_slot").distinct().collect())
+    previous: DataFrame | None = None
+    for number in slots:
+        rows = slotted.where(F.col("_slot") == number).select(key, "_t")
+        if previous is not None:
+            rows = rows.join(previous.withColumnRenamed("_t", "_last"), key, "left").where(
                 F.col("_last").isNull() | (F.col("_t") - F.col("_last") > gap)
             )
-        step = rows.groupBy(key).agg(F.min("_t").alias("_t")).checkpoint()
-        sent.append(step)
-        latest = step if state is None else state.unionByName(step)
-        state = latest.groupBy(key).agg(F.max("_t").alias("_t")).checkpoint()
-    return functools.reduce(DataFrame.unionByName, sent)
+        state = rows.groupBy(key).agg(F.min("_t").alias("_t"))
+        if previous is not None:
+            state = previous.unionByName(state).groupBy(key).agg(F.max("_t").alias("_t"))
+        path = f"{base}/state/step={number}"
+        state.write.parquet(path)
+        previous = spark.read.schema(state.schema).parquet(path)
+    # a key's last mail stays in the state until the next one: distinct states are the mails
+    return spark.read.parquet(f"{base}/state").select(key, "_t").distinct()
 
 
 # ---- delivery ---------------------------------------------------------------------------

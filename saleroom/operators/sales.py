@@ -30,7 +30,7 @@ def report(
         sales.join(items, "post_id")
         .join(buyers, "buyer_id")
         .join(names, "buyer_id")
-        .orderBy(newest("created_at"))
+        .orderBy(newest("created_at"), "id")
     )
 
 
@@ -44,8 +44,8 @@ def buyer_sales(sales: DataFrame, listings: DataFrame, buyer_id: int | None = No
     )
     if buyer_id is not None:
         sales = sales.where(F.col("buyer_id") == buyer_id)
-        return sales.join(items, "post_id").orderBy(newest("created_at"))
-    return sales.join(items, "post_id").orderBy("buyer_id", newest("created_at"))
+        return sales.join(items, "post_id").orderBy(newest("created_at"), "id")
+    return sales.join(items, "post_id").orderBy("buyer_id", newest("created_at"), "id")
 
 
 def outstanding_by_buyer(sales: DataFrame) -> DataFrame:

@@ -15,13 +15,13 @@ def by_profile_date(users: DataFrame, profiles: DataFrame) -> DataFrame:
     dates = profiles.select(
         F.col("user_id").alias("id"), F.col("created_at").alias("profile_created_at")
     )
-    return users.join(dates, "id", "left").orderBy(newest("profile_created_at"))
+    return users.join(dates, "id", "left").orderBy(newest("profile_created_at"), "id")
 
 
 def addresses_by_user(addresses: DataFrame, user_id: int | None = None) -> DataFrame:
     """Addresses of one user, or by user, newest first."""
     if user_id is not None:
-        return addresses.where(F.col("user_id") == user_id).orderBy(newest("created_at"))
+        return addresses.where(F.col("user_id") == user_id).orderBy(newest("created_at"), newest("id"))
     return addresses.orderBy("user_id", newest("created_at"), newest("id"))
 
 

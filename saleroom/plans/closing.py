@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saleroom.functions.ids import pinned
 from saleroom.functions.time import ntz
 from saleroom.operators.auctions import expired, top_bid
 from saleroom.plans.conversations import assign
@@ -63,6 +64,14 @@ def deactivate(auctions: DataFrame, closed: DataFrame, as_of: str) -> DataFrame:
     ])
 
 
+def due_auctions(auctions: DataFrame, results: DataFrame | None, as_of: str) -> DataFrame:
+    """Ids (auction_id) of the auctions to close: active, past their end, without a result."""
+    due = expired(auctions, as_of).select(F.col("id").alias("auction_id"))
+    if results is not None:
+        due = due.join(results.select("auction_id"), "auction_id", "left_anti")
+    return due
+
+
 def expired_results(
     auctions: DataFrame, bids: DataFrame, results: DataFrame | None, as_of: str
 ) -> DataFrame:
@@ -70,13 +79,10 @@ def expired_results(
 
     Auctions that already have a result are left alone, so a repeated run adds nothing.
     """
-    due = expired(auctions, as_of).select(F.col("id").alias("auction_id"))
-    if results is not None:
-        due = due.join(results.select("auction_id"), "auction_id", "left_anti")
     best = top_bid(bids).select(
         "auction_id", F.col("user_id").alias("winner_id"), F.col("bid_amount").alias("final_bid")
     )
-    return due.join(best, "auction_id", "left").select(
+    return due_auctions(auctions, results, as_of).join(best, "auction_id", "left").select(
         "auction_id", "winner_id", "final_bid",
         ntz(as_of).alias("closed_at"), F.lit("expired").alias("closed_reason"),
         F.lit(False).alias("is_paid"),
@@ -98,12 +104,20 @@ def close_expired(
     as_of: str,
     results: DataFrame | None = None,
     text: str = WIN_TEXT,
+    pin: bool = False,
 ) -> Closing:
-    """Close every active auction whose end has passed."""
+    """Close every active auction whose end has passed.
+
+    `pin` checkpoints the new results, so that a job which writes all outputs ranks the
+    bids once.
+    """
     new_results = expired_results(auctions, bids, results, as_of)
-    due = expired(auctions, as_of).select(F.col("id").alias("auction_id"))
+    closed = due_auctions(auctions, results, as_of)
+    if pin:
+        new_results = pinned(new_results)
+        closed = new_results
     return Closing(
-        auctions=deactivate(auctions, due, as_of),
+        auctions=deactivate(auctions, closed, as_of),
         results=new_results,
         notifications=won_notifications(new_results, as_of),
         messages=win_messages(new_results, messages, as_of, text),
@@ -149,6 +163,7 @@ def buy_now(
     as_of: str,
     results: DataFrame | None = None,
     text: str = WIN_TEXT,
+    pin: bool = False,
 ) -> Closing:
     """Sell active auctions at their buy-now price to the first request each.
 
@@ -156,6 +171,8 @@ def buy_now(
     the buyer's highest-numbered conversation (the expiry sweep uses the first one).
     """
     sold = buy_now_sales(auctions, requests, results)
+    if pin:
+        sold = pinned(sold)
     new_results = buy_now_results(sold)
     last_conversation = messages.groupBy("user_id").agg(
         F.max("conversation_id").alias("conversation_id")

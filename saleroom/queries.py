@@ -64,7 +64,7 @@ def scan_profiles(m: Marketplace) -> DataFrame:
 
 @query("scan_addresses", "SELECT * FROM v_addresses")
 def scan_addresses(m: Marketplace) -> DataFrame:
-    return m["v_addresses"].orderBy(F.col("created_at").desc_nulls_first())
+    return m["v_addresses"].orderBy(F.col("created_at").desc_nulls_first(), "id")
 
 
 @query("inventory_export", """
@@ -875,7 +875,7 @@ def close_expired_auctions(m: Marketplace) -> DataFrame:
     SELECT id, title, end_time, is_active AND end_time > :as_of AS is_active FROM v_auctions
 """)
 def close_expired_snapshot(m: Marketplace) -> DataFrame:
-    due = auctions.expired(m["v_auctions"], AS_OF).select(F.col("id").alias("auction_id"))
+    due = closing.due_auctions(m["v_auctions"], m["v_results"], AS_OF)
     return closing.deactivate(m["v_auctions"], due, AS_OF).select("id", "title", "end_time", "is_active")
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from saleroom.functions.ids import pinned
 from saleroom.functions.time import epoch_micros
 from saleroom.operators.auctions import EXTENSION_SECONDS, EXTENSION_WINDOW_SECONDS
-from saleroom.session import ensure_checkpoint_dir
 
 STATE = (
     "end_us BIGINT, extensions BIGINT, amount INT, at_us BIGINT, bid_id BIGINT, user_id BIGINT, "
@@ -125,11 +125,9 @@ def close_auctions(
         .select("id", "auction_id", "user_id", "bid_amount", "event_time",
                 epoch_micros(F.col("created_at")).alias("at_us"))
     )
-    # pinned: the first micro-batch reads it once per state partition
-    ensure_checkpoint_dir(bids.sparkSession)
-    start = open_auctions.where("is_active").select(
+    start = pinned(open_auctions.where("is_active").select(
         F.col("id").alias("auction_id"), epoch_micros(F.col("end_time")).alias("end_us")
-    ).checkpoint()
+    ))
     out = keyed.groupBy("auction_id").transformWithStateInPandas(
         AuctionCloser(window_seconds, step_seconds), OUTPUT, "Append", "EventTime",
         start.groupBy("auction_id"),

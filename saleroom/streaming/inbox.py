@@ -38,18 +38,27 @@ def last_per_key(changes: DataFrame) -> DataFrame:
     )
 
 
-def maintain_status(changes: DataFrame, store: SnapshotStore, checkpoint: str, table: str = "status"):
+def read_status(store: SnapshotStore, table: str = "status") -> DataFrame:
+    """The status table: the newest row per key over its folders."""
+    return last_per_key(store.read(table))
+
+
+def maintain_status(
+    changes: DataFrame, store: SnapshotStore, checkpoint: str, table: str = "status", compact_after: int = 50
+):
     """Start the job that keeps a status table up to date: one commit per micro-batch.
 
-    Merging takes the newest of the old and the new row, so repeating a batch after a
-    failure changes nothing.
+    A micro-batch adds its newest row per key as one more folder; after `compact_after`
+    folders the table is rewritten as one. Readers take the newest row per key, so
+    repeating a batch after a failure changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         fresh = last_per_key(batch)
-        if table in store.tables():
-            fresh = last_per_key(store.read(table).unionByName(fresh))
-        store.commit({table: fresh})
+        if len(store.manifest().get(table, [])) < compact_after:
+            store.commit(append={table: fresh})
+        else:
+            store.commit({table: last_per_key(store.read(table).unionByName(fresh))})
 
     return (
         unique_changes(changes)
@@ -67,4 +76,4 @@ def replay_status(changes: DataFrame) -> DataFrame:
     out = scratch_path(spark, "status")
     store = SnapshotStore(spark, f"{out}/tables")
     maintain_status(changes, store, f"{out}/checkpoint").awaitTermination()
-    return store.read("status")
+    return read_status(store)

@@ -128,7 +128,7 @@ def test_an_empty_message_gets_a_stand_in(people, frame):
 
 
 def test_badges_and_unread(frame):
-    notes = frame("user_id BIGINT, is_read BOOLEAN, created_at TIMESTAMP_NTZ", (1, False, at(1)), (1, False, at(2)), (2, True, at(3)))
+    notes = frame("id BIGINT, user_id BIGINT, is_read BOOLEAN, created_at TIMESTAMP_NTZ", (1, 1, False, at(1)), (2, 1, False, at(2)), (3, 2, True, at(3)))
     talk = frame("user_id BIGINT, is_read BOOLEAN, is_from_admin BOOLEAN", (1, False, False), (3, False, False), (3, None, False), (4, False, True))
     assert tuples(notify.unread_badges(notes, talk), "user_id", "unread_notifications", "unread_messages") == [(1, 2, 1), (3, 0, 1)]
     assert [str(r.created_at) for r in notify.unread(notes).collect()] == [at(2), at(1)]
