@@ -43,16 +43,25 @@ def with_time_slices(
     borders are one scalar subquery: a pure function of the row once it has run,
     so a recomputed task assigns the same slices.
     """
-    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    borders = rows.agg(F.percentile_approx(epoch_micros(F.col(at)), steps, 10 * slices)).scalar()
+    if slices & (slices - 1):
+        raise ValueError("the number of slices must be a power of two")
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    borders = rows.agg(F.percentile_approx(epoch_micros(F.col(at)), shares, 10 * slices)).scalar()
     # the borders travel with the (at most 1/share) hot keys
     hot = F.broadcast(hot_keys(rows, key, share, floor).withColumn("_borders", borders))
-    passed = F.filter("_borders", lambda border: border <= epoch_micros(F.col(at)))
-    position = F.when(F.col("_borders").isNotNull(), F.size(passed) + 1)
-    return (
+    parted = (
         rows.join(hot, key, "left")
-        .withColumn("slice", F.coalesce(position, F.lit(0)))
         # a filter on this flag turns the outer join into an inner one
         .withColumn("is_hot", F.col("_borders").isNotNull())
-        .drop("_borders")
+        .withColumn("_at", F.when(F.col("is_hot"), epoch_micros(F.col(at))))
+        .withColumn("slice", F.when(F.col("is_hot"), 0))
     )
+    # binary search for the number of borders passed; NULL all the way for cold keys
+    step = slices // 2
+    while step:
+        border = F.get("_borders", F.col("slice") + (step - 1))
+        parted = parted.withColumn(
+            "slice", F.col("slice") + F.when(border <= F.col("_at"), step).otherwise(0)
+        )
+        step //= 2
+    return parted.withColumn("slice", F.coalesce(F.col("slice") + 1, F.lit(0))).drop("_borders", "_at")

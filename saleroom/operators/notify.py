@@ -109,7 +109,7 @@ def mail_after_cooldown(
     at: str = "sent_at",
     minutes: int = ITEM_COOLDOWN_MINUTES,
     last_mails: DataFrame | None = None,
-    max_in_memory: int = 200_000,
+    max_in_memory: int = 1_000_000,
 ) -> DataFrame:
     """The arrivals that lead to a mail: the first, then each first one after the cooldown.
 
