@@ -45,23 +45,26 @@ def with_time_slices(
     """
     if slices & (slices - 1):
         raise ValueError("the number of slices must be a power of two")
-    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    borders = rows.agg(F.percentile_approx(epoch_micros(F.col(at)), shares, 10 * slices)).scalar()
+    shares = ", ".join(f"{i / slices}D" for i in range(1, slices))
+    borders = (
+        rows.select(epoch_micros(F.col(at)).alias("_at"))
+        .agg(F.expr(f"percentile_approx(_at, array({shares}), {10 * slices})"))
+        .scalar()
+    )
     # the borders travel with the (at most 1/share) hot keys
     hot = F.broadcast(hot_keys(rows, key, share, floor).withColumn("_borders", borders))
-    parted = (
+    # binary search for the number of borders passed; NULL all the way for cold keys
+    search = ["CASE WHEN is_hot THEN 0 END AS _p0"]
+    step, n = slices // 2, 0
+    while step:
+        passed = f"CASE WHEN get(_borders, _p{n} + {step - 1}) <= _at THEN {step} ELSE 0 END"
+        search.append(f"_p{n} + {passed} AS _p{n + 1}")
+        step, n = step // 2, n + 1
+    return (
         rows.join(hot, key, "left")
         # a filter on this flag turns the outer join into an inner one
         .withColumn("is_hot", F.col("_borders").isNotNull())
         .withColumn("_at", F.when(F.col("is_hot"), epoch_micros(F.col(at))))
-        .withColumn("slice", F.when(F.col("is_hot"), 0))
+        .selectExpr("*", *search)
+        .select(*rows.columns, "is_hot", F.expr(f"coalesce(_p{n} + 1, 0)").alias("slice"))
     )
-    # binary search for the number of borders passed; NULL all the way for cold keys
-    step = slices // 2
-    while step:
-        border = F.get("_borders", F.col("slice") + (step - 1))
-        parted = parted.withColumn(
-            "slice", F.col("slice") + F.when(border <= F.col("_at"), step).otherwise(0)
-        )
-        step //= 2
-    return parted.withColumn("slice", F.coalesce(F.col("slice") + 1, F.lit(0))).drop("_borders", "_at")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleroom.functions.ordering import newest
-from saleroom.functions.text import is_blank
+from saleroom.functions.text import is_blank, url_key
 from saleroom.functions.time import ntz
 
 
@@ -50,6 +50,17 @@ def directory(users: DataFrame, profiles: DataFrame, addresses: DataFrame) -> Da
     return users.join(nested_profile, "id", "left").join(nested_address, "id", "left")
 
 
+def replaced_images(profiles: DataFrame, changes: DataFrame) -> DataFrame:
+    """Storage keys of profile images that a (user_id, image_url) change replaces."""
+    new = changes.select("user_id", F.col("image_url").alias("_new"))
+    old = profiles.select("user_id", "image_url").where(F.coalesce("image_url", F.lit("")) != "")
+    return (
+        old.join(new, "user_id")
+        .where(~F.col("image_url").eqNullSafe(F.col("_new")))
+        .select("user_id", "image_url", url_key(F.col("image_url")).alias("storage_key"))
+    )
+
+
 def address_class() -> Column:
     """'none', 'partial' or 'complete', from street, city, state and postal code."""
     filled = [~is_blank(F.col(c)) for c in ("address_line1", "city", "state", "postal_code")]

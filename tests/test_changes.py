@@ -265,3 +265,9 @@ def test_partial_addresses(frame):
     rows = frame("id BIGINT, address_line1 STRING, city STRING, state STRING, postal_code STRING",
                  (1, "a", "b", "c", "d"), (2, "a", " ", "c", None), (3, "", None, " ", " "))
     assert tuples(users.address_quality(rows), "id", "quality") == [(1, "complete"), (2, "partial"), (3, "none")]
+
+
+def test_replaced_profile_images(frame):
+    old = frame("user_id BIGINT, image_url STRING", (1, "http://h/a.jpg"), (2, "http://h/b.jpg"), (3, None), (4, "http://h/d.jpg"))
+    new = frame("user_id BIGINT, image_url STRING", (1, "http://h/new.jpg"), (2, "http://h/b.jpg"), (3, "http://h/c.jpg"))
+    assert tuples(users.replaced_images(old, new), "user_id", "storage_key") == [(1, "a.jpg")]
