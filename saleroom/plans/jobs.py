@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from saleroom.functions.ids import with_new_ids
+from saleroom.functions.time import ntz
 from saleroom.operators.auctions import outbid_notices
 from saleroom.plans import changes, closing, trade
+from saleroom.plans.conversations import assign
 from saleroom.sources.snapshots import SnapshotStore, empty_table
 
 
@@ -64,6 +66,31 @@ def record_outbids(store: SnapshotStore, as_of: str) -> int:
     )
 
 
+def post_messages(store: SnapshotStore, new: DataFrame, as_of: str) -> int:
+    """Add a batch of (id, user_id, message_content, …) messages, each in its conversation.
+
+    `id` orders the batch; the stored rows get ids of their own. A `sent_at` or
+    `conversation_id` in the batch is respected.
+    """
+    if "sent_at" not in new.columns:
+        new = new.withColumn("sent_at", ntz(as_of))
+    placed = assign(new, _table(store, "messages")).withColumnRenamed("id", "_request")
+    return store.commit(
+        append={"messages": new_rows(store, "messages", placed, ["sent_at", "_request"], as_of)}
+    )
+
+
+def record_sales(store: SnapshotStore, requests: DataFrame, as_of: str) -> tuple[int, DataFrame]:
+    """Add the sales of valid requests and mark their listings; also returns the rejects."""
+    sales, listings, rejected = trade.record_sales(
+        requests, _table(store, "users"), _table(store, "listings"), as_of
+    )
+    version = store.commit(
+        {"listings": listings}, {"sales": new_rows(store, "sales", sales, ["request_id"], as_of)}
+    )
+    return version, rejected
+
+
 def swap_to_listings(store: SnapshotStore, auction_ids: DataFrame, as_of: str) -> int:
     """Turn auctions into listings with images; the auctions and what hangs on them go."""
     tables = {n: _table(store, n) for n in ("auctions", "bids", "notifications", "auction_results")}

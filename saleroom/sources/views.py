@@ -166,7 +166,7 @@ VIEWS = {
         SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'Lot ' || p_name END AS title,
                CASE WHEN p_size > 25 THEN NULL ELSE p_size * 2 END AS start_price,
                CASE WHEN p_partkey % 5 = 0 THEN FALSE ELSE NULL END AS is_active
-        FROM part WHERE p_partkey % 3 = 0
+        FROM part WHERE p_type <> 'LARGE'
     """,
     # buy-now requests
     "v_buy_now": """

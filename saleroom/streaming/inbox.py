@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saleroom.operators.messaging import conversation_totals
-from saleroom.session import configure, scratch_path
+from saleroom.session import configure, scratch_path, state_partitions
 from saleroom.sources.snapshots import SnapshotStore
 
 
@@ -60,14 +60,15 @@ def maintain_status(
         else:
             store.commit({table: last_per_key(store.read(table).unionByName(fresh))})
 
-    return (
-        unique_changes(changes)
-        .writeStream.outputMode("append")
-        .foreachBatch(merge)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with state_partitions(changes.sparkSession):
+        return (
+            unique_changes(changes)
+            .writeStream.outputMode("append")
+            .foreachBatch(merge)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def replay_status(changes: DataFrame) -> DataFrame:

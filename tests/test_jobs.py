@@ -68,3 +68,23 @@ def test_swap_moves_an_auction(store, frame):
     assert tuples(store.read("auctions"), "id") == [(2,), (3,)]
     assert store.read("bids").count() == 0 and store.read("notifications").count() == 0
     assert tuples(store.read("auction_results"), "auction_id") == [(3,)]
+
+
+def test_messages_are_posted_into_their_conversations(store, frame):
+    jobs.close_expired(store, NOW)  # user 8 now has conversation 1
+    batch = frame("id BIGINT, user_id BIGINT, message_content STRING, is_from_admin BOOLEAN", (5, 8, "thanks", None), (6, 9, "hello", None))
+    jobs.post_messages(store, batch, NOW)
+    assert tuples(store.read("messages"), "id", "conversation_id", "user_id", "is_read") == [
+        (1, 1, 8, False), (2, 1, 8, False), (3, 2, 9, False)
+    ]
+
+
+def test_sales_are_stored(spark, store, frame):
+    people = empty_table(spark, "users").unionByName(frame("id BIGINT, email STRING", (5, "five@x")), allowMissingColumns=True)
+    posts = empty_table(spark, "listings").unionByName(frame("id BIGINT, title STRING, sold BOOLEAN", (1, "x", False), (2, "y", False)), allowMissingColumns=True)
+    store.commit({"users": people, "listings": posts})
+    requests = frame("id BIGINT, post_id BIGINT, buyer_email STRING, price STRING", (1, 2, "five@x", "9.50"), (2, 1, "who@x", "1"))
+    _, rejected = jobs.record_sales(store, requests, NOW)
+    assert [(i, p, str(v), paid) for i, p, v, paid in tuples(store.read("sales"), "id", "post_id", "price", "is_paid")] == [(1, 2, "9.50", False)]
+    assert tuples(store.read("listings"), "id", "sold") == [(1, False), (2, True)]
+    assert tuples(rejected, "id", "reason") == [(2, "buyer not found")]
