@@ -32,12 +32,24 @@ BROADCAST = ("Spring & summer hours", 'We are open "late".\nSee <you> & yours so
 CATALOGUE: dict[str, tuple[Query, str | None]] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(
+    name: str, sql: str | None = None, money: tuple[str, ...] = ()
+) -> Callable[[Query], Query]:
+    """Register a query. `money` columns are decimals; both sides show them as doubles."""
+
     def register(build: Query) -> Query:
         if name in CATALOGUE:
             raise ValueError(f"query {name} is registered twice")
         filled = sql and sql.replace(":as_of", f"TIMESTAMP '{AS_OF}'")
-        CATALOGUE[name] = (build, filled and with_views(filled))
+        if filled and money:
+            shown = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in money)
+            filled = f"SELECT * REPLACE ({shown}) FROM ({filled}) AS amounts"
+
+        def shown_build(m: Marketplace) -> DataFrame:
+            result = build(m)
+            return result.withColumns({c: F.col(c).cast("double") for c in money}) if money else result
+
+        CATALOGUE[name] = (shown_build, filled and with_views(filled))
         return build
 
     return register
@@ -243,7 +255,7 @@ def bid_input_check(m: Marketplace) -> DataFrame:
                CASE WHEN coalesce(post_id, 0) = 0 THEN 'post_id is required' END,
                CASE WHEN coalesce(price, 0) = 0 THEN 'price is required' END) AS failed
     FROM v_sale_input
-""")
+""", money=("price",))
 def sale_input_check(m: Marketplace) -> DataFrame:
     return quality.check(m["v_sale_input"], quality.sale_rules()).select(
         "id", "post_id", "buyer_email", "price", F.array_join("failed", "; ").alias("failed")
@@ -330,7 +342,7 @@ def listing_cards(m: Marketplace) -> DataFrame:
            (f.first_name || ' ' || f.last_name) AS buyer_name
     FROM v_sales s JOIN v_posts p ON s.post_id = p.id
     JOIN v_users u ON s.buyer_id = u.id JOIN v_profiles f ON f.user_id = u.id
-""")
+""", money=("price",))
 def sales_report(m: Marketplace) -> DataFrame:
     return sales.report(m["v_sales"], m["v_posts"], m["v_users"], m["v_profiles"])
 
@@ -338,7 +350,7 @@ def sales_report(m: Marketplace) -> DataFrame:
 @query("buyer_sales", """
     SELECT s.*, p.title AS post_title, p.image_url AS post_image_url, p.price AS post_price
     FROM v_sales s JOIN v_posts p ON p.id = s.post_id
-""")
+""", money=("price",))
 def buyer_sales(m: Marketplace) -> DataFrame:
     return sales.buyer_sales(m["v_sales"], m["v_posts"])
 
@@ -390,7 +402,7 @@ def user_directory(m: Marketplace) -> DataFrame:
 @query("sale_buyer_resolution", """
     SELECT s.id, s.post_id, s.buyer_email, s.price, u.id AS buyer_id
     FROM v_sale_input s JOIN v_users u ON u.email = s.buyer_email
-""")
+""", money=("price",))
 def sale_buyer_resolution(m: Marketplace) -> DataFrame:
     return sales.resolve_buyers(m["v_sale_input"], m["v_users"])[0]
 
@@ -398,7 +410,7 @@ def sale_buyer_resolution(m: Marketplace) -> DataFrame:
 @query("sale_buyer_rejects", """
     SELECT s.* FROM v_sale_input s
     WHERE NOT EXISTS (SELECT 1 FROM v_users u WHERE u.email = s.buyer_email)
-""")
+""", money=("price",))
 def sale_buyer_rejects(m: Marketplace) -> DataFrame:
     return sales.resolve_buyers(m["v_sale_input"], m["v_users"])[1]
 
@@ -467,7 +479,7 @@ def delivery_totals(m: Marketplace) -> DataFrame:
 @query("inventory_totals", """
     SELECT category, count(*) AS n_items, CAST(sum(TRY_CAST(price AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total_value
     FROM v_posts GROUP BY category
-""")
+""", money=("total_value",))
 def inventory_totals(m: Marketplace) -> DataFrame:
     return listings.inventory_totals(m["v_posts"])
 
@@ -475,7 +487,7 @@ def inventory_totals(m: Marketplace) -> DataFrame:
 @query("outstanding_by_buyer", """
     SELECT buyer_id, count(*) AS n_unpaid, CAST(sum(price) AS DECIMAL(20,2)) AS outstanding
     FROM v_sales WHERE is_paid = FALSE GROUP BY buyer_id
-""")
+""", money=("outstanding",))
 def outstanding_by_buyer(m: Marketplace) -> DataFrame:
     return sales.outstanding_by_buyer(m["v_sales"])
 
@@ -813,7 +825,7 @@ _PAID = "SELECT id, created_at < TIMESTAMP '1998-01-01 00:00:00' AS is_paid FROM
     SELECT s.id, s.post_id, s.buyer_id, s.price, coalesce(c.is_paid, s.is_paid) AS is_paid, s.created_at,
            CASE WHEN c.is_paid THEN :as_of END AS paid_at
     FROM v_sales s LEFT JOIN ({_PAID}) c ON c.id = s.id
-""")
+""", money=("price",))
 def mark_paid(m: Marketplace) -> DataFrame:
     return changes.mark_paid(m["v_sales"], m.sql(_PAID), AS_OF)
 
@@ -967,7 +979,7 @@ _GOOD_SALES = """
 
 @query("record_sales", f"""
     SELECT *, CAST(NULL AS VARCHAR) AS tracking_number, FALSE AS is_paid, :as_of AS created_at FROM ({_GOOD_SALES}) g
-""")
+""", money=("price",))
 def record_sales(m: Marketplace) -> DataFrame:
     return _sales(m)[0]
 
@@ -999,7 +1011,7 @@ def record_sales_rejects(m: Marketplace) -> DataFrame:
                 THEN CAST(TRY_CAST(regexp_extract(price, '^\s*([+-]?[0-9]+(\.[0-9]*)?)', 1) AS DECIMAL(18,4))
                           * (100 - {DISCOUNT}) / 100 AS DECIMAL(18,4)) END AS discounted_price
     FROM v_posts
-""")
+""", money=("discounted_price",))
 def apply_discount(m: Marketplace) -> DataFrame:
     return trade.apply_discount(m["v_posts"], 1, DISCOUNT).select(
         "id", "price", "author_id", "original_price", "discounted_price"
@@ -1010,7 +1022,7 @@ def apply_discount(m: Marketplace) -> DataFrame:
     SELECT id, price, author_id, CASE WHEN author_id <> 1 THEN price END AS original_price,
            CASE WHEN author_id <> 1 THEN TRY_CAST(price AS DECIMAL(18,4)) END AS discounted_price
     FROM v_posts
-""")
+""", money=("discounted_price",))
 def undo_discount(m: Marketplace) -> DataFrame:
     discounted = m["v_posts"].withColumns({"original_price": F.col("price"), "discounted_price": F.col("price")})
     return trade.undo_discount(discounted, 1).select(
