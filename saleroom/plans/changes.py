@@ -222,5 +222,13 @@ def touch_mail_times(
 
 
 def purge_notifications(notifications: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """Keep notifications that are not older than the retention period."""
-    return notifications.where(F.col("created_at") >= ntz(as_of) - interval("DAY", days))
+    """Keep notifications that are not older than the retention period.
+
+    Where the table is stored in day folders (`created_date`), the expired days are not
+    even read.
+    """
+    cutoff = ntz(as_of) - interval("DAY", days)
+    kept = notifications.where(F.col("created_at") >= cutoff)
+    if "created_date" in notifications.columns:
+        kept = kept.where(F.col("created_date") >= cutoff.cast("date"))
+    return kept

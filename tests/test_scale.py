@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from saleroom import queries as catalogue
 from saleroom.operators import auctions, listings, messaging
+from saleroom.plans import changes
 from tests.conftest import SMALL
 
 # These run jobs while they are built (numbering, streams), so they are left out here.
@@ -109,3 +110,16 @@ def test_equal_timestamps_do_not_fill_one_range(spark, hot_thread):
         sizes = listings.visible(rows).groupBy(F.spark_partition_id()).count().collect()
         spread = listings.visible(rows).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert len(spread) >= 6 and max(r["count"] for r in spread) < 60_000, sizes
+
+
+def test_retention_skips_expired_days(spark, market, tmp_path):
+    path = str(tmp_path / "notifications")
+    market["v_notifications"].withColumn("created_date", F.col("created_at").cast("date")).write.partitionBy(
+        "created_date"
+    ).parquet(path)
+    stored = spark.read.parquet(path)
+    kept = changes.purge_notifications(stored, "2024-02-10 06:00:00")
+    line = next(x for x in plan(kept).splitlines() if x.startswith("PartitionFilters"))
+    assert "created_date" in line and ">= 2024-01-11" in line
+    plain = changes.purge_notifications(market["v_notifications"], "2024-02-10 06:00:00")
+    assert kept.count() == plain.count() > 0
