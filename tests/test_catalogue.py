@@ -5,11 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from saleroom import queries as catalogue
 from tests.compare import differences, duck
 from tests.conftest import SMALL
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = catalogue.spark_queries()
+ORACLE = catalogue.oracle_queries()
 
 
 @pytest.fixture(scope="module")
