@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleroom.llm import leaks, mixing, repeats, rules, simhash
-from saleroom.llm.tokens import table
+from saleroom.llm import language, leaks, mixing, quality, repeats, rules, simhash
+from saleroom.llm.tokens import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,25 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    context = quality.context_table(docs)
+    net = quality.learned(docs, table(spark, sf_dir, "labels"), context, allowed=~is_held_out(F.col("doc_id")))
+    return quality.scored(docs, context, net).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"), with_text=False).withColumnRenamed("kept", "kept_sha256")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learned_from(docs, allowed=language.training_rows())
+    return language.identified(docs, model).select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted"
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -93,7 +108,9 @@ FROM placed
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_language_id": op6_language_id,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
