@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleroom.llm import language, leaks, licenses, mixing, pages, quality, repeats, rules, simhash
+from saleroom.llm import language, leaks, licenses, lines, mixing, pages, quality, repeats, rules, simhash
 from saleroom.llm.tokens import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = lines.without_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return edited.select("doc_id", "_lines.n_lines", "_lines.n_dropped", "text")
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return licenses.licences(docs, licenses.learned(docs))
@@ -121,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
     "op8_license_scans": op8_license_scans,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,

@@ -37,13 +37,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saleroom.llm.packed import (
+    REPLY, SENT, SENT_SCHEMA, answered, bucket_of, dealt_out, first_seen, packed_places, received, replies_of, sent_table,
+)
 from saleroom.llm.tokens import CHUNK_BYTES, buffer_of, pieces, rolling, words_of
 
 WINDOW = 20
 # Text of one partition, on average, and entries of one bucket.
 PART_CHARS = 8_000_000
 BUCKET_WORDS = 2_500_000
-_FAR = 255
 
 
 @dataclass
@@ -79,53 +81,6 @@ class Part:
         return np.arange(len(self.hashes)) - np.repeat(self.first[:-1], np.diff(self.first))
 
 
-def first_seen(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by key and place, start of each run of equal keys in it, size of each run)."""
-    order = np.argsort(keys, kind="stable")
-    runs = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0])) if len(keys) else np.zeros(0, np.int64)
-    return order, runs, np.diff(np.append(runs, len(keys)))
-
-
-def packed_places(places: np.ndarray) -> tuple[bytes, bytes]:
-    """Rising places as one byte per step; steps of 255 and more go to a second array."""
-    steps = np.diff(places, prepend=0)
-    far = steps >= _FAR
-    return np.where(far, _FAR, steps).astype(np.uint8).tobytes(), steps[far].astype(np.uint32).tobytes()
-
-
-def unpacked_places(near: bytes, far: bytes) -> np.ndarray:
-    steps = np.frombuffer(near, np.uint8).astype(np.int64)
-    steps[steps == _FAR] = np.frombuffer(far, np.uint32)
-    return np.cumsum(steps)
-
-
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _dealt(bucket: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket.astype(np.uint32), kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b + 1] > cuts[b]]
-
-
-_SENT = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("near", pa.binary()), ("far", pa.binary()), ("keys", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary())])
-SENT = "bucket bigint, part bigint, near binary, far binary, keys binary, ids binary, runs binary"
-_REPLY = pa.schema([("part", pa.int64()), ("near", pa.binary()), ("far", pa.binary())])
-REPLY = "part bigint, near binary, far binary"
-
-
-def _replies(part: np.ndarray, places: np.ndarray) -> pa.Table:
-    """Rows per partition of the (part, place) pairs."""
-    rows = []
-    order = np.lexsort([places, part])
-    part, places = part[order], places[order]
-    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
-    for a, b in zip(cuts, cuts[1:]):
-        rows.append((int(part[a]), *packed_places(places[a:b])))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _REPLY.types)], schema=_REPLY) if rows else _REPLY.empty_table()
-
-
 def _blocks(part: Part, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the rolling block from each word, words where one starts), in documents that hold a window."""
     block = window // 2
@@ -147,35 +102,19 @@ def _send_blocks(window: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
         keys = (hashes[one] & np.uint64(0xFFFFFFFE)).astype(np.uint32) | anchored.astype(np.uint32)
         sent = [
             (b, number, *packed_places(one[pick]), keys[pick].tobytes(), None, None)
-            for b, pick in _dealt(_bucket(hashes[one], buckets), buckets)
+            for b, pick in dealt_out(bucket_of(hashes[one], buckets), buckets)
         ]
-        return _table(sent)
+        return sent_table(sent)
 
     return run
 
 
-def _table(sent: list[tuple]) -> pa.Table:
-    if not sent:
-        return _SENT.empty_table()
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*sent), _SENT.types)], schema=_SENT)
-
-
-def _received(rows: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, place, key) of every entry of a bucket."""
-    part, places, keys = [], [], []
-    for row in rows.select(["part", "near", "far", "keys"]).to_pylist():
-        places.append(unpacked_places(row["near"], row["far"]))
-        part.append(np.full(len(places[-1]), row["part"]))
-        keys.append(np.frombuffer(row["keys"], kind))
-    return np.concatenate(part), np.concatenate(places), np.concatenate(keys)
-
-
 def _hits(rows: pa.Table) -> pa.Table:
-    part, places, keys = _received(rows, np.uint32)
+    part, places, keys = received(rows, np.uint32)
     order, runs, sizes = first_seen(keys >> np.uint32(1))
     anchored = np.add.reduceat((keys & np.uint32(1))[order].astype(np.int64), runs) > 0
     hit = order[np.repeat((sizes > 1) & anchored, sizes)]
-    return _replies(part[hit], places[hit])
+    return replies_of(part[hit], places[hit])
 
 
 def _windows(part: Part, window: int) -> np.ndarray:
@@ -188,26 +127,19 @@ def _windows(part: Part, window: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _answered(replies: pa.Table) -> np.ndarray:
-    return np.concatenate(
-        [np.zeros(0, np.int64)]
-        + [unpacked_places(r["near"], r["far"]) for r in replies.select(["near", "far"]).to_pylist()]
-    )
-
-
 def _send_windows(window: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     block = window // 2
 
     def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return _SENT.empty_table()
+            return SENT_SCHEMA.emptysent_table()
         number = rows.column("part")[0].as_py()
         part = Part.of(rows)
         hashes, at = _blocks(part, window)
         hit = np.zeros(len(part.hashes) + 1, np.int64)
         order, _, sizes = first_seen(hashes[at])
         hit[at[order[np.repeat(sizes > 1, sizes)]]] = 1  # known here already
-        hit[_answered(replies)] = 1
+        hit[answered(replies)] = 1
         before = np.concatenate([[0], np.cumsum(hit)])
         starts = np.flatnonzero(part.inside(window))
         starts = starts[before[starts + window - block + 1] > before[starts]]
@@ -217,24 +149,24 @@ def _send_windows(window: int, buckets: int) -> Callable[[pa.Table, pa.Table], p
         starts, keys = starts[one], keys[one]
         owner = np.searchsorted(part.first, starts, "right") - 1
         sent = []
-        for b, pick in _dealt(_bucket(keys * np.uint64(0x9E3779B97F4A7C15), buckets), buckets):
+        for b, pick in dealt_out(bucket_of(keys * np.uint64(0x9E3779B97F4A7C15), buckets), buckets):
             runs = np.flatnonzero(np.diff(owner[pick], prepend=-1))
             counts = np.diff(np.append(runs, len(pick)))
             ids = part.ids[owner[pick][runs]]
             sent.append((b, number, *packed_places(starts[pick]), keys[pick].tobytes(), ids.astype(np.int64).tobytes(), counts.astype(np.uint32).tobytes()))
-        return _table(sent)
+        return sent_table(sent)
 
     return run
 
 
 def _later(rows: pa.Table) -> pa.Table:
-    part, places, keys = _received(rows, np.uint64)
+    part, places, keys = received(rows, np.uint64)
     ids = np.concatenate(
         [np.repeat(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["runs"], np.uint32)) for r in rows.select(["ids", "runs"]).to_pylist()]
     )
     order = np.lexsort([places, ids, keys])
     again = np.concatenate([[False], keys[order][1:] == keys[order][:-1]])
-    return _replies(part[order[again]], places[order[again]])
+    return replies_of(part[order[again]], places[order[again]])
 
 
 def _covered(part: Part, replies: pa.Table, window: int) -> np.ndarray:
@@ -243,7 +175,7 @@ def _covered(part: Part, replies: pa.Table, window: int) -> np.ndarray:
     again = np.ones(len(starts), bool)
     again[runs] = False
     edges = np.zeros(len(part.hashes) + 1, np.int64)
-    for found in (starts[order[again]], _answered(replies)):
+    for found in (starts[order[again]], answered(replies)):
         np.add.at(edges, found, 1)
         np.add.at(edges, found + window, -1)
     return np.cumsum(edges[:-1]) > 0
