@@ -27,7 +27,7 @@ SHARE = (3, 2)  # all sources together take 3/2 of all words
 MOST = 2
 NEWTON_STEPS = 12
 # Documents of one source in one sorted run, on average.
-RUN_ROWS = 20_000
+RUN_ROWS = 2_000
 BROADCAST_SOURCES = 200_000
 
 
@@ -77,7 +77,7 @@ def _running(rows: DataFrame, order: Column, sums: list[str]) -> DataFrame:
         "_block", F.floor((F.col("_order") - 1) / F.lit(RUN_ROWS))
     )
     blocks = fixed.groupBy("_block").agg(*(F.sum(c).alias(f"_b_{c}") for c in sums))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per 20,000 sources
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per 2,000 sources
     offsets = blocks.select("_block", *(F.coalesce(F.sum(f"_b_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums))
     inside = Window.partitionBy("_block").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
     return fixed.join(offsets, "_block").select(
@@ -120,23 +120,27 @@ def mixed(
         n_words(F.col(text)).alias("size"),
         *(F.struct(F.col(c)).alias(f"_keep_{i}") for i, c in enumerate(keep)),
     )
-    small = rows if keep else pinned(rows)
+    small = pinned(rows.select("doc_id", "source", "size"))
     sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     rates = pinned(
         balanced(source_targets(pinned(sizes), weights, most), most)
         .withColumn("_whole", F.floor(F.col("rate") + 1e-9))
         .withColumn("_runs", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(RUN_ROWS))))
     )
-    few = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
+    few = (F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates).withColumnRenamed("source", "_source")
     by = rates.columns[1:]
-    digest = F.md5(F.col("doc_id").cast("string"))
-    held = (
-        small.join(few.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-        .select(*small.columns, *by, F.coalesce(digest, F.lit("")).alias("_digest"))
+
+    def in_runs(part: DataFrame) -> DataFrame:
         # runs follow the digest's order: its first 8 hex digits, scaled to the number of runs
-        .withColumn("_run", F.floor(F.coalesce(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long"), F.lit(0)) * F.col("_runs") / F.lit(2.0**32)))
-    )
-    runs = held.groupBy("source", "_run").agg(F.sum("size").alias("_run_size"))
+        digest = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
+        head = F.coalesce(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long"), F.lit(0))
+        return (
+            part.join(few, F.col("source").eqNullSafe(F.col("_source")))
+            .select(*part.columns, *by, digest.alias("_digest"))
+            .withColumn("_run", F.floor(head * F.col("_runs") / F.lit(2.0**32)))
+        )
+
+    runs = in_runs(small).groupBy("source", "_run").agg(F.sum("size").alias("_run_size"))
     earlier = Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.select(
         F.col("source").alias("_s"), F.col("_run").alias("_r"), F.coalesce(F.sum("_run_size").over(earlier), F.lit(0)).alias("_start")
@@ -145,6 +149,7 @@ def mixed(
     extra = F.col("target") - F.col("_whole") * F.col("source_size")
     before = F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     one_more = (2 * before + F.col("size") <= 2 * extra) & (F.col("_whole") < most)
+    held = in_runs(rows if keep else small)
     placed = held.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_run") == F.col("_r")))
     return placed.withColumn("copies", (F.col("_whole") + one_more.cast("long")).cast("long")).select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies",
