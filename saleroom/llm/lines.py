@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree.
 
 A line is parsed to a leaf of fixed depth: its number of words and its first `DEPTH` words,
-words with a digit standing for a variable field. Leaves that occur in `least` or more
+words with a digit standing for a variable field (unless they are most of the line). Leaves that occur in `least` or more
 different documents are looked into. There, a line that recurs as it is (fields aside) is a
 template of its own. In the other lines of the leaf a place becomes a variable field where
 many different words stand and none of them in half the lines; lines alike in the places left
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from saleroom.llm.packed import (
     REPLY, SENT, answered, bucket_of, dealt_out, first_seen, packed_places, received, replies_of, sent_table,
@@ -76,7 +76,7 @@ class Lines:
             w = words_of(data, at)
             h = w.hashes()
             digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-            h[digits[w.ends] > digits[w.starts]] = _FIELD
+            field = digits[w.ends] > digits[w.starts]
             # where lines begin: after each line feed and at each text's start
             begins = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, at[:-1]]))
             begins = begins[begins < len(data)]
@@ -85,7 +85,9 @@ class Lines:
             ends = np.append(begins[1:], len(data))[used] if len(used) else np.zeros(0, np.int64)
             begin = begins[used] if len(used) else np.zeros(0, np.int64)
             owner = np.searchsorted(at, begin, "right") - 1
-            # empty texts share their start with the next text
+            if len(used):  # in a line of mostly fields, what stands in them is all there is
+                fields = np.add.reduceat(field.astype(np.int64), first)
+                h[field & np.repeat(fields <= (1 - FIXED) * size, size)] = _FIELD
             place = np.arange(len(h)) - np.repeat(first, size)
             key = np.add.reduceat(h * powers(np.uint64(0xD6E8FEB86659FD93), int(size.max()))[place], first) if len(used) else np.zeros(0, np.uint64)
             leaf = size.astype(np.uint64)
@@ -260,16 +262,21 @@ def _edit(schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 if own.texts[k][-1:] != b"\n" and text[-1:] == b"\n":
                     text = text[:-1]
             texts.append(None if text is None else text.decode())
+        # the other columns as they are, but all nullable as declared
+        others = rows.column("row").combine_chunks()
+        fields = list(schema.field("row").type)
+        others = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(others.flatten(), fields)], fields=fields)
         return pa.Table.from_arrays(
-            [pa.array(texts, schema.field("text").type), rows.column("row"), pa.array(np.diff(cuts), pa.int64()), pa.array(dropped, pa.int64())],
-            schema=pa.schema([schema.field("text"), rows.schema.field("row"), schema.field("n_lines"), schema.field("n_dropped")]),
+            [pa.array(texts, pa.string()), others, pa.array(np.diff(cuts), pa.int64()), pa.array(dropped, pa.int64())], schema=schema
         )
 
     return run
 
 
-def without_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_DOCS) -> DataFrame:
-    """All columns of docs, the text without recurring lines, and the structure `_lines` (n_lines, n_dropped)."""
+def without_templates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_DOCS, counts: bool = True
+) -> DataFrame:
+    """All columns of docs, the text without recurring lines, and with `counts` n_lines and n_dropped."""
     kept = [c for c in docs.columns if c != text]
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
@@ -287,14 +294,10 @@ def without_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         dealt.groupBy("part").cogroup(common.groupBy("part")).applyInArrow(_send_lines(buckets, least), LINE)
         .groupBy("bucket").applyInArrow(_templates(least), DROP)
     )
-    row_type = rows.schema["row"].dataType.simpleString()
-    schema = pa.schema([
-        ("text", pa.string()), ("row", to_arrow_type(rows.schema["row"].dataType)), ("n_lines", pa.int64()), ("n_dropped", pa.int64())
-    ])
-    edited = dealt.groupBy("part").cogroup(drops.groupBy("part")).applyInArrow(
-        _edit(schema), f"text string, row {row_type}, n_lines bigint, n_dropped bigint"
-    )
+    out = f"text string, row {rows.schema['row'].dataType.simpleString()}, n_lines bigint, n_dropped bigint"
+    schema = to_arrow_schema(docs.sparkSession.createDataFrame([], out).schema)
+    edited = dealt.groupBy("part").cogroup(drops.groupBy("part")).applyInArrow(_edit(schema), out)
     return edited.select(
         *(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns),
-        F.struct("n_lines", "n_dropped").alias("_lines"),
+        *(("n_lines", "n_dropped") if counts else ()),
     )

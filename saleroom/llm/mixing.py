@@ -25,7 +25,7 @@ from saleroom.llm.tokens import WORD_BREAK
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)  # all sources together take 3/2 of all words
 MOST = 2
-NEWTON_STEPS = 12
+NEWTON_STEPS = 24
 # Documents of one source in one sorted run, on average.
 RUN_ROWS = 2_000
 BROADCAST_SOURCES = 200_000

@@ -47,8 +47,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edited = lines.without_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return edited.select("doc_id", "_lines.n_lines", "_lines.n_dropped", "text")
+    return lines.without_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
