@@ -31,7 +31,7 @@ def decrypted(text: Column, secret: Column) -> Column:
 
 
 def encrypted(text: Column, secret: Column, row_key: Column) -> Column:
-    """The stored form of a plain text; NULL stays NULL.
+    """The stored form of a plain text; NULL and the empty text give NULL.
 
     The IV is derived from the secret, the row and the text, so it is unique per
     message and a retried task writes the same bytes.
@@ -47,4 +47,4 @@ def encrypted(text: Column, secret: Column, row_key: Column) -> Column:
         F.substr(sealed, F.lit(IV_BYTES + 1) + body),
         F.substr(sealed, F.lit(IV_BYTES + 1), body),
     )
-    return F.regexp_replace(F.base64(stored), "[\r\n]", "")
+    return F.when(text != "", F.regexp_replace(F.base64(stored), "[\r\n]", ""))

@@ -1,70 +1,25 @@
-"""Splitting of hot keys for ordered, per-key logic.
+"""Ordered, per-key logic over rows that are cut into even parts, whatever their keys.
 
-An ordered window over one key runs in one task. Keys with a large share of the
-rows are therefore cut into time slices; what a slice needs to know about earlier
-slices is carried in from a small per-slice summary. Cold keys keep slice 0 and
-pay for nothing but a flag.
+An ordered window over one key runs in one task. Here all rows are range-partitioned by key
+and order, so a hot key's own rows spread over as many parts as it fills; what a part needs to
+know about earlier parts of the same key is carried in from a small summary per key and part.
+The same plan serves every size and every distribution of keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleroom.functions.time import epoch_micros
+from saleroom.functions.ids import pinned
 
-# A key with more than this share of all rows is hot, so there are at most
-# 1 / HOT_SHARE = 1000 hot keys: the list is safe to broadcast at any scale.
-HOT_SHARE = 0.001
-TIME_SLICES = 128
+PART = "_part"
 
 
-def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE, floor: int = 100_000) -> DataFrame:
-    """Keys holding more than `share` of the rows and more than `floor` rows.
+def in_parts(rows: DataFrame, order: list[str | Column]) -> DataFrame:
+    """The rows with `_part`, rising with `order` (which must be total), each part sorted.
 
-    One map-side combined count; at most 1/share rows come out.
+    The parts are written to the checkpoint folder: a row keeps its part for good, also
+    when an executor is lost between two reads.
     """
-    least = rows.agg(F.greatest(F.count("*") * F.lit(share), F.lit(float(floor)))).scalar()
-    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).select(key)
-
-
-def with_time_slices(
-    rows: DataFrame,
-    key: str,
-    at: str,
-    share: float = HOT_SHARE,
-    slices: int = TIME_SLICES,
-    floor: int = 100_000,
-) -> DataFrame:
-    """Add `is_hot` and `slice`: 0 for cold keys, 1..slices in time order for hot keys.
-
-    Slice borders are the time quantiles of all rows, so no slice of any key holds
-    much more than 1/slices of the table, even when its rows come in bursts. The
-    borders are one scalar subquery: a pure function of the row once it has run,
-    so a recomputed task assigns the same slices.
-    """
-    if slices & (slices - 1):
-        raise ValueError("the number of slices must be a power of two")
-    shares = ", ".join(f"{i / slices}D" for i in range(1, slices))
-    borders = (
-        rows.select(epoch_micros(F.col(at)).alias("_at"))
-        .agg(F.expr(f"percentile_approx(_at, array({shares}), {10 * slices})"))
-        .scalar()
-    )
-    # the borders travel with the (at most 1/share) hot keys
-    hot = F.broadcast(hot_keys(rows, key, share, floor).withColumn("_borders", borders))
-    # binary search for the number of borders passed; NULL all the way for cold keys
-    search = ["CASE WHEN is_hot THEN 0 END AS _p0"]
-    step, n = slices // 2, 0
-    while step:
-        passed = f"CASE WHEN get(_borders, _p{n} + {step - 1}) <= _at THEN {step} ELSE 0 END"
-        search.append(f"_p{n} + {passed} AS _p{n + 1}")
-        step, n = step // 2, n + 1
-    return (
-        rows.join(hot, key, "left")
-        # a filter on this flag turns the outer join into an inner one
-        .withColumn("is_hot", F.col("_borders").isNotNull())
-        .withColumn("_at", F.when(F.col("is_hot"), epoch_micros(F.col(at))))
-        .selectExpr("*", *search)
-        .select(*rows.columns, "is_hot", F.expr(f"coalesce(_p{n} + 1, 0)").alias("slice"))
-    )
+    return pinned(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn(PART, F.spark_partition_id())

@@ -95,8 +95,12 @@ def tracking_link(number: Column) -> Column:
 
 
 def price_number(price: Column) -> Column:
-    """The numeric prefix of a text price as a decimal, NULL when it has none."""
-    digits = F.regexp_extract(price, r"^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+))", 1)
+    """The numeric prefix of a text price as a decimal, NULL when it has none.
+
+    White space of any script may come first; an exponent counts.
+    """
+    blank = r"^[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*"
+    digits = F.regexp_extract(price, blank + r"([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)", 1)
     return digits.try_cast("decimal(18,4)")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saleroom.functions.ordering import newest
-from saleroom.functions.skew import HOT_SHARE, TIME_SLICES, with_time_slices
+from saleroom.functions.skew import PART, in_parts
 from saleroom.functions.time import micros_between, ntz
 
 # A bid in the last minute moves the end by five minutes.
@@ -69,12 +69,7 @@ def current_bid(bids: DataFrame) -> DataFrame:
     return bids.groupBy("auction_id").agg(F.max("bid_amount").alias("current_bid"))
 
 
-def bid_ledger(
-    bids: DataFrame,
-    share: float = HOT_SHARE,
-    slices: int = TIME_SLICES,
-    floor: int = 100_000,
-) -> DataFrame:
+def bid_ledger(bids: DataFrame) -> DataFrame:
     """Every bid with the bid it had to beat, and whether it was accepted.
 
     A bid is accepted when it is strictly higher than all earlier bids of its
@@ -82,29 +77,27 @@ def bid_ledger(
     column exists, are always accepted and raise the mark as well. Adds
     `prior_amount`, `prior_user_id`, `accepted` and `reason`.
 
-    Running maximum per auction; a hot auction is cut into time slices, and each
-    slice starts from the best bid of the slices before it.
+    Running maximum per auction and part of the ordered bids; each part starts from the
+    best bid of the auction's parts before it.
     """
-    parted = with_time_slices(bids, "auction_id", "created_at", share, slices, floor)
-    parted = parted.withColumn("_rank", _rank())
+    parted = in_parts(bids, ["auction_id", "created_at", "id"]).withColumn("_rank", _rank())
     earlier = (
-        Window.partitionBy("auction_id", "slice")
+        Window.partitionBy("auction_id", PART)
         .orderBy("created_at", "id")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # hot auctions only: at most (1 / share) * slices rows
-    per_slice = parted.where("is_hot").groupBy("auction_id", "slice").agg(
-        F.min("_rank").alias("_best")
-    )
-    slices_before = (
-        Window.partitionBy("auction_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = per_slice.select(
-        "auction_id", "slice", F.min("_best").over(slices_before).alias("_carried")
+    # a row per auction and part; an auction has at most as many as there are parts
+    per_part = parted.groupBy("auction_id", PART).agg(F.min("_rank").alias("_best"))
+    parts_before = (
+        Window.partitionBy("auction_id").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     )
+    carried = per_part.select(
+        F.col("auction_id").alias("_auction"), F.col(PART).alias("_at"), F.min("_best").over(parts_before).alias("_carried")
+    ).where(F.col("_carried").isNotNull())
+    here = F.col("auction_id").eqNullSafe(F.col("_auction")) & (F.col(PART) == F.col("_at"))
     ledger = (
         parted.withColumn("_local", F.min("_rank").over(earlier))
-        .join(F.broadcast(carried), ["auction_id", "slice"], "left")
+        .join(carried, here, "left")
         .withColumn("_prior", F.least("_local", "_carried"))
         .withColumn("prior_amount", -F.col("_prior.neg_amount"))
         .withColumn("prior_user_id", F.col("_prior.user_id"))
@@ -115,18 +108,18 @@ def bid_ledger(
     return (
         ledger.withColumn("accepted", accepted)
         .withColumn("reason", F.when(~F.col("accepted"), F.lit("not higher than the current bid")))
-        .drop("slice", "is_hot", "_rank", "_local", "_carried", "_prior")
+        .drop(PART, "_rank", "_local", "_auction", "_at", "_carried", "_prior")
     )
 
 
-def accepted_bids(bids: DataFrame, **skew) -> DataFrame:
-    return bid_ledger(bids, **skew).where("accepted").select(*bids.columns)
+def accepted_bids(bids: DataFrame) -> DataFrame:
+    return bid_ledger(bids).where("accepted").select(*bids.columns)
 
 
-def outbid_notices(bids: DataFrame, **skew) -> DataFrame:
+def outbid_notices(bids: DataFrame) -> DataFrame:
     """One notice per accepted bid to the holder it displaced, unless that is the bidder."""
     return (
-        bid_ledger(bids, **skew)
+        bid_ledger(bids)
         .where(F.col("accepted") & (F.col("prior_user_id") != F.col("user_id")))
         .select(
             F.col("id").alias("bid_id"),

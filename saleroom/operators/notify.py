@@ -7,10 +7,10 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleroom.functions import text
+from saleroom.functions import cooldown, text
 from saleroom.functions.ordering import newest
+from saleroom.functions.skew import PART, in_parts
 from saleroom.functions.time import epoch_micros, interval, ntz
-from saleroom.session import scratch_path
 
 # Minutes between two mails of a kind, days a notification is kept.
 ITEM_COOLDOWN_MINUTES = 120
@@ -45,7 +45,9 @@ def unread_badges(notifications: DataFrame, messages: DataFrame) -> DataFrame:
 
 def opted_in(profiles: DataFrame, users: DataFrame) -> DataFrame:
     """Users who want mail, with their address and the times of their last mails."""
-    times = [c for c in ("last_auction_email_at", "last_post_email_at") if c in profiles.columns]
+    times = [
+        c for c in ("last_auction_email_at", "last_post_email_at", "last_message_email_at") if c in profiles.columns
+    ]
     wanted = profiles.where("send_email_notifications").select(
         "user_id", "send_email_notifications", *times
     )
@@ -92,31 +94,20 @@ def message_mail_decision(
 # ---- greedy cooldown over many arrivals ------------------------------------------------
 
 
-def _greedy(times: Column, gap: int) -> Column:
-    """Fold a sorted array of microsecond times into the times that are mailed."""
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(
-        times, empty,
-        lambda sent, t: F.when(
-            (F.size(sent) == 0) | (t - F.element_at(sent, -1) > gap), F.concat(sent, F.array(t))
-        ).otherwise(sent),
-    )
-
-
 def mail_after_cooldown(
     arrivals: DataFrame,
     key: str = "user_id",
     at: str = "sent_at",
     minutes: int = ITEM_COOLDOWN_MINUTES,
     last_mails: DataFrame | None = None,
-    max_in_memory: int = 1_000_000,
 ) -> DataFrame:
     """The arrivals that lead to a mail: the first, then each first one after the cooldown.
 
     `last_mails` (key, last) holds earlier mails; arrivals inside their cooldown drop
-    out. Distinct times per key are taken first (combined map-side). A key with at most
-    `max_in_memory` of them is folded as one array; larger keys are stepped through
-    time by `_stepwise`, where every step is a distributed minimum.
+    out. Distinct times per key are taken first (combined map-side) and cut into even
+    parts by (key, time). Only a part's first and last key can go on in another part;
+    for these the part states how its last mail follows from the last mail before it.
+    The states are chained, a row per part, and each part then finds its own mails.
     """
     gap = minutes * 60_000_000
     if last_mails is not None:
@@ -125,59 +116,16 @@ def mail_after_cooldown(
             .where(F.col("_last").isNull() | (F.col("_last") + interval("MINUTE", minutes) < F.col(at)))
             .drop("_last")
         )
-    sizes = arrivals.groupBy(key).agg(F.count("*").alias("_n"))
-    big = sizes.where(F.col("_n") > max_in_memory).select(key)
-    times = arrivals.select(key, epoch_micros(F.col(at)).alias("_t")).distinct()
-    if big.isEmpty():
-        sent = _folded(times, key, gap)
-    else:
-        small = _folded(times.join(big, key, "left_anti"), key, gap)
-        sent = small.unionByName(_stepwise(times.join(big, key, "left_semi"), key, gap))
+    times = arrivals.select(F.col(key).cast("bigint").alias("_k"), epoch_micros(F.col(at)).alias("_t")).distinct()
+    parts = in_parts(times, ["_k", "_t"])
+    states = parts.mapInArrow(cooldown.state_of(gap), cooldown.STATE).groupBy("_k").applyInArrow(cooldown.chained(gap), cooldown.ENTRY)
+    # at most two rows for each part
+    known = F.broadcast(states.withColumnsRenamed({"_k": "_key", PART: "_at"}))
+    here = F.col("_k").eqNullSafe(F.col("_key")) & (F.col(PART) == F.col("_at"))
+    sent = parts.join(known, here, "left").select("_k", "_t", "_last").mapInArrow(cooldown.mails(gap), "_k bigint, _t bigint")
     epoch = ntz("1970-01-01 00:00:00")
-    return sent.select(key, F.timestamp_add("MICROSECOND", F.col("_t"), epoch).alias(at))
-
-
-def _folded(times: DataFrame, key: str, gap: int) -> DataFrame:
-    return (
-        times.groupBy(key)
-        .agg(F.array_sort(F.collect_list("_t")).alias("_all"))
-        .select(key, F.explode(_greedy(F.col("_all"), gap)).alias("_t"))
-    )
-
-
-def _stepwise(times: DataFrame, key: str, gap: int) -> DataFrame:
-    """The same for keys too large for one row: one pass in slots as long as the gap.
-
-    Two mails are more than a gap apart, so a slot yields at most one per key: the
-    minimum of the slot's times beyond the key's last mail plus the gap. The times are
-    written once, one folder per slot, so every step reads its own slot only and
-    aggregates it map-side. The state, one row per large key, is a small table written
-    anew at every step. The number of steps is the period divided by the gap.
-    """
-    spark = times.sparkSession
-    base = scratch_path(spark, "cooldown")
-    slot = F.expr(f"(_t - pmod(_t, {gap}L)) div {gap}L")
-    times.withColumn("_slot", slot).repartitionByRange("_slot", "_t").write.partitionBy(
-        "_slot"
-    ).parquet(f"{base}/times")
-    slotted = spark.read.parquet(f"{base}/times")
-    # folder names, as many as the period has slots
-    slots = sorted(r[0] for r in slotted.select("_slot").distinct().collect())
-    previous: DataFrame | None = None
-    for number in slots:
-        rows = slotted.where(F.col("_slot") == number).select(key, "_t")
-        if previous is not None:
-            rows = rows.join(previous.withColumnRenamed("_t", "_last"), key, "left").where(
-                F.col("_last").isNull() | (F.col("_t") - F.col("_last") > gap)
-            )
-        state = rows.groupBy(key).agg(F.min("_t").alias("_t"))
-        if previous is not None:
-            state = previous.unionByName(state).groupBy(key).agg(F.max("_t").alias("_t"))
-        path = f"{base}/state/step={number}"
-        state.write.parquet(path)
-        previous = spark.read.schema(state.schema).parquet(path)
-    # a key's last mail stays in the state until the next one: distinct states are the mails
-    return spark.read.parquet(f"{base}/state").select(key, "_t").distinct()
+    kind = dict(arrivals.dtypes)[key]
+    return sent.select(F.col("_k").cast(kind).alias(key), F.timestamp_add("MICROSECOND", F.col("_t"), epoch).alias(at))
 
 
 # ---- delivery ---------------------------------------------------------------------------

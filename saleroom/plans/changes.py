@@ -7,6 +7,8 @@ the change.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -221,7 +223,20 @@ def touch_mail_times(
     return set_where(profiles, done, {column: ntz(as_of)}, "user_id")
 
 
-def purge_notifications(notifications: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+RETENTION_DAYS = 30
+
+
+def retention_border(as_of: str, days: int = RETENTION_DAYS) -> str:
+    """The day on which the retention period begins, as it names a folder."""
+    return (dt.datetime.fromisoformat(as_of) - dt.timedelta(days=days)).date().isoformat()
+
+
+def expired_notifications(notifications: DataFrame, as_of: str, days: int = RETENTION_DAYS) -> DataFrame:
+    """What a purge removes."""
+    return notifications.where(F.col("created_at") < ntz(as_of) - interval("DAY", days))
+
+
+def purge_notifications(notifications: DataFrame, as_of: str, days: int = RETENTION_DAYS) -> DataFrame:
     """Keep notifications that are not older than the retention period.
 
     Where the table is stored in day folders (`created_date`), the expired days are not

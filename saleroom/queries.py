@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleroom.functions import text
@@ -17,7 +17,7 @@ from saleroom.plans import changes, closing, conversations, trade
 from saleroom.sources.views import AS_OF, PURGE_AS_OF, Marketplace, with_views
 from saleroom.streaming import bids as live_bids
 from saleroom.streaming import closing as live_closing
-from saleroom.streaming import fanout, inbox, mail, windows
+from saleroom.streaming import fanout, inbox, mail, routing, windows
 from saleroom.streaming.runner import replay, replay_updates
 
 Query = Callable[[Marketplace], DataFrame]
@@ -364,7 +364,7 @@ def users_by_profile_date(m: Marketplace) -> DataFrame:
 
 
 @query("opted_in_users", """
-    SELECT p.user_id, u.email, p.send_email_notifications, p.last_auction_email_at
+    SELECT p.user_id, u.email, p.send_email_notifications, p.last_auction_email_at, p.last_message_email_at
     FROM v_profiles p JOIN v_users u ON p.user_id = u.id WHERE p.send_email_notifications
 """)
 def opted_in_users(m: Marketplace) -> DataFrame:
@@ -439,14 +439,16 @@ def user_dashboard(m: Marketplace) -> DataFrame:
 
 
 @query("inbox_summary", """
-    SELECT m.conversation_id, c.user_id, u.email, p.first_name, p.last_name,
-           max(m.sent_at) AS last_message_at, count(m.id) AS message_count,
-           count(CASE WHEN m.is_read = FALSE AND m.is_from_admin = FALSE THEN 1 END) AS unread_count
-    FROM v_messages m
-    JOIN (SELECT DISTINCT conversation_id, user_id FROM v_messages) c ON m.conversation_id = c.conversation_id
-    JOIN v_users u ON c.user_id = u.id
-    LEFT JOIN v_profiles p ON c.user_id = p.user_id
-    GROUP BY m.conversation_id, c.user_id, u.email, p.first_name, p.last_name
+    WITH totals AS (
+        SELECT conversation_id, max(sent_at) AS last_message_at, count(*) AS message_count,
+               count(*) FILTER (WHERE NOT is_read AND NOT is_from_admin) AS unread_count
+        FROM v_messages GROUP BY conversation_id),
+    people AS (SELECT u.id AS user_id, u.email, p.first_name, p.last_name
+               FROM v_users u LEFT JOIN v_profiles p ON p.user_id = u.id)
+    SELECT conversation_id, user_id, email, first_name, last_name, last_message_at, message_count, unread_count
+    FROM totals SEMI JOIN v_messages USING (conversation_id)
+    JOIN (SELECT conversation_id, user_id FROM v_messages GROUP BY ALL) seats USING (conversation_id)
+    JOIN people USING (user_id)
 """)
 def inbox_summary(m: Marketplace) -> DataFrame:
     return messaging.inbox_summary(m["v_messages"], m["v_users"], m["v_profiles"])
@@ -515,8 +517,7 @@ def current_bid(m: Marketplace) -> DataFrame:
     WHERE created_at < TIMESTAMP '{PURGE_AS_OF}' - INTERVAL 30 DAY
 """)
 def job_counts(m: Marketplace) -> DataFrame:
-    kept = changes.purge_notifications(m["v_notifications"], PURGE_AS_OF)
-    purged = m["v_notifications"].select("id").join(kept.select("id"), "id", "left_anti")
+    purged = changes.expired_notifications(m["v_notifications"], PURGE_AS_OF)
     return quality.job_counts({
         "swept": auctions.expired(m["v_auctions"], AS_OF), "purged": purged,
     })
@@ -1232,10 +1233,10 @@ def decrypt_messages(m: Marketplace) -> DataFrame:
 """)
 def decrypt_foreign_messages(m: Marketplace) -> DataFrame:
     """Plain text and text sealed with another key are not readable, and do not fail the job."""
-    stored = messaging.encrypt_messages(m["v_messages"], "another secret")
-    mixed = stored.join(
-        m["v_messages"].select("id", F.col("message_content").alias("_plain")), "id"
-    ).withColumn("message_content", F.when(F.col("is_from_admin"), F.col("_plain")).otherwise(F.col("message_content")))
+    plain = m["v_messages"].withColumn("_plain", F.col("message_content"))
+    mixed = messaging.encrypt_messages(plain, "another secret").withColumn(
+        "message_content", F.when(F.col("is_from_admin"), F.col("_plain")).otherwise(F.col("message_content"))
+    )
     return messaging.decrypt_messages(mixed, SECRET).select("id", "message_content", "is_readable")
 
 
@@ -1322,14 +1323,15 @@ def rate_limit_audit(m: Marketplace) -> DataFrame:
     WITH marked AS (
         SELECT *, CASE WHEN lag(ts) OVER u IS NULL OR lag(is_stop) OVER u
                             OR ts > lag(ts) OVER u + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS begins
-        FROM v_typing WINDOW u AS (PARTITION BY user_id ORDER BY ts, id)),
+        FROM v_typing WINDOW u AS (PARTITION BY conversation_id, user_id ORDER BY ts, id)),
     bursts AS (
-        SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, id) AS burst FROM marked)
-    SELECT user_id, min(ts) AS started_at, max(ts) AS last_event_at, count(*) AS n_events,
+        SELECT *, sum(begins) OVER (PARTITION BY conversation_id, user_id ORDER BY ts, id) AS burst FROM marked)
+    SELECT conversation_id, user_id, min(ts) AS started_at, max(ts) AS last_event_at, count(*) AS n_events,
            CASE WHEN bool_or(is_stop) THEN 'stop' ELSE 'idle' END AS ended_by
-    FROM bursts GROUP BY user_id, burst
+    FROM bursts GROUP BY conversation_id, user_id, burst
     HAVING bool_or(is_stop)
-        OR burst < (SELECT max(b.burst) FROM bursts b WHERE b.user_id = bursts.user_id)
+        OR burst < (SELECT max(b.burst) FROM bursts b
+                    WHERE b.user_id = bursts.user_id AND b.conversation_id = bursts.conversation_id)
         OR max(ts) + INTERVAL 30 MINUTE < (SELECT max(ts) FROM v_typing) - INTERVAL 10 MINUTE
 """)
 def typing_sessions(m: Marketplace) -> DataFrame:
@@ -1345,12 +1347,66 @@ def latest_status(m: Marketplace) -> DataFrame:
     return inbox.replay_status(m.stream("events")["v_status_changes"])
 
 
+# the opening of every second conversation is history, the rest arrives in the stream
+_ROUTED_HISTORY = "conversation_id % 2 = 0 AND id % 100 = 0"
+
+
 @query("message_routing", f"""
+    WITH openers AS (
+        SELECT conversation_id, min_by(user_id, (sent_at, id)) AS opener, min((sent_at, id)) AS opened
+        FROM v_messages WHERE NOT is_from_admin GROUP BY conversation_id)
     SELECT v.id, v.conversation_id, v.user_id, v.is_from_admin,
-           CASE WHEN v.is_from_admin THEN coalesce(r.recipient_id, v.user_id) ELSE {ADMIN_ID} END AS recipient_id
-    FROM v_messages v LEFT JOIN ({_REPLY_RECIPIENT}) r ON r.conversation_id = v.conversation_id
+           CASE WHEN NOT v.is_from_admin THEN {ADMIN_ID} WHEN o.opened < (v.sent_at, v.id) THEN o.opener
+                ELSE v.user_id END AS recipient_id
+    FROM v_messages v LEFT JOIN openers o ON o.conversation_id = v.conversation_id
+    WHERE NOT ({_ROUTED_HISTORY.replace("conversation_id", "v.conversation_id")})
 """)
 def message_routing(m: Marketplace) -> DataFrame:
-    live = m.stream("conversations")["v_messages"].drop("message_content")
-    routed = messaging.route(live, messaging.reply_recipient(m["v_messages"]), ADMIN_ID)
-    return replay(routed.select("id", "conversation_id", "user_id", "is_from_admin", "recipient_id"), "routing")
+    live = m.stream("conversations")["v_messages"].where(f"NOT ({_ROUTED_HISTORY})")
+    history = m["v_messages"].where(_ROUTED_HISTORY)
+    return replay(routing.route_live(live, history, ADMIN_ID), "routing")
+
+
+def _limit_sql(kind: str, key: str) -> str:
+    limit, window = windows.LIMITS[kind]
+    return f"""
+        SELECT {key} AS key, time_bucket(INTERVAL '{window}', ts) AS window_start, count(*) AS hits,
+               count(*) - {limit} AS excess
+        FROM v_requests GROUP BY 1, 2 HAVING count(*) > {limit}
+    """
+
+
+def _audited(m: Marketplace, kind: str, key: Column) -> DataFrame:
+    hits = windows.limit_audit(m.stream("events")["v_requests"], key, kind)
+    return windows.over_limit(replay_updates(hits, ["key", "window_start"], "rate"), windows.LIMITS[kind][0])
+
+
+@query("rate_limit_requests", _limit_sql("requests", "'site'"))
+def rate_limit_requests(m: Marketplace) -> DataFrame:
+    return _audited(m, "requests", F.lit("site"))
+
+
+@query("rate_limit_test_requests", _limit_sql("requests in test", "'site'"))
+def rate_limit_test_requests(m: Marketplace) -> DataFrame:
+    return _audited(m, "requests in test", F.lit("site"))
+
+
+@query("rate_limit_mail_actions", _limit_sql(
+    "mail actions", "coalesce('user' || CAST(user_id AS VARCHAR) || '@example.com', 'no-email')"
+))
+def rate_limit_mail_actions(m: Marketplace) -> DataFrame:
+    email = F.concat(F.lit("User"), F.col("user_id").cast("string"), F.lit("@Example.com"))
+    return _audited(m, "mail actions", windows.email_key(email))
+
+
+@query("stream_bids_and_purchases", """
+    WITH marked AS (
+        SELECT *, max(bid_amount) OVER w AS mark, arg_max(user_id, bid_amount) OVER w AS holder
+        FROM v_bids_and_purchases
+        WINDOW w AS (PARTITION BY auction_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT id, auction_id, user_id, bid_amount, created_at, is_buy_now,
+           CASE WHEN holder <> user_id THEN holder END AS outbid_user_id
+    FROM marked WHERE mark IS NULL OR bid_amount > mark OR is_buy_now
+""")
+def stream_bids_and_purchases(m: Marketplace) -> DataFrame:
+    return replay(live_bids.accept_bids(m.stream("events")["v_bids_and_purchases"]), "purchases")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -52,13 +50,15 @@ _local_scratch: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`, else (tests) a local one."""
+    """The folder all executors see: `spark.checkpoint.dir`; a local one only on a local master."""
     global _local_scratch
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if folder:
         return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="saleroom-")
     return _local_scratch
@@ -72,19 +72,3 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
-@contextlib.contextmanager
-def state_partitions(spark: SparkSession) -> Iterator[None]:
-    """Start a stateful stream inside this block: at most two state partitions per core.
-
-    Each state partition is a store (and a Python worker) of its own, and the number is
-    fixed for the life of the stream; a stream takes its settings when it starts.
-    """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)

@@ -176,7 +176,17 @@ VIEWS = {
     """,
     # typing events; a purchase ends the burst
     "v_typing": """
-        SELECT event_id AS id, user_id, ts, event_type = 'purchase' AS is_stop FROM events
+        SELECT event_id AS id, event_id % 2 AS conversation_id, user_id, ts, event_type = 'purchase' AS is_stop FROM events
+    """,
+    # requests of a busy site: five a second
+    "v_requests": """
+        SELECT event_id AS id, user_id,
+               TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * CAST(floor(event_id / 5.0) AS INT) AS ts
+        FROM events
+    """,
+    # all bids, buy-now purchases among them
+    "v_bids_and_purchases": """
+        SELECT id, auction_id, user_id, bid_amount, created_at, id % 11 = 0 AS is_buy_now FROM v_bids
     """,
     # status changes of a sale or message, keyed by user
     "v_status_changes": """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saleroom.operators.messaging import conversation_totals
-from saleroom.session import configure, scratch_path, state_partitions
+from saleroom.session import configure, scratch_path
 from saleroom.sources.snapshots import SnapshotStore
 
 
@@ -43,32 +43,33 @@ def read_status(store: SnapshotStore, table: str = "status") -> DataFrame:
     return last_per_key(store.read(table))
 
 
-def maintain_status(
-    changes: DataFrame, store: SnapshotStore, checkpoint: str, table: str = "status", compact_after: int = 50
-):
+def compact_status(store: SnapshotStore, table: str = "status") -> int:
+    """Rewrite the status table as one folder with the newest row per key; a job of its own.
+
+    It raises Conflict if rows were added meanwhile, and is then run again.
+    """
+    now = store.snapshot()
+    return store.commit({table: last_per_key(now.read(table))}, base=now.version)
+
+
+def maintain_status(changes: DataFrame, store: SnapshotStore, checkpoint: str, table: str = "status"):
     """Start the job that keeps a status table up to date: one commit per micro-batch.
 
-    A micro-batch adds its newest row per key as one more folder; after `compact_after`
-    folders the table is rewritten as one. Readers take the newest row per key, so
-    repeating a batch after a failure changes nothing.
+    A micro-batch adds its newest row per key as one more folder. Readers take the newest
+    row per key, so repeating a batch after a failure changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = last_per_key(batch)
-        if len(store.manifest().get(table, [])) < compact_after:
-            store.commit(append={table: fresh})
-        else:
-            store.commit({table: last_per_key(store.read(table).unionByName(fresh))})
-
-    with state_partitions(changes.sparkSession):
-        return (
-            unique_changes(changes)
-            .writeStream.outputMode("append")
-            .foreachBatch(merge)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
+        store.commit(append={table: last_per_key(batch)})
+
+    return (
+        unique_changes(changes)
+        .writeStream.outputMode("append")
+        .foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def replay_status(changes: DataFrame) -> DataFrame:

@@ -9,22 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleroom.session import configure, scratch_path, state_partitions
+from saleroom.session import configure, scratch_path
 
 
 def replay(stream: DataFrame, label: str) -> DataFrame:
     """Run an append-mode stream into parquet files and return them as a DataFrame."""
     spark = configure(stream.sparkSession)
     out = scratch_path(spark, label)
-    with state_partitions(spark):
-        job = (
-            stream.writeStream.outputMode("append")
-            .format("parquet")
-            .option("path", f"{out}/rows")
-            .option("checkpointLocation", f"{out}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
+    job = (
+        stream.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
@@ -41,14 +40,13 @@ def replay_updates(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
 
-    with state_partitions(spark):
-        job = (
-            stream.writeStream.outputMode("update")
-            .foreachBatch(write)
-            .option("checkpointLocation", f"{out}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
+    job = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
     job.awaitTermination()
     versions = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows/batch_id=*")
     values = [c for c in stream.columns if c not in keys]

@@ -37,16 +37,21 @@ def hits_per_window(events: DataFrame, key: Column, window: str, delay: str = "1
     return counted.select("key", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "hits")
 
 
+def limit_audit(events: DataFrame, key: Column, kind: str) -> DataFrame:
+    """Hits per key and window of one kind of limit; `over_limit` keeps those beyond it."""
+    return hits_per_window(events, key, LIMITS[kind][1])
+
+
 def over_limit(hits: DataFrame, limit: int) -> DataFrame:
     """Windows in which a key made more than `limit` hits, and by how many."""
     return hits.where(F.col("hits") > limit).withColumn("excess", F.col("hits") - limit)
 
 
-SESSION = "user_id BIGINT, start_us BIGINT, last_us BIGINT, n_events BIGINT, ended_by STRING"
+SESSION = "conversation_id BIGINT, user_id BIGINT, start_us BIGINT, last_us BIGINT, n_events BIGINT, ended_by STRING"
 
 
 class TypingSessions(StatefulProcessor):
-    """Per user: the open burst of typing, if any."""
+    """Per conversation and user: the open burst of typing, if any."""
 
     def __init__(self, gap_us: int):
         self.gap = gap_us
@@ -95,7 +100,8 @@ class TypingSessions(StatefulProcessor):
             self.open.clear()
         if len(done):
             yield pd.DataFrame({
-                "user_id": key[0],
+                "conversation_id": key[0],
+                "user_id": key[1],
                 "start_us": done["start_us"].astype("int64").to_numpy(),
                 "last_us": done["last_us"].astype("int64").to_numpy(),
                 "n_events": done["n_events"].astype("int64").to_numpy(),
@@ -110,8 +116,8 @@ class TypingSessions(StatefulProcessor):
             return
         self.open.clear()
         yield pd.DataFrame(
-            [(key[0], start, last, n, "idle")],
-            columns=["user_id", "start_us", "last_us", "n_events", "ended_by"],
+            [(key[0], key[1], start, last, n, "idle")],
+            columns=["conversation_id", "user_id", "start_us", "last_us", "n_events", "ended_by"],
         )
 
     def close(self) -> None:
@@ -121,7 +127,7 @@ class TypingSessions(StatefulProcessor):
 def typing_sessions(
     events: DataFrame, gap_seconds: float = 1, delay: str = "10 minutes"
 ) -> DataFrame:
-    """Finished typing bursts of an (id, user_id, ts, is_stop) stream.
+    """Finished typing bursts of an (id, conversation_id, user_id, ts, is_stop) stream.
 
     A burst ends at a stop event or after `gap_seconds` without an event. A burst is
     emitted once it is known to be over: at its stop, at the next event beyond the gap,
@@ -130,14 +136,14 @@ def typing_sessions(
     keyed = (
         events.withColumn("event_time", F.col("ts").cast("timestamp_ltz"))
         .withWatermark("event_time", delay)
-        .select("id", "user_id", "is_stop", "event_time", epoch_micros(F.col("ts")).alias("at_us"))
+        .select("id", "conversation_id", "user_id", "is_stop", "event_time", epoch_micros(F.col("ts")).alias("at_us"))
     )
-    bursts = keyed.groupBy("user_id").transformWithStateInPandas(
+    bursts = keyed.groupBy("conversation_id", "user_id").transformWithStateInPandas(
         TypingSessions(int(gap_seconds * 1_000_000)), SESSION, "Append", "EventTime"
     )
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     return bursts.select(
-        "user_id",
+        "conversation_id", "user_id",
         F.timestamp_add("MICROSECOND", F.col("start_us"), epoch).alias("started_at"),
         F.timestamp_add("MICROSECOND", F.col("last_us"), epoch).alias("last_event_at"),
         "n_events", "ended_by",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saleroom.plans import jobs
-from saleroom.sources.snapshots import SnapshotStore, empty_table
+from saleroom.sources.snapshots import Conflict, SnapshotStore, empty_table
 from tests.conftest import tuples
 
 NOW = "2024-01-10 12:00:00"
@@ -88,3 +88,61 @@ def test_sales_are_stored(spark, store, frame):
     assert [(i, p, str(v), paid) for i, p, v, paid in tuples(store.read("sales"), "id", "post_id", "price", "is_paid")] == [(1, 2, "9.50", False)]
     assert tuples(store.read("listings"), "id", "sold") == [(1, False), (2, True)]
     assert tuples(rejected, "id", "reason") == [(2, "buyer not found")]
+
+
+def test_a_job_based_on_an_old_state_fails_whole(store, frame):
+    before = store.snapshot()
+    jobs.close_expired(store, NOW)
+    lots = before.read("auctions").withColumn("is_active", F.lit(True))
+    with pytest.raises(Conflict):
+        store.commit({"auctions": lots}, base=before.version)
+    assert tuples(store.read("auctions"), "is_active") == [(False,), (False,), (True,)]
+
+
+def test_two_writers_never_give_one_id(store, frame):
+    now = store.snapshot()
+    new = frame("auction_id BIGINT, user_id BIGINT, bid_amount INT, created_at TIMESTAMP_NTZ", (1, 5, 30, "2024-01-04"))
+    ours = jobs.new_rows(now, "bids", new, ["auction_id"], NOW)
+    theirs = jobs.new_rows(now, "bids", new, ["auction_id"], NOW)
+    store.commit(append={"bids": ours}, base=now.version)
+    with pytest.raises(Conflict):
+        store.commit(append={"bids": theirs}, base=now.version)
+    assert tuples(store.read("bids"), "id") == [(1,), (2,), (3,)]
+
+
+def test_a_writer_that_died_is_in_nobodys_way(store, monkeypatch):
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "_publish", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            jobs.close_expired(store, NOW)
+    assert "auction_results" not in store.tables()
+    jobs.close_expired(store, NOW)
+    assert store.read("auction_results").count() == 2
+
+
+def test_appends_of_two_writers_are_both_kept(store, frame):
+    other = SnapshotStore(store.spark, store.root)
+    publish, tried = store._publish, []
+
+    def late(version, text):
+        if not tried:  # another writer comes first
+            tried.append(version)
+            other.commit(append={"log": frame("id BIGINT", (1,))})
+        publish(version, text)
+
+    store._publish = late
+    store.commit(append={"log": frame("id BIGINT", (2,))})
+    assert tuples(store.read("log"), "id") == [(1,), (2,)]
+
+
+def test_purge_drops_days_and_leaves_the_others_alone(store, frame, spark):
+    rows = empty_table(spark, "notifications").unionByName(
+        frame("id BIGINT, user_id BIGINT, created_at TIMESTAMP_NTZ", *[(k, k, f"2024-01-{k:02d} 12:00:00") for k in range(1, 13)]), allowMissingColumns=True
+    )
+    store.commit({"notifications": rows})
+    before = store.manifest()["notifications"]
+    assert len(before) == 12
+    jobs.purge_notifications(store, "2024-02-06 18:00:00")  # everything up to 2024-01-07 18:00
+    after = store.manifest()["notifications"]
+    assert set(after) & set(before) == {f for f in before if f[-2:] > "07"}
+    assert tuples(store.read("notifications"), "id") == sorted([(k,) for k in range(8, 13)], key=str)

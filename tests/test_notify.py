@@ -86,20 +86,26 @@ def greedy(times, gap=120):
     return sent
 
 
-def test_large_keys_are_stepped_through_time_exactly(frame):
+def test_users_over_several_parts_are_exact(spark, frame):
     rng = random.Random(7)
     users = {
         1: [rng.randint(0, 1500) for _ in range(200)],
         2: [0, 120, 121, 240, 241, 242, 1000],
         3: [5],
         4: [rng.randint(0, 1500) + rng.random() for _ in range(60)],
+        None: [3, 4, 500],
     }
     rows = frame(ARRIVAL, *[(u, at(t)) for u, ts in users.items() for t in ts])
-    folded = notify.mail_after_cooldown(rows)
-    stepped = notify.mail_after_cooldown(rows, max_in_memory=4)
-    assert tuples(folded, "user_id", "sent_at") == tuples(stepped, "user_id", "sent_at")
-    counts = {u: len(greedy(ts)) for u, ts in users.items()}
-    assert {r.user_id: r["count"] for r in stepped.groupBy("user_id").count().collect()} == counts
+    wanted = {(u, at(t)[:23]) for u, ts in users.items() for t in greedy(ts)}
+    for adaptive, parts in (("true", "4"), ("false", "13")):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = notify.mail_after_cooldown(rows).collect()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert {(r.user_id, str(r.sent_at)[:23]) for r in got} == wanted and len(got) == len(wanted)
 
 
 def test_retention_is_strict(frame):

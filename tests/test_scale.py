@@ -9,12 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from saleroom import queries as catalogue
+from saleroom.functions.skew import in_parts
 from saleroom.operators import auctions, listings, messaging
 from saleroom.plans import changes
 from tests.conftest import SMALL
 
 # These run jobs while they are built (numbering, streams), so they are left out here.
 EAGER = {
+    "accepted_bids", "bid_ledger", "outbid_notices", "notification_feed",
     "append_with_defaults", "upsert_addresses", "close_expired_messages", "buy_now_messages", "swap_to_listing",
     "swap_images", "assign_conversations", "mail_after_cooldown", "stream_bids", "stream_auction_close",
     "stream_mail_throttle", "stream_inbox", "rate_limit_audit", "typing_sessions", "latest_status", "message_routing",
@@ -60,11 +62,22 @@ def test_rank_is_combined_before_the_shuffle(market):
     assert text.count("Exchange hashpartitioning") <= 1 and "partial_min" in text
 
 
-def test_cold_and_hot_bids_share_one_wide_shuffle(market):
-    """Only the ledger's window moves whole bids; the rest are counts and summaries."""
-    text = plan(auctions.bid_ledger(market["v_bids"]))
-    wide = [line for line in text.splitlines() if line.startswith("Arguments: hashpartitioning(auction_id") and "slice" in line]
-    assert 1 <= len(wide) <= 2  # the window, and the hot slices' summary
+def test_a_burst_on_one_auction_spreads_over_the_parts(spark):
+    """Most bids on one auction, all within two minutes and half of them at one instant."""
+    bids = spark.range(0, 40_000, 1, 8).select(
+        F.col("id"), F.when(F.col("id") % 10 < 8, 1).otherwise(F.col("id") % 97).cast("bigint").alias("auction_id"),
+        (F.col("id") % 501).alias("user_id"), (F.col("id") * 7919 % 30_011).cast("int").alias("bid_amount"),
+        F.timestamp_add("MILLISECOND", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") * 3), F.lit("2024-01-01").cast("timestamp_ntz")).alias("created_at"),
+    )
+    with settings(spark, **{"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}):
+        sizes = [r["count"] for r in in_parts(bids, ["auction_id", "created_at", "id"]).groupBy("_part").count().collect()]
+        got = {(r.id, r.accepted) for r in auctions.bid_ledger(bids).select("id", "accepted").collect()}
+    assert len(sizes) == 16 and max(sizes) < 2 * 40_000 / 16
+    best, wanted = {}, set()
+    for r in sorted(bids.collect(), key=lambda r: (r.auction_id, r.created_at, r.id)):
+        wanted.add((r.id, r.auction_id not in best or r.bid_amount > best[r.auction_id]))
+        best[r.auction_id] = max(r.bid_amount, best.get(r.auction_id, r.bid_amount))
+    assert got == wanted
 
 
 @pytest.fixture

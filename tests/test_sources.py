@@ -31,12 +31,12 @@ def test_snapshots_publish_all_tables_together(spark, frame, tmp_path):
     # the next version of a table may be computed from the table itself
     store.commit({"a": store.read("a").withColumn("v", F.lit("two"))})
     assert store.versions() == [1, 2]
-    assert store.manifest() == {"a": [2], "b": [1]}
+    assert {t: len(f) for t, f in store.manifest().items()} == {"a": 1, "b": 1}
     assert tuples(store.read("a"), "v") == [("two",)]
     assert tuples(store.read("a", 1), "v") == [("one",)]
     # added rows go into a folder of their own
     store.commit(append={"b": frame("id BIGINT, v STRING", (2, "more"))})
-    assert store.manifest() == {"a": [2], "b": [1, 3]}
+    assert {t: len(f) for t, f in store.manifest().items()} == {"a": 1, "b": 2}
     assert tuples(store.read("b"), "v") == [("more",), ("one",)]
     with pytest.raises(ValueError):
         store.commit({"a": a}, {"a": a})

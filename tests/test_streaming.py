@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from saleroom.operators import auctions, messaging, notify
 from saleroom.sources.snapshots import SnapshotStore
 from saleroom.streaming import bids as live_bids
-from saleroom.streaming import closing, fanout, inbox, mail, windows
+from saleroom.streaming import closing, fanout, inbox, mail, routing, windows
 from saleroom.streaming.runner import replay, replay_updates
 from tests.conftest import tuples
 
@@ -111,9 +111,14 @@ CHANGE = "id BIGINT, key BIGINT, status STRING, changed_at TIMESTAMP_NTZ"
 def test_latest_status_over_batches_with_repeats(stream, spark, tmp_path):
     source = stream(CHANGE, [(1, 1, "a", at(10)), (2, 2, "x", at(1))], [(1, 1, "a", at(10)), (3, 1, "old", at(5))], [(4, 2, "y", at(20))])
     store = SnapshotStore(spark, str(tmp_path / "tables"))
-    inbox.maintain_status(source, store, str(tmp_path / "cp"), compact_after=2).awaitTermination()
+    inbox.maintain_status(source, store, str(tmp_path / "cp")).awaitTermination()
     assert tuples(inbox.read_status(store), "key", "status") == [(1, "a"), (2, "y")]
-    assert len(store.versions()) >= 3 and len(store.manifest()["status"]) <= 2
+    assert len(store.manifest()["status"]) >= 3
+    inbox.compact_status(store)
+    assert tuples(inbox.read_status(store), "key", "status") == [(1, "a"), (2, "y")] and len(store.manifest()["status"]) == 1
+    # a job that starts again after a crash between data and commit
+    inbox.maintain_status(stream(CHANGE, [(5, 3, "z", at(30))]), store, str(tmp_path / "cp2")).awaitTermination()
+    assert (3, "z") in tuples(inbox.read_status(store), "key", "status")
 
 
 def test_rate_limit_windows(stream):
@@ -147,15 +152,42 @@ def test_fanout_and_routing_run_on_streams(stream, frame):
     assert tuples(got, "id", "recipient_id") == [(2, 5), (3, 1)]
 
 
-TYPING = "id BIGINT, user_id BIGINT, ts TIMESTAMP_NTZ, is_stop BOOLEAN"
+TYPING = "id BIGINT, conversation_id BIGINT, user_id BIGINT, ts TIMESTAMP_NTZ, is_stop BOOLEAN"
 
 
 def test_typing_bursts_cross_batches(stream):
-    first = [(1, 1, at(0), False), (2, 1, at(0.5), False), (3, 2, at(0), False), (4, 2, at(0.4), True), (5, 2, at(0.6), False)]
-    second = [(6, 1, at(1.2), False), (7, 1, at(9), False), (8, 2, at(1.6), True)]
-    third = [(9, 3, at(5000), False)]
+    first = [(1, 4, 1, at(0), False), (2, 4, 1, at(0.5), False), (3, 4, 2, at(0), False), (4, 4, 2, at(0.4), True), (5, 4, 2, at(0.6), False)]
+    second = [(6, 4, 1, at(1.2), False), (7, 4, 1, at(9), False), (8, 4, 2, at(1.6), True)]
+    third = [(9, 4, 3, at(5000), False)]
     got = replay(windows.typing_sessions(stream(TYPING, first, second, third), 1), "t")
     assert [(u, str(a), str(b), n, e) for u, a, b, n, e in tuples(got, "user_id", "started_at", "last_event_at", "n_events", "ended_by")] == [
         (1, at(0), at(1.2), 3, "idle"), (1, at(9), at(9), 1, "idle"),
         (2, at(0), at(0.4), 2, "stop"), (2, at(0.6), at(1.6), 2, "stop"),
     ]
+
+
+def test_typing_in_two_conversations_is_two_bursts(stream):
+    rows = [(1, 4, 1, at(0), False), (2, 5, 1, at(0.5), True), (3, 4, 1, at(0.8), True)]
+    got = replay(windows.typing_sessions(stream(TYPING, rows), 1), "t")
+    assert tuples(got, "conversation_id", "user_id", "n_events") == [(4, 1, 2), (5, 1, 1)]
+
+
+def test_an_answer_goes_to_the_customer_of_an_earlier_batch(stream, frame):
+    past = frame(MESSAGE, (1, 7, 5, at(0), False, False))
+    live = stream(
+        MESSAGE,
+        [(2, 7, 1, at(1), False, True), (3, 8, 6, at(2), False, False), (4, 9, 1, at(3), False, True)],
+        [(5, 8, 1, at(4), False, True), (6, 9, 7, at(5), False, False), (7, 9, 1, at(6), False, True), (8, 9, 2, at(7), False, False)],
+    )
+    got = replay(routing.route_live(live, past, 1), "t")
+    assert tuples(got, "id", "recipient_id") == [(2, 5), (3, 1), (4, 1), (5, 6), (6, 1), (7, 7), (8, 1)]
+
+
+PURCHASES = "id BIGINT, auction_id BIGINT, user_id BIGINT, bid_amount INT, created_at TIMESTAMP_NTZ, is_buy_now BOOLEAN"
+
+
+def test_a_buy_now_below_the_highest_bid_counts_live(stream):
+    first = [(1, 1, 7, 100, at(1), False), (2, 1, 8, 80, at(2), True), (3, 1, 9, 90, at(3), False)]
+    second = [(4, 1, 6, 70, at(4), True), (5, 1, 5, 120, at(5), None)]
+    got = replay(live_bids.accept_bids(stream(PURCHASES, first, second)), "t")
+    assert tuples(got, "id", "is_buy_now", "outbid_user_id") == [(1, False, None), (2, True, 7), (4, True, 7), (5, False, 7)]
