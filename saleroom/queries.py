@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from saleroom.functions import text
 from saleroom.operators import auctions, listings, messaging, notify, quality, sales, users
 from saleroom.plans import changes, closing, conversations, trade
+from saleroom.session import scratch_path
 from saleroom.sources.views import AS_OF, PURGE_AS_OF, Marketplace, with_views
 from saleroom.streaming import bids as live_bids
 from saleroom.streaming import closing as live_closing
@@ -327,21 +328,20 @@ def user_thread_messages(m: Marketplace) -> DataFrame:
 
 
 @query("listing_cards", """
-    SELECT p.*, i.image_url AS fallback_image_url
-    FROM v_posts p
-    LEFT JOIN LATERAL (SELECT image_url FROM v_imgs WHERE v_imgs.post_id = p.id ORDER BY v_imgs.id LIMIT 1) i ON TRUE
-    WHERE p.hide = FALSE AND p.is_deleted = FALSE
+    WITH first_images AS (SELECT post_id AS id, min_by(image_url, id) AS fallback_image_url FROM v_imgs GROUP BY post_id)
+    SELECT * FROM v_posts LEFT JOIN first_images USING (id) WHERE NOT hide AND NOT is_deleted
 """)
 def listing_cards(m: Marketplace) -> DataFrame:
     return listings.cards(m["v_posts"], m["v_imgs"])
 
 
 @query("sales_report", """
-    SELECT s.*, p.title AS post_title, p.image_url, u.email AS buyer_email,
-           f.first_name AS buyer_first_name, f.last_name AS buyer_last_name,
-           (f.first_name || ' ' || f.last_name) AS buyer_name
-    FROM v_sales s JOIN v_posts p ON s.post_id = p.id
-    JOIN v_users u ON s.buyer_id = u.id JOIN v_profiles f ON f.user_id = u.id
+    WITH buyers AS (
+        SELECT v_users.id AS buyer_id, email AS buyer_email, first_name AS buyer_first_name, last_name AS buyer_last_name,
+               CASE WHEN first_name IS NOT NULL AND last_name IS NOT NULL THEN concat(first_name, ' ', last_name) END AS buyer_name
+        FROM v_profiles JOIN v_users ON v_users.id = v_profiles.user_id),
+    items AS (SELECT id AS post_id, title AS post_title, image_url FROM v_posts)
+    SELECT * FROM v_sales JOIN items USING (post_id) JOIN buyers USING (buyer_id)
 """, money=("price",))
 def sales_report(m: Marketplace) -> DataFrame:
     return sales.report(m["v_sales"], m["v_posts"], m["v_users"], m["v_profiles"])
@@ -1287,7 +1287,13 @@ _STREAM_CLOSE = f"""
 
 @query("stream_auction_close", _STREAM_CLOSE)
 def stream_auction_close(m: Marketplace) -> DataFrame:
-    return replay(live_closing.close_auctions(m.stream("events")["v_bids"], m["v_snipe"]), "close")
+    # every second auction opens while the stream runs
+    later = m["v_snipe"].where("id % 2 = 1").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    path = scratch_path(m.spark, "openings")
+    later.write.parquet(path)
+    openings = m.spark.readStream.schema(later.schema).parquet(path)
+    known = m["v_snipe"].where("id % 2 = 0")
+    return replay(live_closing.close_auctions(m.stream("events")["v_bids"], known, openings=openings), "close")
 
 
 @query("stream_mail_throttle", _cooldown_sql("v_new_messages", 120))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,13 +23,16 @@ OUTPUT = (
     "kind STRING, auction_id BIGINT, end_us BIGINT, extensions BIGINT, user_id BIGINT, "
     "bid_amount INT, bid_id BIGINT, reason STRING"
 )
+# How long a closed auction is remembered, so that a late bid is told why it does not count.
+KEEP_CLOSED_HOURS = 24
 COLUMNS = ["kind", "auction_id", "end_us", "extensions", "user_id", "bid_amount", "bid_id", "reason"]
 
 
 class AuctionCloser(StatefulProcessor):
     """Per auction: its current end, the top bid so far, whether it is closed."""
 
-    def __init__(self, window_seconds: int, step_seconds: int):
+    def __init__(self, window_seconds: int, step_seconds: int, keep_hours: int = KEEP_CLOSED_HOURS):
+        self.keep_ms = keep_hours * 3_600_000
         self.window = window_seconds * 1_000_000
         self.step = step_seconds * 1_000_000
 
@@ -43,12 +47,33 @@ class AuctionCloser(StatefulProcessor):
         return at
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        end_us = int(initialState["end_us"].iloc[0])
+        self._open(int(initialState["end_us"].iloc[0]))
+
+    def _open(self, end_us: int) -> None:
         self.auction.update((end_us, 0, None, None, None, None, False))
         self._arm(end_us)
 
+    def _shut(self, state: tuple, now_ms: int) -> None:
+        """Remember that the auction is over, for a while."""
+        self.auction.update((*state[:6], True))
+        self.handle.registerTimer(now_ms + self.keep_ms)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        bids = pd.concat(list(rows)).sort_values(["at_us", "id"], kind="stable")
+        batch = pd.concat(list(rows)).sort_values(["at_us", "id"], kind="stable")
+        opened = batch[batch["event"] == "open"]
+        # an opening counts for its whole micro-batch; a second one changes nothing
+        if len(opened) and not self.auction.exists():
+            self._open(int(opened["end_us"].iloc[0]))
+        ended = batch[batch["event"] == "cancel"]
+        bids = batch[batch["event"] == "bid"]
+        if len(ended):  # bids before the cancellation no longer matter, those after it are late
+            if self.auction.exists() and not self.auction.get()[6]:
+                state = self.auction.get()
+                self.handle.deleteTimer(-(-state[0] // 1000))
+                self._shut(state, max(int(ended["at_us"].iloc[0]) // 1000, timerValues.getCurrentWatermarkInMs()))
+            bids = bids[bids["at_us"] >= ended["at_us"].iloc[0]]
+        if bids.empty:
+            return
         if not self.auction.exists():
             yield self._dead(key[0], bids, "unknown auction")
             return
@@ -83,10 +108,15 @@ class AuctionCloser(StatefulProcessor):
             yield self._dead(key[0], late, "after the end")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end_us, extensions, amount, at_us, bid_id, user_id, closed = self.auction.get()
-        if closed or expiredTimerInfo.getExpiryTimeInMs() < -(-end_us // 1000):
+        if not self.auction.exists():
+            return
+        state = end_us, extensions, amount, at_us, bid_id, user_id, closed = self.auction.get()
+        if closed:
+            self.auction.clear()
             return
-        self.auction.update((end_us, extensions, amount, at_us, bid_id, user_id, True))
+        if expiredTimerInfo.getExpiryTimeInMs() < -(-end_us // 1000):
+            return
+        self._shut(state, expiredTimerInfo.getExpiryTimeInMs())
         yield pd.DataFrame(
             [("result", key[0], end_us, extensions, user_id, amount, bid_id, "expired")], columns=COLUMNS
         ).astype({"user_id": "Int64", "bid_amount": "Int32", "bid_id": "Int64"})
@@ -105,31 +135,49 @@ class AuctionCloser(StatefulProcessor):
         pass
 
 
+def _events(rows: DataFrame, event: str, key: str, at: str, **values: Column) -> DataFrame:
+    """Rows of one kind in the common shape."""
+    shape = {"id": "bigint", "user_id": "bigint", "bid_amount": "int", "end_us": "bigint"}
+    return rows.select(
+        F.lit(event).alias("event"), F.col(key).cast("bigint").alias("auction_id"),
+        # zeros rather than nulls, which would turn whole numbers into floats on the way
+        *(values.get(c, F.lit(0)).cast(kind).alias(c) for c, kind in shape.items()),
+        F.col(at).cast("timestamp_ltz").alias("event_time"), epoch_micros(F.col(at)).alias("at_us"),
+    )
+
+
 def close_auctions(
     bids: DataFrame,
     open_auctions: DataFrame,
     delay: str = "10 minutes",
     window_seconds: int = EXTENSION_WINDOW_SECONDS,
     step_seconds: int = EXTENSION_SECONDS,
+    openings: DataFrame | None = None,
+    cancellations: DataFrame | None = None,
+    keep_hours: int = KEEP_CLOSED_HOURS,
 ) -> DataFrame:
     """Results of auctions whose end the watermark has passed, and dead-letter rows.
 
     The open auctions are the initial state, each with a timer at its end; a bid in the
-    last minute moves the timer. A bid from the end onward, or for an auction nobody
-    opened, becomes a `dead-letter` row with its reason. At most one `result` per
-    auction: the state remembers the close.
+    last minute moves the timer. `openings` is a stream of auctions that open later
+    (id, end_time, created_at), `cancellations` one of auctions that were sold at once or
+    deleted (auction_id, cancelled_at): these give no result. A bid from the end onward, or
+    for an auction nobody opened, becomes a `dead-letter` row with its reason. At most one
+    `result` per auction: the state remembers the close for `keep_hours`.
+
+    Bids behind the watermark are not seen: Spark takes them out before any operator.
     """
-    keyed = (
-        bids.withColumn("event_time", F.col("created_at").cast("timestamp_ltz"))
-        .withWatermark("event_time", delay)
-        .select("id", "auction_id", "user_id", "bid_amount", "event_time",
-                epoch_micros(F.col("created_at")).alias("at_us"))
-    )
+    parts = [_events(bids, "bid", "auction_id", "created_at", **{c: F.col(c) for c in ("id", "user_id", "bid_amount")})]
+    if openings is not None:
+        parts.append(_events(openings, "open", "id", "created_at", end_us=epoch_micros(F.col("end_time"))))
+    if cancellations is not None:
+        parts.append(_events(cancellations, "cancel", "auction_id", "cancelled_at"))
+    keyed = reduce(DataFrame.unionByName, parts).withWatermark("event_time", delay)
     start = pinned(open_auctions.where("is_active").select(
         F.col("id").alias("auction_id"), epoch_micros(F.col("end_time")).alias("end_us")
     ))
     out = keyed.groupBy("auction_id").transformWithStateInPandas(
-        AuctionCloser(window_seconds, step_seconds), OUTPUT, "Append", "EventTime",
+        AuctionCloser(window_seconds, step_seconds, keep_hours), OUTPUT, "Append", "EventTime",
         start.groupBy("auction_id"),
     )
     ended = F.timestamp_add("MICROSECOND", F.col("end_us"), F.lit("1970-01-01").cast("timestamp_ntz"))

@@ -74,6 +74,21 @@ def test_auctions_close_extend_and_reject(stream, frame):
     ]
 
 
+def test_auctions_open_and_are_cancelled_while_the_stream_runs(stream, frame):
+    lots = frame("id BIGINT, end_time TIMESTAMP_NTZ, is_active BOOLEAN", (1, at(1000), True), (2, at(1000), True))
+    placed = stream(
+        BID, [(1, 1, 5, 10, at(0)), (2, 7, 5, 10, at(10))], [(3, 7, 6, 20, at(400)), (4, 2, 6, 20, at(400))],
+        [(5, 2, 8, 30, at(700)), (6, 9, 8, 30, at(3000))], [(7, 9, 8, 30, at(5000))],
+    )
+    opened = stream("id BIGINT, end_time TIMESTAMP_NTZ, created_at TIMESTAMP_NTZ", [(7, at(900), at(1))], [(7, at(2000), at(2))])
+    gone = stream("auction_id BIGINT, cancelled_at TIMESTAMP_NTZ", [], [(2, at(600))])
+    out = replay(closing.close_auctions(placed, lots, openings=opened, cancellations=gone), "t")
+    assert tuples(out.where("kind = 'result'"), "auction_id", "user_id", "bid_amount") == [(1, 5, 10), (7, 6, 20)]
+    assert tuples(out.where("kind = 'dead-letter'"), "bid_id", "reason") == [
+        (5, "after the end"), (6, "unknown auction"), (7, "unknown auction")
+    ]
+
+
 ARRIVAL = "user_id BIGINT, sent_at TIMESTAMP_NTZ"
 
 
