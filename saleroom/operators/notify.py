@@ -190,14 +190,19 @@ def listing_outbox(
     )
 
 
-def tracking_outbox(shipments: DataFrame, users: DataFrame, site: str = SITE) -> DataFrame:
-    """One mail per (buyer_id, tracking_number) shipment; blank numbers are left out."""
-    emails = users.select(F.col("id").alias("buyer_id"), F.col("email").alias("to_address"))
+def tracking_outbox(
+    shipments: DataFrame, users: DataFrame, site: str = SITE, kind: str = "sale", receiver: str = "buyer_id"
+) -> DataFrame:
+    """One mail per shipment with a tracking number; blank numbers are left out.
+
+    `kind` is "sale" (to the buyer) or "auction" (rows of auction results, to `winner_id`).
+    """
+    emails = users.select(F.col("id").alias(receiver), F.col("email").alias("to_address"))
     return (
         shipments.where(F.coalesce("tracking_number", F.lit("")) != "")
-        .join(emails, "buyer_id")
+        .join(emails, receiver)
         .select(
-            F.col("id").alias("sale_id"), "to_address",
+            F.lit(kind).alias("kind"), F.col("id").alias(f"{kind}_id"), "to_address",
             F.lit(TRACKING_SUBJECT).alias("subject"), "tracking_number",
             text.tracking_link(F.col("tracking_number")).alias("tracking_url"),
             F.lit(site).alias("home_url"),

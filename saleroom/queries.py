@@ -15,6 +15,8 @@ from saleroom.functions import text
 from saleroom.operators import auctions, listings, messaging, notify, quality, sales, users
 from saleroom.plans import changes, closing, conversations, trade
 from saleroom.session import scratch_path
+from saleroom.sources.snapshots import empty_table
+from saleroom.sources.tables import read_table
 from saleroom.sources.views import AS_OF, PURGE_AS_OF, Marketplace, with_views
 from saleroom.streaming import bids as live_bids
 from saleroom.streaming import closing as live_closing
@@ -1123,7 +1125,7 @@ def outbox_post(m: Marketplace) -> DataFrame:
 
 
 @query("outbox_tracking", f"""
-    SELECT s.id AS sale_id, u.email AS to_address, 'Your package has shipped!' AS subject,
+    SELECT 'sale' AS kind, s.id AS sale_id, u.email AS to_address, 'Your package has shipped!' AS subject,
            'RA ' || CAST(s.id AS VARCHAR) || '/US (' || s.post_id || ')' AS tracking_number,
            '{text.TRACKING_URL}RA%20' || CAST(s.id AS VARCHAR) || '%2FUS%20(' || s.post_id || ')' AS tracking_url,
            '{notify.SITE}' AS home_url
@@ -1416,3 +1418,134 @@ def rate_limit_mail_actions(m: Marketplace) -> DataFrame:
 """)
 def stream_bids_and_purchases(m: Marketplace) -> DataFrame:
     return replay(live_bids.accept_bids(m.stream("events")["v_bids_and_purchases"]), "purchases")
+
+
+# ---- input rules, permissions and edits -------------------------------------------------
+
+
+def _checked(rows: DataFrame, rules: dict[str, Column], *columns: str) -> DataFrame:
+    return quality.check(rows, rules).select(*columns, F.array_join("failed", "; ").alias("failed"))
+
+
+def _failed(condition: str, message: str) -> str:
+    return f"CASE WHEN {condition} THEN '{message}' ELSE '' END AS failed"
+
+
+@query("message_input_check", f"""
+    SELECT id, {_failed("coalesce(message_content, '') = ''", "message_content is required")}
+    FROM (SELECT id, CASE WHEN id % 7 = 0 THEN '' WHEN id % 7 <> 1 THEN message_content END AS message_content FROM v_messages) x
+""")
+def message_input_check(m: Marketplace) -> DataFrame:
+    text_ = F.when(F.col("id") % 7 == 0, "").when(F.col("id") % 7 != 1, F.col("message_content"))
+    return _checked(m["v_messages"].withColumn("message_content", text_), quality.message_rules(), "id")
+
+
+@query("tracking_input_check", f"""
+    SELECT id, {_failed("id % 3 <> 2", "tracking_number must be text")} FROM v_sales
+""")
+def tracking_input_check(m: Marketplace) -> DataFrame:
+    number = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 2, F.concat(F.lit("T"), F.col("id")))
+    return _checked(m["v_sales"].withColumn("tracking_number", number), quality.tracking_rules(), "id")
+
+
+@query("paid_input_check", f"""
+    SELECT id, {_failed("id % 4 > 1", "is_paid must be boolean")} FROM v_sales
+""")
+def paid_input_check(m: Marketplace) -> DataFrame:
+    kind = F.col("id") % 4
+    given = F.when(kind == 0, "true").when(kind == 1, "false").when(kind == 2, "yes")
+    return _checked(m["v_sales"].withColumn("is_paid", given), quality.paid_rules(), "id")
+
+
+@query("id_input_check", f"""
+    SELECT id, {_failed("user_id % 4 = 0", "id must be digits")}
+    FROM (SELECT id AS user_id, CASE WHEN id % 4 = 0 THEN 'u' ELSE '' END || CAST(id AS VARCHAR) AS id FROM v_users) x
+""")
+def id_input_check(m: Marketplace) -> DataFrame:
+    given = F.concat(F.when(F.col("id") % 4 == 0, "u").otherwise(""), F.col("id").cast("string"))
+    return _checked(m["v_users"].select(given.alias("id")), quality.id_rules(), "id")
+
+
+@query("broadcast_input_check", """
+    SELECT id, concat_ws('; ', CASE WHEN id % 5 = 0 THEN 'subject is required' END,
+                               CASE WHEN id % 3 = 0 THEN 'message is required' END) AS failed
+    FROM v_posts
+""")
+def broadcast_input_check(m: Marketplace) -> DataFrame:
+    rows = m["v_posts"].select(
+        "id", F.when(F.col("id") % 5 == 0, " \t").otherwise("x").alias("subject"), F.when(F.col("id") % 3 != 0, "y").alias("message")
+    )
+    return _checked(rows, quality.broadcast_rules(), "id")
+
+
+@query("managers", f"SELECT id, email, email IN ('{ADMIN_EMAIL}') AS is_admin FROM v_users")
+def managers(m: Marketplace) -> DataFrame:
+    return listings.may_manage(m["v_users"].select("id", "email"), [ADMIN_EMAIL])
+
+
+@query("dropped_list_images", """
+    SELECT o.post_id, o.image_url FROM v_image_edits o
+    WHERE NOT EXISTS (FROM v_image_edits n WHERE n.kept AND n.post_id = o.post_id AND n.image_url = o.image_url)
+""")
+def dropped_list_images(m: Marketplace) -> DataFrame:
+    lists = m["v_image_edits"].groupBy("post_id").agg(
+        F.collect_list("image_url").alias("old"), F.collect_list(F.when(F.col("kept"), F.col("image_url"))).alias("new")
+    )
+    return lists.select("post_id", F.explode(listings.dropped_from_lists(F.col("old"), F.col("new"))).alias("image_url"))
+
+
+@query("replaced_profile_images", """
+    SELECT p.user_id, 'http://host.example/' || CAST(p.user_id AS VARCHAR) || '.jpg' AS image_url,
+           CAST(p.user_id AS VARCHAR) || '.jpg' AS storage_key
+    FROM v_profiles p WHERE p.user_id % 3 = 0 AND p.user_id % 2 = 0
+""")
+def replaced_profile_images(m: Marketplace) -> DataFrame:
+    url = F.concat(F.lit("http://host.example/"), F.col("user_id").cast("string"), F.lit(".jpg"))
+    profiles = m["v_profiles"].select("user_id", F.when(F.col("user_id") % 2 == 0, url).alias("image_url"))
+    edits = m["v_profiles"].where("user_id % 3 = 0").select("user_id", F.lit("http://host.example/new.jpg").alias("image_url"))
+    return users.replaced_images(profiles, edits)
+
+
+@query("outbox_auction_tracking", f"""
+    SELECT 'auction' AS kind, r.id AS auction_id, u.email AS to_address, 'Your package has shipped!' AS subject,
+           'RB' || CAST(r.id AS VARCHAR) AS tracking_number, '{text.TRACKING_URL}RB' || CAST(r.id AS VARCHAR) AS tracking_url,
+           '{notify.SITE}' AS home_url
+    FROM v_results r JOIN v_users u ON u.id = r.winner_id WHERE r.is_paid
+""")
+def outbox_auction_tracking(m: Marketplace) -> DataFrame:
+    number = F.when(F.col("is_paid"), F.concat(F.lit("RB"), F.col("id").cast("string")))
+    return notify.tracking_outbox(
+        m["v_results"].withColumn("tracking_number", number), m["v_users"], kind="auction", receiver="winner_id"
+    )
+
+
+# ---- typed scans: each table as it is stored, read back with its declared schema ---------
+
+_STORED = {
+    "users": "v_users", "listings": "v_posts", "listing_images": "v_imgs", "messages": "v_messages", "auctions": "v_auctions",
+    "bids": "v_bids", "auction_results": "v_results", "sales": "v_sales", "notifications": "v_notifications", "error_log": "v_errors",
+}
+_SCANNED = {
+    "users": "id, email", "listings": "id, title, price, author_id, hide", "listing_images": "id, post_id, image_url",
+    "messages": "id, conversation_id, user_id, message_content, sent_at, is_read, is_from_admin",
+    "auctions": "id, title, end_time, is_active", "bids": "id, auction_id, user_id, bid_amount, created_at",
+    "auction_results": "id, auction_id, winner_id, final_bid, closed_at, closed_reason, is_paid",
+    "sales": "id, post_id, buyer_id, is_paid, created_at", "notifications": "id, user_id, type, created_at, is_read",
+    "error_log": "id, created_at",
+}
+
+
+def _scan(table: str) -> Query:
+    def build(m: Marketplace) -> DataFrame:
+        shape = empty_table(m.spark, table)
+        rows = m[_STORED[table]]
+        known = [f for f in shape.schema if f.name in rows.columns]
+        path = scratch_path(m.spark, f"scan-{table}")
+        rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in known)).write.parquet(path)
+        return read_table(m.spark, path, table).selectExpr(*_SCANNED[table].split(", "))
+
+    return build
+
+
+for _table, _view in _STORED.items():
+    query(f"scan_{_table}", f"SELECT {_SCANNED[_table]} FROM {_view}")(_scan(_table))
