@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleroom.llm.tokens import buffer_of, column, is_held_out, mixed, pieces, segment_sums, small_batches
+from saleroom.llm.tokens import buffer_of, column, is_held_out, mixed, pieces, sampled, segment_sums, small_batches
 
 BUCKETS = 1 << 15
 WIDTH = 16
 ORDERS = (2, 3, 4)
-# Labelled rows learned from: those with the smallest hashes of their text, whole.
+# Labelled rows learned from: those with the smallest hashes of their id, whole.
 TRAIN_ROWS = 2_000
 BATCH = 32
 # Passes over the sample, and for a small one at least so many steps.
@@ -182,16 +182,15 @@ def calibrated(model: LanguageModel, texts: list[str], y: np.ndarray) -> Languag
     return model
 
 
-def learned_from(docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Column | None = None) -> LanguageModel:
-    """A model of a bounded sample of the rows with a language where `allowed` holds."""
+def learned_from(
+    docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Column | None = None, doc_id: str = "doc_id"
+) -> LanguageModel:
+    """A model of a bounded sample of the rows with a language where `allowed` holds; ids only choose the sample."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if allowed is not None:
         known = known.where(allowed)
-    # a uniform choice of whole texts
-    rows = (
-        known.select(F.xxhash64(F.col(text)).alias("_h"), F.col(text).alias("_t"), F.col(lang).alias("_l"))
-        .orderBy("_h", "_l").limit(TRAIN_ROWS).collect()
-    )
+    found = known.select(F.xxhash64(F.col(doc_id)).alias("_h"), F.col(text).alias("_t"), F.col(lang).alias("_l"))
+    rows = sampled(found, F.col("_h"), TRAIN_ROWS).collect()
     return trained([r["_t"] for r in rows], [r["_l"] for r in rows])
 
 
