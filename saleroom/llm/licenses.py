@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleroom.llm.tokens import SpanHash, buffer_of, column, mixed, pieces, segment_sums, small_batches
+from saleroom.llm.tokens import SpanHash, buffer_of, column, mixed, pieces, sampled, segment_sums, small_batches
 
 # How public licences are commonly named in notices.
 TEMPLATES = {
@@ -230,7 +230,11 @@ def trained(plain: list[str], seed: int = 19) -> LicenceModel:
 def learned(docs: DataFrame, text: str = "text") -> LicenceModel:
     """The model, with a bounded sample of the corpus's paragraphs (smallest hashes) as `unknown`."""
     paragraphs = docs.select(F.explode(F.split(F.col(text), "\n")).alias("p")).where(F.trim("p") != "")
-    sample = paragraphs.select(F.xxhash64("p").alias("h"), "p").orderBy("h", "p").limit(PLAIN_ROWS).collect()
+    # a line that is everywhere counts once: cut by hash first, then only different ones
+    n = paragraphs.count()
+    share = min(1.0, 20 * PLAIN_ROWS / max(1, n))
+    few = paragraphs.where(F.shiftrightunsigned(F.xxhash64("p"), 1) <= F.lit(int(share * (2**63 - 1)))).distinct()
+    sample = sampled(few, F.xxhash64("p"), PLAIN_ROWS).collect()
     known = {" ".join(w[i : i + 3]) for notices in TEMPLATES.values() for n in notices for w in [_WORD.findall(n.lower())] for i in range(len(w) - 2)}
     plain = []
     for row in sample:
