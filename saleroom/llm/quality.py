@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleroom.llm.tokens import Words, buffer_of, column, pieces, small_batches, words_of
+from saleroom.llm.tokens import Words, buffer_of, column, pieces, sampled, small_batches, words_of
 
 BUCKETS = 1 << 13
 SHAPES = 1 << 10
@@ -198,10 +198,8 @@ def learned(
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
     if allowed is not None:
         known = known.where(allowed)
-    sample = (
-        known.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_y"))
-        .orderBy(F.xxhash64("_id"), "_id", "_y").limit(TRAIN_ROWS)
-    )
+    known = known.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_y"))
+    sample = sampled(known, F.xxhash64("_id"), TRAIN_ROWS)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id")
     found = vectors(rows.select(F.struct("_id", "_y").alias("key"), "text"), table, "key").collect()
     found.sort(key=lambda r: (r["key"]["_id"], r["key"]["_y"], r["vector"]))

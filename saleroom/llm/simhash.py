@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from saleroom.functions.ids import pinned
 from saleroom.llm.components import components
-from saleroom.llm.tokens import LOWER, column, pieces, small_batches
+from saleroom.llm.tokens import LOWER, column, pieces, sampled, small_batches
 
 SHINGLE = 4
 RADIUS = 4
@@ -171,7 +171,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     """(a, b): stars that connect the distinct fingerprints `fp` within the radius, and nothing more."""
     n = fps.count()
     depth = min(MOST_DEPTH, max(0, math.ceil(math.log2(max(1, n) / shard))))
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    sample = sampled(fps.select("fp"), F.xxhash64("fp"), SAMPLE).collect()
     points = np.array([r["fp"] for r in sample], np.int64).view(np.uint64)
     small = radius // PARTS
     trees = [Tree(points, mask, depth, k) for k, mask in enumerate(masks())]
