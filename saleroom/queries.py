@@ -1313,6 +1313,17 @@ def stream_inbox(m: Marketplace) -> DataFrame:
     return replay_updates(live, ["conversation_id"], "inbox")
 
 
+@query("stream_inbox_reads", """
+    SELECT conversation_id, max(sent_at) AS last_message_at, count(*) AS message_count,
+           count(CASE WHEN is_read = FALSE AND is_from_admin = FALSE AND id % 5 <> 0 THEN 1 END) AS unread_count
+    FROM v_messages GROUP BY conversation_id
+""")
+def stream_inbox_reads(m: Marketplace) -> DataFrame:
+    live = m.stream("conversations")["v_messages"]
+    flips = live.where("is_read = false AND is_from_admin = false AND id % 5 = 0").select("id", "conversation_id")
+    return replay_updates(inbox.live_inbox(live, flips), ["conversation_id"], "reads")
+
+
 @query("rate_limit_audit", """
     SELECT coalesce(email, 'no-email') AS key, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS hits,
            count(*) - 1 AS excess

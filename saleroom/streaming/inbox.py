@@ -10,13 +10,21 @@ from saleroom.session import configure, scratch_path
 from saleroom.sources.snapshots import SnapshotStore
 
 
-def live_inbox(messages: DataFrame) -> DataFrame:
+def live_inbox(messages: DataFrame, reads: DataFrame | None = None) -> DataFrame:
     """Last message time, message count and unread count per conversation (update mode).
 
-    The aggregation is combined before the shuffle; the state is one row per
-    conversation.
+    `reads` is a stream of messages that were unread and have been read since (id,
+    conversation_id), each of them once. The aggregation is combined before the shuffle;
+    the state is one row per conversation.
     """
-    return conversation_totals(messages)
+    if reads is None:
+        return conversation_totals(messages)
+    unread = F.coalesce((F.col("is_read") == F.lit(False)) & (F.col("is_from_admin") == F.lit(False)), F.lit(False))
+    arrived = messages.select("conversation_id", "sent_at", F.lit(1).alias("_message"), unread.cast("int").alias("_unread"))
+    read = reads.select("conversation_id", F.lit(None).cast("timestamp_ntz").alias("sent_at"), F.lit(0).alias("_message"), F.lit(-1).alias("_unread"))
+    return arrived.unionByName(read).groupBy("conversation_id").agg(
+        F.max("sent_at").alias("last_message_at"), F.sum("_message").alias("message_count"), F.sum("_unread").alias("unread_count")
+    )
 
 
 def unique_changes(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -20,7 +20,7 @@ EAGER = {
     "append_with_defaults", "upsert_addresses", "close_expired_messages", "buy_now_messages", "swap_to_listing",
     "swap_images", "assign_conversations", "mail_after_cooldown", "stream_bids", "stream_auction_close",
     "stream_mail_throttle", "stream_inbox", "rate_limit_audit", "typing_sessions", "latest_status", "message_routing",
-    "rate_limit_requests", "rate_limit_test_requests", "rate_limit_mail_actions", "stream_bids_and_purchases",
+    "rate_limit_requests", "rate_limit_test_requests", "rate_limit_mail_actions", "stream_bids_and_purchases", "stream_inbox_reads",
 }
 
 

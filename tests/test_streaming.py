@@ -120,6 +120,13 @@ def test_inbox_keeps_the_last_version(stream):
     assert tuples(got, "conversation_id", "message_count", "unread_count") == [(7, 2, 2), (8, 1, 0)]
 
 
+def test_reading_lowers_the_unread_count(stream):
+    talk = stream(MESSAGE, [(1, 7, 5, at(1), False, False), (2, 7, 5, at(2), False, False)], [(3, 7, 1, at(3), False, True)])
+    reads = stream("id BIGINT, conversation_id BIGINT", [], [(2, 7)])
+    got = replay_updates(inbox.live_inbox(talk, reads), ["conversation_id"], "t")
+    assert tuples(got, "conversation_id", "message_count", "unread_count") == [(7, 3, 1)]
+
+
 CHANGE = "id BIGINT, key BIGINT, status STRING, changed_at TIMESTAMP_NTZ"
 
 
