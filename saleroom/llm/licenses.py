@@ -233,7 +233,7 @@ def learned(docs: DataFrame, text: str = "text") -> LicenceModel:
     # a line that is everywhere counts once: cut by hash first, then only different ones
     n = paragraphs.count()
     share = min(1.0, 20 * PLAIN_ROWS / max(1, n))
-    few = paragraphs.where(F.shiftrightunsigned(F.xxhash64("p"), 1) <= F.lit(int(share * (2**63 - 1)))).distinct()
+    few = paragraphs.where(F.shiftrightunsigned(F.xxhash64("p"), 1) <= F.lit(min(2**63 - 1, int(share * 2**63)))).distinct()
     sample = sampled(few, F.xxhash64("p"), PLAIN_ROWS).collect()
     known = {" ".join(w[i : i + 3]) for notices in TEMPLATES.values() for n in notices for w in [_WORD.findall(n.lower())] for i in range(len(w) - 2)}
     plain = []

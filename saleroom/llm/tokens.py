@@ -165,5 +165,5 @@ def sampled(rows: DataFrame, by: Column, most: int) -> DataFrame:
     """
     place = F.shiftrightunsigned(by, 1)
     share = min(1.0, 1.5 * most / max(1, rows.count()))
-    cut = rows.withColumn("_place", place).where(F.col("_place") <= F.lit(int(share * (2**63 - 1))))
+    cut = rows.withColumn("_place", place).where(F.col("_place") <= F.lit(min(2**63 - 1, int(share * 2**63))))
     return cut.orderBy("_place", *rows.columns).limit(most).drop("_place")
