@@ -30,6 +30,8 @@ from saleroom.llm.tokens import buffer_of, column, is_held_out, mixed, pieces, s
 BUCKETS = 1 << 15
 WIDTH = 16
 ORDERS = (2, 3, 4)
+# Text scored at once: a byte of it takes some 200 bytes of arrays.
+PIECE_BYTES = 1 << 18
 # Labelled rows learned from: those with the smallest hashes of their id, whole.
 TRAIN_ROWS = 2_000
 BATCH = 32
@@ -202,7 +204,7 @@ def identified(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, most=PIECE_BYTES):
                 name, score, ok = shared.value.named(column(piece, "text"))
                 yield pa.RecordBatch.from_arrays(
                     [column(piece, "doc_id"), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(ok)],
@@ -219,7 +221,7 @@ def accepted(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, PIECE_BYTES):
                 _, _, ok = shared.value.named(column(piece, text))
                 yield piece.filter(pa.array(ok))
 

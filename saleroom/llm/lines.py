@@ -43,7 +43,7 @@ LEAST_DOCS = 10
 VARIETY = 10
 # Share of a template's places that aren't variable.
 FIXED = 0.6
-PART_CHARS = 8_000_000
+PART_CHARS = 4_000_000
 BUCKET_LINES = 200_000
 _FIELD = np.uint64(0x5BF03635)
 _LOW = np.iinfo(np.int64).min
