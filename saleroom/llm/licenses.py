@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. Their word 1-, 2- and 3-grams are hashed into a sparse
+Paragraphs are the lines of a text, and the runs of lines over which a hard-wrapped notice goes
+on, up to a line without a word. Their word 1-, 2- and 3-grams are hashed into a sparse
 vector (each gram once) and a multinomial logistic regression gives a licence family or
 `unknown`. It is trained in numpy on notices written from the templates below, with words
 dropped, added and exchanged, and on at most `PLAIN_ROWS` paragraphs of the corpus itself that
@@ -96,15 +97,30 @@ _INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 @dataclass
 class Grams:
-    """bucket of each word gram; paragraph it is in; text of each paragraph; hashes of words and their paragraphs."""
+    """bucket of each word gram; paragraph it is in; text and line of each paragraph; hashes of words and their paragraphs."""
 
     bucket: np.ndarray
     owner: np.ndarray
     text: np.ndarray
+    line: np.ndarray
     words: np.ndarray
     word_owner: np.ndarray
 
 
+def _gram_buckets(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, owner) of the word 1- to 3-grams, each once an owner."""
+    buckets, owners = [], []
+    key = np.zeros(len(h), np.uint64)
+    for n in range(1, ORDERS + 1):
+        m = max(0, len(h) - n + 1)
+        key = mixed(key[:m] * np.uint64(31) + h[n - 1 :])
+        pick = np.flatnonzero(owner[:m] == owner[n - 1 :]) if m else np.zeros(0, np.int64)
+        buckets.append((key[pick] % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(owner[pick])
+    once = np.unique(np.concatenate(owners) * BUCKETS + np.concatenate(buckets))
+    return once % BUCKETS, once // BUCKETS
+
+
 def grams(texts: pa.Array) -> Grams:
     """Word 1- to 3-grams of every paragraph (line with a word) of the texts, ASCII letters lower-cased."""
     data, at = buffer_of(texts)
@@ -122,17 +138,8 @@ def grams(texts: pa.Array) -> Grams:
     line = np.searchsorted(breaks, starts, "right")
     lines, owner = np.unique(line, return_inverse=True)
     text = np.searchsorted(at, starts[np.searchsorted(line, lines)], "right") - 1 if len(lines) else np.zeros(0, np.int64)
-    buckets, owners = [], []
-    key = np.zeros(len(h), np.uint64)
-    for n in range(1, ORDERS + 1):
-        m = max(0, len(h) - n + 1)
-        key = mixed(key[:m] * np.uint64(31) + h[n - 1 :])
-        pick = np.flatnonzero(owner[:m] == owner[n - 1 :]) if m else np.zeros(0, np.int64)
-        buckets.append((key[pick] % np.uint64(BUCKETS)).astype(np.int64))
-        owners.append(owner[pick])
-    bucket, of = np.concatenate(buckets), np.concatenate(owners)
-    once = np.unique(of * BUCKETS + bucket)
-    return Grams(once % BUCKETS, once // BUCKETS, text, h, owner)
+    bucket, of = _gram_buckets(h, owner)
+    return Grams(bucket, of, text, lines, h, owner)
 
 
 def pair_hashes(h: np.ndarray) -> np.ndarray:
@@ -170,6 +177,49 @@ def confirmed(g: Grams, paragraph: int, family: str, templates: list[tuple[str,
     return max((float(np.isin(t, own).mean()) for f, t in templates if f == family and len(t)), default=0.0)
 
 
+def wrapped(g: Grams, model: LicenceModel, templates: list[tuple[str, np.ndarray]], found: list[tuple[int, int, str, float, float]]) -> list[tuple[int, int, str, float, float]]:
+    """(text, first line, family, probability, share) of notices that go on over the lines of one block.
+
+    A block is a run of lines with words. A notice lies within twice its template's words, so
+    that common pairs of a long block do not add up to one. Its lines together are classified
+    as one line is. `found` are the notices of single lines; they are not found again.
+    """
+    if len(g.words) < 2:
+        return []
+    goes_on = (g.text[1:] == g.text[:-1]) & (g.line[1:] == g.line[:-1] + 1)
+    block = np.concatenate([[0], np.cumsum(~goes_on)])[g.word_owner]
+    pairs = pair_hashes(g.words)
+    hit = np.flatnonzero(np.isin(pairs, np.unique(np.concatenate([t for _, t in templates]))) & (block[1:] == block[:-1]))
+    spans: list[tuple[float, int, int, str]] = []
+    for family, template in templates:
+        own = hit[np.isin(pairs[hit], template)]
+        # a block's words come before the next one's: its hits are cut off where it ends
+        until = np.minimum(own + 2 * len(template) + 1, np.searchsorted(block, block[own], "right") - 1)
+        stop = np.searchsorted(own, until, "left")
+        for i in np.flatnonzero(stop - np.arange(len(own)) >= HELD * len(template)):
+            share = len(np.unique(pairs[own[i : stop[i]]])) / len(template)
+            a, b = int(g.word_owner[own[i]]), int(g.word_owner[own[stop[i] - 1] + 1])
+            if share >= HELD and b > a:
+                spans.append((share, a, b, family))
+    spans = sorted(set(spans), key=lambda x: (-x[0], x[2] - x[1], x[1], x[3]))
+    if not spans:
+        return []
+    first = np.searchsorted(g.word_owner, np.arange(len(g.text) + 1))
+    sizes = np.array([first[b + 1] - first[a] for _, a, b, _ in spans])
+    words = np.concatenate([g.words[first[a] : first[b + 1]] for _, a, b, _ in spans])
+    owner = np.repeat(np.arange(len(spans)), sizes)
+    p = model.probabilities(Grams(*_gram_buckets(words, owner), np.array([g.text[x[1]] for x in spans]), np.arange(len(spans)), words, owner))
+    taken = {(k, family) for _, k, family, _, _ in found}
+    out = []
+    for (share, a, b, family), row in zip(spans, p):
+        best = int(row.argmax())
+        mine = {(k, family) for k in range(a, b + 1)}
+        if model.families[best] == family and row[best] >= model.level and not mine & taken:
+            taken |= mine
+            out.append((int(g.text[a]), a, family, float(row[best]), share))
+    return out
+
+
 def variants(notice: str, rng: np.random.Generator, others: list[str]) -> str:
     """A notice as people write it: some words lost or swapped, other words around it."""
     words = [w for w in notice.split() if rng.random() > 0.06]
@@ -245,7 +295,7 @@ def learned(docs: DataFrame, text: str = "text") -> LicenceModel:
 
 
 def licences(docs: DataFrame, model: LicenceModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, paragraph (its number among the lines with a word, from 0), family, probability and template_share of every licence found."""
+    """doc_id, paragraph (number of its first line among the lines with a word, from 0), family, probability and template_share of every licence found."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -264,6 +314,7 @@ def licences(docs: DataFrame, model: LicenceModel, doc_id: str = "doc_id", text:
                     share = confirmed(g, k, family, templates)
                     if share >= HELD:
                         found.append((int(g.text[k]), k, family, float(p[k, best[k]]), share))
+                found = sorted(found + wrapped(g, model, templates, found), key=lambda x: x[1])
                 ids = column(piece, "doc_id")
                 first = np.searchsorted(g.text, np.arange(piece.num_rows))
                 yield pa.RecordBatch.from_arrays(
