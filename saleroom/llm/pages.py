@@ -33,11 +33,8 @@ from pyspark.sql import functions as F
 from saleroom.functions.ids import pinned
 from saleroom.llm.tokens import column, pieces, small_batches
 
-# A template occurs on so many different pages of a host, and on this share of its pages.
+# A template occurs on so many different pages of a host, however many it has.
 LEAST_PAGES = 5
-LEAST_SHARE = 0.01
-# Recurring subtrees broadcast to the extraction: 16 bytes each plus the host.
-BROADCAST_TEMPLATES = 500_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -207,50 +204,43 @@ def host_of(url: Column) -> Column:
 
 
 def subtrees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, subtree, main): the distinct container hashes of each page with a hash of its main text."""
+    """(host, page, main, subtrees): of each page a hash of its source, one of its main text, and its distinct container hashes."""
     small_batches(pages.sparkSession)
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "html"):
-                hosts, found, mains = [], [], []
-                for host, source in zip(column(piece, "host").to_pylist(), column(piece, "html").to_pylist()):
+                found, mains = [], []
+                for source in column(piece, "html").to_pylist():
                     page = read(source)
-                    main = _hash([page.text()])
-                    for h in set(page.hashes):
-                        hosts.append(host)
-                        found.append(h)
-                        mains.append(main)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(mains, pa.int64())], ["host", "subtree", "main"])
-
-    return rows.mapInArrow(run, "host string, subtree bigint, main bigint")
-
-
-def site_templates(pages: DataFrame, url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
-    """(host, templates): the subtrees that recur on at least `least` different pages and `share` of the host's pages.
-
-    At most 1/share times a page's containers per host, so one row per host is bounded.
-    """
-    sizes = pages.groupBy(host_of(F.col(url)).alias("host")).agg(F.count("*").alias("_pages"))
-    counted = subtrees(pages, url, html).distinct().groupBy("host", "subtree").agg(F.count("*").alias("_on")).where(F.col("_on") >= least)
-    return (
-        counted.join(sizes, "host").where(F.col("_on") >= F.col("_pages") * share)
-        .groupBy("host").agg(F.collect_list("subtree").alias("templates"))
-    )
+                    mains.append(_hash([page.text()]))
+                    found.append(list(set(page.hashes)))
+                yield pa.RecordBatch.from_arrays(
+                    [column(piece, "host"), column(piece, "page"), pa.array(mains, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                    ["host", "page", "main", "subtrees"],
+                )
+
+    return rows.mapInArrow(run, "host string, page bigint, main bigint, subtrees array<bigint>")
 
 
-def main_text(
-    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
-    least: int = LEAST_PAGES, share: float = LEAST_SHARE, broadcast_templates: int = BROADCAST_TEMPLATES,
-) -> DataFrame:
+def site_templates(found: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+    """(host, subtree): what recurs on at least `least` different pages of its host; `found` is of subtrees()."""
+    on = found.select("host", F.explode("subtrees").alias("subtree"), "main").distinct()
+    return on.groupBy("host", "subtree").agg(F.count("*").alias("_on")).where(F.col("_on") >= least).select("host", "subtree")
+
+
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    known = pinned(site_templates(pages, url, html, least, share))
-    n = known.agg(F.sum(F.size("templates"))).first()[0] or 0
-    few = F.broadcast(known) if n <= broadcast_templates else known
+    found = pinned(subtrees(pages, url, html))
+    # each page gets the templates that it has itself, so no list grows with its host
+    own = found.select("host", "page", F.explode("subtrees").alias("subtree")).distinct()
+    hits = own.join(site_templates(found, least), ["host", "subtree"], "left_semi").groupBy("host", "page").agg(F.collect_list("subtree").alias("templates"))
     rows = (
-        pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-        .join(few, "host", "left").select("page_id", "url", "html", "templates")
+        pages.select(
+            F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page"),
+        )
+        .join(hits, ["host", "page"], "left").select("page_id", "url", "html", "templates")
     )
     small_batches(pages.sparkSession)
 
