@@ -159,7 +159,10 @@ def grouped(fps: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     tie(pivots, everything)
     rest = np.setdiff1d(rows, pivots)
     largest = np.bincount(labels).argmax() if len(labels) else 0
+    one = np.flatnonzero(labels == largest)[:1]
     tie(rest[labels[rest] != largest], everything)
+    # the largest group may have joined one with a smaller label
+    largest = labels[one[0]] if len(one) else largest
     members = rest[labels[rest] == largest]
     outside = np.flatnonzero(labels != largest)
     if len(members) and len(outside):
