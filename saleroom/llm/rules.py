@@ -23,29 +23,24 @@ from saleroom.functions.ids import pinned
 from saleroom.llm.tokens import words
 
 SYMBOLS = "#*$%&|<>"
-_POSITION_BITS = 24
 
 
 def _repeated_positions(tokens: Column) -> Column:
     """Number of words that lie in a 3-word window found twice or more.
 
-    A window's 64-bit hash and its place share one sortable long: 40 hash bits, 24 place
-    bits. Equal neighbours in the sorted array are compared on the whole hash again.
+    Windows are sorted by their 64-bit hash, each with its place; equal ones are neighbours.
     """
-    low = (1 << _POSITION_BITS) - 1
     grams = F.transform(
         F.slice(tokens, 1, F.greatest(F.size(tokens) - 2, F.lit(0))),
         lambda w, i: F.xxhash64(w, F.get(tokens, i + 1), F.get(tokens, i + 2)),
     )
-    return F.expr(f"""
+    return F.expr("""
         aggregate(
-          array(named_struct('g', _grams, 's', array_sort(transform(_grams,
-            (g, i) -> (g & ~{low}L) | CAST(i AS BIGINT))))),
+          array(sort_array(transform(_grams, (g, i) -> named_struct('g', g, 'p', i)))),
           0L,
-          (unused, x) -> aggregate(
-            sort_array(filter(transform(x.s, (v, i) ->
-              CASE WHEN (v & ~{low}L) = (get(x.s, i + 1) & ~{low}L)
-                     OR (v & ~{low}L) = (get(x.s, i - 1) & ~{low}L) THEN CAST(v & {low}L AS INT) END),
+          (unused, s) -> aggregate(
+            sort_array(filter(transform(s, (v, i) ->
+              CASE WHEN v.g = get(s, i + 1).g OR v.g = get(s, i - 1).g THEN v.p END),
               p -> p IS NOT NULL)),
             named_struct('n', 0L, 'end', 0L),
             (a, p) -> named_struct('n', a.n + p + 3 - greatest(a.end, CAST(p AS BIGINT)), 'end', CAST(p + 3 AS BIGINT)),
