@@ -30,6 +30,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saleroom.functions.ids import pinned
+
 # A list of rules above this length is refused: give a table.
 MOST_LISTED = 200
 # A host goes when its share of bad pages is above LIMIT with a one-sided certainty of Z deviations.
@@ -183,7 +185,8 @@ def judged(
         ruled = places.join(by_rule, ["host", "path"], "left")
     else:
         ruled = places.withColumn("found", listed_rule(F.col("host"), F.col("path"), rules))
-    known = reputation(outcomes_of(places, labels))
+    # a row per host, read once by each level: pinned, so that pages are read no further time
+    known = reputation(pinned(outcomes_of(places, labels)))
     by_host = F.when(F.col("bound") > limit, F.lit("block")).otherwise(F.lit("allow"))
     return ruled.join(known, "host").select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"),
