@@ -20,7 +20,9 @@ one at a time. Empty tables give an empty result. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,19 +55,52 @@ def byte_level_entries(vocabulary: dict[str, int]) -> list[bytes]:
     return out
 
 
+# How a byte-level vocabulary cuts text into words, and the characters that both libraries class alike in it.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_UNSETTLED = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u203a]")
+
+
 class ByteLevel:
-    """A byte-level BPE of the `tokenizers` library from its JSON. Encodes a space and the text."""
+    """A byte-level BPE from the JSON of the `tokenizers` library. Encodes a space and the text.
+
+    Where ids follow the merges' order and words are cut in the usual way, `tiktoken` gives the
+    same ids in a third of the time. It takes the texts whose characters both libraries class
+    alike (letters, digits, spaces); any other text, and any other model, goes to `tokenizers`.
+    """
 
-    def __init__(self, json: str) -> None:
+    def __init__(self, json_text: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(json)
+        self.model = Tokenizer.from_str(json_text)
         self.model.encode_special_tokens = True
         self.entries = byte_level_entries(self.model.get_vocab(with_added_tokens=True))
+        self.fast = self._ranked(json.loads(json_text))
+
+    def _ranked(self, spec: dict) -> Callable[[str], list[int]] | None:
+        vocabulary, pre = spec["model"]["vocab"], spec.get("pre_tokenizer") or {}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        ids = [vocabulary.get("".join(m), -1) for m in merges]
+        usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        if not usual or spec["model"].get("ignore_merges") or ids != sorted(ids) or (ids and ids[0] < 256):
+            return None
+        import tiktoken
+
+        added = {t["id"] for t in spec.get("added_tokens") or []}
+        ranks = {self.entries[i]: i for i in vocabulary.values() if i not in added}
+        return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        out: list[list[int]] = [[] for _ in texts]
+        slow = []
+        for k, t in enumerate(texts):
+            if self.fast is None or _UNSETTLED.search(t):
+                slow.append(k)
+            else:
+                out[k] = self.fast(" " + t)
+        for k, e in zip(slow, self.model.encode_batch_fast([" " + texts[k] for k in slow], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
 
 
 class Pieces:
@@ -332,8 +367,8 @@ def aligned(
 def byte_level(path: str) -> Callable[[], Encoder]:
     """A's maker: the vocabulary file is read here and travels with the tasks, so workers need no copy of it."""
     with open(path, encoding="utf-8") as f:
-        json = f.read()
-    return lambda: ByteLevel(json)
+        text = f.read()
+    return lambda: ByteLevel(text)
 
 
 def piece_model(path: str) -> Callable[[], Encoder]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -55,6 +56,18 @@ def plain(texts, makers):
     return [(*r[:4], sum(count[p] == best[p[0]] for p in links), sum(count[p] for p in links), r[4]) for r, links in zip(rows, pairs)]
 
 
+def test_both_libraries_give_the_same_ids(makers):
+    a = makers[0]()
+    assert a.fast is not None
+    letters = [chr(c) for c in [*range(1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x203B)]]
+    draw = random.Random(4)
+    texts = [f"{x}{x} a{x}b {x}9{x}\n{x} ' {x}" for x in letters]
+    texts += ["".join(draw.choices(letters + list("  \n\t'stre aeinou") * 40, k=60)) for _ in range(3000)]
+    wanted = [e.ids for e in a.model.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert a(texts) == wanted and not any(align._UNSETTLED.search(t) for t in texts)
+    assert a(["漢字 Ⴀ𐐀 ✓"])[0] == a.model.encode(" 漢字 Ⴀ𐐀 ✓", add_special_tokens=False).ids
+
+
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
