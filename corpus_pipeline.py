@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleroom.llm import language, leaks, lines, mixing, neardup
+from saleroom.llm import language, leaks, lines, mixing, simhash
 from saleroom.llm.tokens import table
 from saleroom.session import scratch_path
 
@@ -24,8 +24,8 @@ def without_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return neardup.one_of_each(docs)
+    """One document of each class of fingerprints within 4 bits over 4-word shingles: the one with the smallest id."""
+    return simhash.one_of_each(docs, n=simhash.SHINGLE, radius=simhash.RADIUS)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
