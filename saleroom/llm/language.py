@@ -53,6 +53,9 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lowered = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
     # symbols outside ASCII that are not letters are breaks too
     lowered = pc.replace_substring_regex(lowered, r"[^\p{L}\x00-\x7f]+", " ")
+    # a break on both sides: a text of a single letter is a word as well
+    space, nothing = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+    lowered = pc.binary_join_element_wise(space, lowered, space, nothing)
     data, at = buffer_of(pa.array(lowered) if not isinstance(lowered, pa.Array) else lowered)
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)

@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from saleroom.llm.packed import (
     REPLY, SENT, answered, bucket_of, dealt_out, first_seen, packed_places, received, replies_of, sent_table,
 )
-from saleroom.llm.tokens import SpanHash, buffer_of, mixed, pieces, powers, words_of
+from saleroom.llm.tokens import SpanHash, buffer_of, mixed, pieces, powers, whole_id, words_of
 
 DEPTH = 3
 LEAST_DOCS = 10
@@ -125,7 +125,7 @@ def _send_leaves(buckets: int, least: int) -> Callable[[pa.Table], pa.Table]:
         leaf, digest = own.leaf[pick], own.digests[own.owner[pick]]
         return sent_table([
             (b, number, *packed_places(pick[k]), leaf[k].tobytes(), digest[k].tobytes(), None)
-            for b, k in dealt_out(bucket_of(leaf, buckets), buckets)
+            for b, k in dealt_out(bucket_of(leaf, buckets))
         ])
 
     return run
@@ -279,7 +279,7 @@ def without_templates(
     """All columns of docs, the text without recurring lines, and with `counts` n_lines and n_dropped."""
     kept = [c for c in docs.columns if c != text]
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+        whole_id(docs, doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
     )
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, chars // PART_CHARS)

@@ -32,10 +32,11 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def dealt_out(bucket: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket.astype(np.uint32), kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b + 1] > cuts[b]]
+def dealt_out(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bucket, places of its entries in rising order) of the buckets that occur."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() + [len(order)]
+    return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 SENT_SCHEMA = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("near", pa.binary()), ("far", pa.binary()), ("keys", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary())])

@@ -201,6 +201,8 @@ def learned(
     known = known.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_y"))
     sample = sampled(known, F.xxhash64("_id"), TRAIN_ROWS)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id")
+    # an id may be repeated without end: one text of each, by the least text, keeps the sample bounded
+    rows = rows.groupBy("_id", "_y").agg(F.min(F.struct(F.col("text").isNull().alias("no"), "text")).alias("r")).select("_id", "_y", "r.text")
     found = vectors(rows.select(F.struct("_id", "_y").alias("key"), "text"), table, "key").collect()
     found.sort(key=lambda r: (r["key"]["_id"], r["key"]["_y"], r["vector"]))
     # a fixed shuffle, so that the rows that set the temperature are no run of ids

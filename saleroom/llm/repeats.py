@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from saleroom.llm.packed import (
     REPLY, SENT, SENT_SCHEMA, answered, bucket_of, dealt_out, first_seen, packed_places, received, replies_of, sent_table,
 )
-from saleroom.llm.tokens import CHUNK_BYTES, buffer_of, pieces, rolling, words_of
+from saleroom.llm.tokens import CHUNK_BYTES, buffer_of, pieces, rolling, whole_id, words_of
 
 WINDOW = 20
 # Text of one partition, on average, and entries of one bucket.
@@ -102,7 +102,7 @@ def _send_blocks(window: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
         keys = (hashes[one] & np.uint64(0xFFFFFFFE)).astype(np.uint32) | anchored.astype(np.uint32)
         sent = [
             (b, number, *packed_places(one[pick]), keys[pick].tobytes(), None, None)
-            for b, pick in dealt_out(bucket_of(hashes[one], buckets), buckets)
+            for b, pick in dealt_out(bucket_of(hashes[one], buckets))
         ]
         return sent_table(sent)
 
@@ -132,7 +132,7 @@ def _send_windows(window: int, buckets: int) -> Callable[[pa.Table, pa.Table], p
 
     def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return SENT_SCHEMA.emptysent_table()
+            return SENT_SCHEMA.empty_table()
         number = rows.column("part")[0].as_py()
         part = Part.of(rows)
         hashes, at = _blocks(part, window)
@@ -149,7 +149,7 @@ def _send_windows(window: int, buckets: int) -> Callable[[pa.Table, pa.Table], p
         starts, keys = starts[one], keys[one]
         owner = np.searchsorted(part.first, starts, "right") - 1
         sent = []
-        for b, pick in dealt_out(bucket_of(keys * np.uint64(0x9E3779B97F4A7C15), buckets), buckets):
+        for b, pick in dealt_out(bucket_of(keys * np.uint64(0x9E3779B97F4A7C15), buckets)):
             runs = np.flatnonzero(np.diff(owner[pick], prepend=-1))
             counts = np.diff(np.append(runs, len(pick)))
             ids = part.ids[owner[pick][runs]]
@@ -208,12 +208,12 @@ def _remove(window: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.T
 def without_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = True
 ) -> DataFrame:
-    """doc_id, n_words, n_removed and kept: the words left, joined by one space.
+    """doc_id (a whole number; anything else is an error), n_words, n_removed and kept: the words left, joined by one space.
 
     with_text=False gives the SHA-256 of kept instead. The number of partitions and buckets
     follows the amount of text, so their size does not.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(whole_id(docs, doc_id).alias("doc_id"), F.col(text).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, chars // PART_CHARS)
     buckets = max(1, chars // 6 // BUCKET_WORDS)

@@ -153,6 +153,14 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def whole_id(docs: DataFrame, doc_id: str) -> Column:
+    """The id column as longs; ids of another kind would all become null, and are refused."""
+    kind = dict(docs.dtypes)[doc_id]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{doc_id} must hold whole numbers, not {kind}")
+    return F.col(doc_id).cast("long")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

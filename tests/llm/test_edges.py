@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from saleroom.llm import language, leaks, licenses, lines, mixing, neardup, pages, quality, repeats, rules, simhash
+from saleroom.llm import language, leaks, licenses, lines, mixing, pages, quality, repeats, rules, simhash
 
 # Names that the operators use for columns of their own.
 CLASHES = ("row", "part", "bucket", "node", "vertex", "_text", "_words", "_gone", "_leaky", "_keep_0", "n_lines", "n_words", "size", "score", "fp", "key", "_id", "_h")
@@ -59,7 +59,6 @@ def operators(spark, frame):
         "licences": lambda d: licenses.licences(d, licence),
         "simhash": simhash.classes,
         "simhash rows": simhash.one_of_each,
-        "neardup": neardup.one_of_each,
         "mixing": mixing.mixed,
     }
 
@@ -67,7 +66,7 @@ def operators(spark, frame):
 # Rows that come out of ROWS: one per row, but for what the operator is there to take away.
 COUNTS = {
     "rules": 9, "leaks": 1, "clean": 7, "quality": 9, "repeats": 9, "language": 9, "accepted": None, "lines": 9, "licences": 0,
-    "simhash": 9, "simhash rows": 7, "neardup": 7, "mixing": 9,
+    "simhash": 9, "simhash rows": 7, "mixing": 9,
 }
 
 
@@ -76,7 +75,7 @@ def test_odd_rows(spark, frame, docs, name):
     found = operators(spark, frame)[name](docs).collect()
     if COUNTS[name] is not None:
         assert len(found) == COUNTS[name]
-    if name in ("clean", "accepted", "lines", "simhash rows", "neardup"):
+    if name in ("clean", "accepted", "lines", "simhash rows"):
         assert found[0].__fields__ == docs.columns
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from saleroom.llm import components, language, leaks, licenses, lines, mixing, neardup, pages, repeats, rules, simhash
+from saleroom.llm import components, language, leaks, licenses, lines, mixing, pages, repeats, rules, simhash
 
 DOCS = "doc_id BIGINT, text STRING"
 
@@ -90,16 +90,6 @@ def test_components_of_chains_and_stars(spark, frame):
     assert components.components(frame("a BIGINT, b BIGINT")).count() == 0
 
 
-def test_near_copies_are_linked_and_others_left(spark, frame):
-    base = words(200, 1)
-    near = list(base)
-    for k in (20, 90, 150):
-        near[k] = f"changed{k}"
-    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, " ".join(words(200, 2))), (5, None), (6, ""), (7, "one two"), (8, "two one")]
-    kept = sorted(r["doc_id"] for r in neardup.one_of_each(frame(DOCS, *rows)).collect())
-    assert kept == [1, 4, 5, 7, 8]
-
-
 def test_repeats_across_parts_and_within(spark, frame, monkeypatch):
     monkeypatch.setattr(repeats, "PART_CHARS", 400)
     monkeypatch.setattr(repeats, "BUCKET_WORDS", 20)
