@@ -20,8 +20,8 @@ from saleroom.sources.tables import read_table
 from saleroom.sources.views import AS_OF, PURGE_AS_OF, Marketplace, with_views
 from saleroom.streaming import bids as live_bids
 from saleroom.streaming import closing as live_closing
-from saleroom.streaming import fanout, inbox, mail, routing, windows
-from saleroom.streaming.runner import replay, replay_updates
+from saleroom.streaming import fanout, inbox, live, mail, routing, windows
+from saleroom.streaming.runner import replay, replay_deliveries, replay_updates
 
 Query = Callable[[Marketplace], DataFrame]
 
@@ -1298,6 +1298,67 @@ def stream_auction_close(m: Marketplace) -> DataFrame:
     return replay(live_closing.close_auctions(m.stream("events")["v_bids"], known, openings=openings), "close")
 
 
+# one bid at a time, in the order of its arrival; a bid finds its auction closed once the watermark of its delivery has passed the end
+_FLOOR = """
+    WITH RECURSIVE marks AS (
+        SELECT d.delivery, (SELECT max(created_at) FROM v_arrivals b WHERE b.delivery < d.delivery) - INTERVAL 10 MINUTE AS passed
+        FROM (SELECT DISTINCT delivery FROM v_arrivals) d),
+    ordered AS (
+        SELECT a.*, passed, row_number() OVER (PARTITION BY auction_id ORDER BY a.delivery, created_at, id) AS rn
+        FROM v_arrivals a JOIN marks ON marks.delivery = a.delivery),
+    judged AS (
+        SELECT o.*, end_time AS old_end, CAST(NULL AS INTEGER) AS high, CAST(NULL AS BIGINT) AS holder,
+               created_at < end_time AND coalesce(end_time >= passed, TRUE) AS running, TRUE AS higher
+        FROM ordered o JOIN v_snipe s ON s.id = o.auction_id WHERE rn = 1
+        UNION ALL
+        SELECT o.id, o.auction_id, o.user_id, o.bid_amount, o.created_at, o.delivery, o.passed, o.rn, n.new_end, n.new_high, n.new_holder,
+               o.created_at < n.new_end AND coalesce(n.new_end >= o.passed, TRUE), n.new_high IS NULL OR o.bid_amount > n.new_high
+        FROM (SELECT auction_id, rn,
+                     CASE WHEN running AND higher AND created_at >= old_end - INTERVAL 60 SECOND THEN old_end + INTERVAL 5 MINUTE ELSE old_end END AS new_end,
+                     CASE WHEN running AND higher THEN bid_amount ELSE high END AS new_high,
+                     CASE WHEN running AND higher THEN user_id ELSE holder END AS new_holder
+              FROM judged) n
+        JOIN ordered o ON o.auction_id = n.auction_id AND o.rn = n.rn + 1),
+    placed AS (
+        SELECT *, created_at >= old_end - INTERVAL 60 SECOND AS extends FROM judged WHERE running AND higher),
+    last AS (
+        SELECT s.id AS auction_id, coalesce(max(old_end + CASE WHEN extends THEN INTERVAL 5 MINUTE ELSE INTERVAL 0 MINUTE END), any_value(s.end_time)) AS end_time,
+               max(bid_amount) AS bid_amount, max_by(p.id, bid_amount) AS bid_id, max_by(user_id, bid_amount) AS user_id
+        FROM v_snipe s LEFT JOIN placed p ON p.auction_id = s.id GROUP BY s.id),
+    ended AS (SELECT * FROM last WHERE end_time < (SELECT max(created_at) FROM v_arrivals) - INTERVAL 10 MINUTE)
+    SELECT 'bid-placed' AS event_name, auction_id, user_id, id AS bid_id, bid_amount, CAST(NULL AS TIMESTAMP) AS end_time, created_at AS event_at, CAST(NULL AS VARCHAR) AS reason
+    FROM placed
+    UNION ALL SELECT 'user-outbid', auction_id, holder, id, bid_amount, NULL, created_at, NULL FROM placed WHERE holder <> user_id
+    UNION ALL SELECT 'auction-extended', auction_id, user_id, id, bid_amount, old_end + INTERVAL 5 MINUTE, created_at, NULL FROM placed WHERE extends
+    UNION ALL SELECT 'bid-rejected', auction_id, user_id, id, bid_amount, NULL, created_at, CASE WHEN running THEN 'not higher than the current bid' ELSE 'after the end' END
+    FROM judged WHERE NOT (running AND higher)
+    UNION ALL SELECT 'bid-rejected', auction_id, user_id, id, bid_amount, NULL, created_at, 'unknown auction'
+    FROM v_arrivals WHERE auction_id NOT IN (SELECT id FROM v_snipe)
+    UNION ALL SELECT 'auction-ended', auction_id, user_id, bid_id, bid_amount, end_time, end_time, 'expired' FROM ended
+    UNION ALL SELECT 'user-won', auction_id, user_id, bid_id, bid_amount, end_time, end_time, 'expired' FROM ended WHERE user_id IS NOT NULL
+"""
+
+
+def _floor(m: Marketplace) -> DataFrame:
+    arrivals = m["v_arrivals"]
+    deliveries = [arrivals.where(F.col("delivery") == k).drop("delivery") for k in range(3)]
+    return replay_deliveries(deliveries, lambda bids: live.auction_events(bids, m["v_snipe"], keep_hours=24 * 60), "floor")
+
+
+@query("stream_auction_floor", _FLOOR)
+def stream_auction_floor(m: Marketplace) -> DataFrame:
+    return _floor(m)
+
+
+@query("stream_fanout", f"""
+    SELECT event_name, auction_id, user_id, bid_id, bid_amount, end_time, event_at,
+           CASE WHEN event_name IN ('user-outbid', 'user-won') THEN 'user_' || CAST(user_id AS VARCHAR) ELSE 'everyone' END AS target
+    FROM ({_FLOOR}) f WHERE event_name <> 'bid-rejected'
+""")
+def stream_fanout(m: Marketplace) -> DataFrame:
+    return live.fanned_out(_floor(m)).drop("reason")
+
+
 @query("stream_mail_throttle", _cooldown_sql("v_new_messages", 120))
 def stream_mail_throttle(m: Marketplace) -> DataFrame:
     return replay(mail.throttle_mail(m.stream("events")["v_new_messages"]), "mail")

@@ -85,6 +85,13 @@ VIEWS = {
                user_id, CAST(round(value * 100) AS INT) AS bid_amount, ts AS created_at
         FROM events
     """,
+    # the order in which bids reach the site: three deliveries, every thirteenth bid twelve days late
+    "v_arrivals": """
+        SELECT id, auction_id, user_id, bid_amount, created_at,
+               CASE WHEN arrived_at < TIMESTAMP '2024-01-11 00:00:00' THEN 0
+                    WHEN arrived_at < TIMESTAMP '2024-01-21 00:00:00' THEN 1 ELSE 2 END AS delivery
+        FROM (SELECT *, created_at + CASE WHEN id % 13 = 0 THEN 12 ELSE 0 END * INTERVAL '1' DAY AS arrived_at FROM v_bids) x
+    """,
     "v_snipe": """
         SELECT auction_id AS id, created_at + INTERVAL '30' SECOND AS end_time, true AS is_active
         FROM (SELECT auction_id, created_at, row_number() OVER (PARTITION BY auction_id ORDER BY created_at, id) AS rn FROM v_bids) x

@@ -146,6 +146,21 @@ def _events(rows: DataFrame, event: str, key: str, at: str, **values: Column) ->
     )
 
 
+def bid_stream(bids: DataFrame, delay: str, openings: DataFrame | None = None, cancellations: DataFrame | None = None) -> DataFrame:
+    """Bids, openings and cancellations in one shape, with a watermark but without its column.
+
+    Spark takes rows behind the watermark out of a stateful operator's input where it finds
+    the watermark's column there. Without it, the watermark goes on as before and drives the
+    timers, and the operator sees every row and decides by its state.
+    """
+    parts = [_events(bids, "bid", "auction_id", "created_at", **{c: F.col(c) for c in ("id", "user_id", "bid_amount")})]
+    if openings is not None:
+        parts.append(_events(openings, "open", "id", "created_at", end_us=epoch_micros(F.col("end_time"))))
+    if cancellations is not None:
+        parts.append(_events(cancellations, "cancel", "auction_id", "cancelled_at"))
+    return reduce(DataFrame.unionByName, parts).withWatermark("event_time", delay).drop("event_time")
+
+
 def close_auctions(
     bids: DataFrame,
     open_auctions: DataFrame,
@@ -165,14 +180,9 @@ def close_auctions(
     for an auction nobody opened, becomes a `dead-letter` row with its reason. At most one
     `result` per auction: the state remembers the close for `keep_hours`.
 
-    Bids behind the watermark are not seen: Spark takes them out before any operator.
+    No bid is lost: see `bid_stream`. One behind the watermark counts while its auction runs.
     """
-    parts = [_events(bids, "bid", "auction_id", "created_at", **{c: F.col(c) for c in ("id", "user_id", "bid_amount")})]
-    if openings is not None:
-        parts.append(_events(openings, "open", "id", "created_at", end_us=epoch_micros(F.col("end_time"))))
-    if cancellations is not None:
-        parts.append(_events(cancellations, "cancel", "auction_id", "cancelled_at"))
-    keyed = reduce(DataFrame.unionByName, parts).withWatermark("event_time", delay)
+    keyed = bid_stream(bids, delay, openings, cancellations)
     start = pinned(open_auctions.where("is_active").select(
         F.col("id").alias("auction_id"), epoch_micros(F.col("end_time")).alias("end_us")
     ))

@@ -6,6 +6,8 @@ micro-batches and stops. Output and checkpoint go below the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,24 @@ def replay(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+def replay_deliveries(deliveries: list[DataFrame], job: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """Run an append-mode job once per delivery, each time from its checkpoint, and return all output.
+
+    A delivery is one micro-batch of as many files as it has partitions; the job stops after
+    it and starts again for the next, as it would after a failure.
+    """
+    spark = configure(deliveries[0].sparkSession)
+    out = scratch_path(spark, label)
+    schema = deliveries[0].schema
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{out}/in")
+        stream = job(spark.readStream.schema(schema).parquet(f"{out}/in"))
+        stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option(
+            "checkpointLocation", f"{out}/checkpoint"
+        ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
 def replay_updates(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Run an update-mode stream; return the last version of each key.
 
