@@ -9,20 +9,23 @@ from saleroom.functions import text
 from saleroom.functions.ordering import newest
 
 
-def _shown() -> Column:
+SEARCHED = ("title", "category", "description")
+
+
+def shown() -> Column:
     # equality, not NOT: a NULL flag hides the listing
     return (F.col("hide") == F.lit(False)) & (F.col("is_deleted") == F.lit(False))
 
 
 def visible(listings: DataFrame) -> DataFrame:
     """Listings that are neither hidden nor deleted, newest first."""
-    return listings.where(_shown()).orderBy(newest("created_at"), newest("id"))
+    return listings.where(shown()).orderBy(newest("created_at"), newest("id"))
 
 
-def _matches(term: str | Column) -> Column:
+def matches(term: str | Column) -> Column:
     pattern = f"%{term}%" if isinstance(term, str) else F.concat(F.lit("%"), term, F.lit("%"))
     hit = F.lit(False)
-    for name in ("title", "category", "description"):
+    for name in SEARCHED:
         column = F.col(name)
         found = column.ilike(pattern) if isinstance(pattern, str) else F.ilike(column, pattern)
         hit = hit | F.coalesce(found, F.lit(False))
@@ -34,13 +37,13 @@ def search(listings: DataFrame, term: str) -> DataFrame:
 
     Case-insensitive; `%` and `_` in the term act as wildcards.
     """
-    return listings.where(_shown() & _matches(term)).orderBy(newest("created_at"), newest("id"))
+    return listings.where(shown() & matches(term)).orderBy(newest("created_at"), newest("id"))
 
 
 def search_terms(listings: DataFrame, terms: list[str]) -> DataFrame:
     """One row per (term, matching visible listing): one scan for all terms, no join."""
-    hits = [F.when(_matches(term), F.lit(term)) for term in dict.fromkeys(terms)]
-    return listings.where(_shown()).withColumn("term", F.explode(F.array_compact(F.array(*hits))))
+    hits = [F.when(matches(term), F.lit(term)) for term in dict.fromkeys(terms)]
+    return listings.where(shown()).withColumn("term", F.explode(F.array_compact(F.array(*hits))))
 
 
 def by_keys(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
@@ -66,7 +69,7 @@ def cards(listings: DataFrame, images: DataFrame) -> DataFrame:
         F.min_by("image_url", "id").alias("fallback_image_url")
     )
     return (
-        listings.where(_shown()).join(first, "id", "left").orderBy(newest("created_at"), newest("id"))
+        listings.where(shown()).join(first, "id", "left").orderBy(newest("created_at"), newest("id"))
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleroom.functions import text
-from saleroom.operators import auctions, listings, messaging, notify, quality, sales, users
+from saleroom.operators import auctions, listings, messaging, notify, quality, sales, search, users
 from saleroom.plans import changes, closing, conversations, trade
 from saleroom.session import scratch_path
 from saleroom.sources.snapshots import empty_table
@@ -136,6 +136,17 @@ def search_many_terms(m: Marketplace) -> DataFrame:
     return found.select("term", "id", "title", "category", "description")
 
 
+@query("search_term_table", """
+    SELECT t.term, p.id, p.title, p.category, p.description
+    FROM v_posts p JOIN (SELECT DISTINCT term FROM v_terms) t
+      ON title ILIKE '%' || term || '%' OR category ILIKE '%' || term || '%' OR description ILIKE '%' || term || '%'
+    WHERE hide = FALSE AND is_deleted = FALSE
+""")
+def search_term_table(m: Marketplace) -> DataFrame:
+    found = search.search_table(m["v_posts"], m["v_terms"])
+    return found.select("term", "id", "title", "category", "description")
+
+
 @query("listings_by_key", "SELECT * FROM v_posts WHERE id IN (SELECT post_id FROM v_sales WHERE NOT is_paid)")
 def listings_by_key(m: Marketplace) -> DataFrame:
     wanted = m["v_sales"].where(~F.col("is_paid")).select("post_id")

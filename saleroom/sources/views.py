@@ -191,6 +191,15 @@ VIEWS = {
                TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * CAST(floor(event_id / 5.0) AS INT) AS ts
         FROM events
     """,
+    # what visitors looked for: parts of names and makers, some with wildcards, some very short
+    "v_terms": """
+        SELECT CASE WHEN p_partkey % 5 = 0 THEN substr(p_name, 1, 1) || '%' || substr(p_name, 4, 3)
+                    WHEN p_partkey % 7 = 0 THEN substr(p_brand, 1, 3) || '_' || substr(p_brand, 5, 4)
+                    WHEN p_partkey % 41 = 0 THEN upper(substr(p_name, 2, 2))
+                    WHEN p_partkey % 211 = 0 THEN substr('%_', 1, CAST(p_partkey % 2 AS INT))
+                    ELSE substr(p_name, 1 + CAST(p_partkey % 4 AS INT), 4 + CAST(p_size % 7 AS INT)) END AS term
+        FROM part
+    """,
     # all bids, buy-now purchases among them
     "v_bids_and_purchases": """
         SELECT id, auction_id, user_id, bid_amount, created_at, id % 11 = 0 AS is_buy_now FROM v_bids
