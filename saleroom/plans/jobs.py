@@ -107,20 +107,3 @@ def swap_to_listings(store: SnapshotStore, auction_ids: DataFrame, as_of: str) -
         {"listings": rows, "listing_images": new_rows(now, "listing_images", images, ["post_id", "position"], as_of)},
         base=now.version,
     )
-
-
-def purge_notifications(store: SnapshotStore, as_of: str) -> int:
-    """Drop expired notifications: whole days leave the manifest, only the day of the border is rewritten."""
-    now = store.snapshot()
-    border = changes.retention_border(as_of)
-    kept, split = [], []
-    for folder in now.manifest.get("notifications", []):
-        day = folder.partition("/_day=")[2]
-        if not day or day == border:
-            split.append(folder)
-        elif day > border or not day[:1].isdigit():  # the folder of rows without a time
-            kept.append(folder)
-    if split:
-        rest = changes.purge_notifications(store.folders("notifications", split), as_of)
-        kept += store.write("notifications", rest)
-    return store.commit(folders={"notifications": kept}, base=now.version)

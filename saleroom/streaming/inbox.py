@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from saleroom.operators.messaging import conversation_totals
 from saleroom.session import configure, scratch_path
-from saleroom.sources.snapshots import SnapshotStore
 
 
 def live_inbox(messages: DataFrame, reads: DataFrame | None = None) -> DataFrame:
@@ -27,16 +27,6 @@ def live_inbox(messages: DataFrame, reads: DataFrame | None = None) -> DataFrame
     )
 
 
-def unique_changes(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """A change stream (id, key, status, changed_at) without repeated deliveries."""
-    return (
-        changes.withColumn("event_time", F.col("changed_at").cast("timestamp_ltz"))
-        .withWatermark("event_time", delay)
-        .dropDuplicatesWithinWatermark(["id"])
-        .drop("event_time")
-    )
-
-
 def last_per_key(changes: DataFrame) -> DataFrame:
     """The newest change per key by (changed_at, id); one row per key is shuffled."""
     last = changes.groupBy("key").agg(F.max(F.struct("changed_at", "id", "status")).alias("_last"))
@@ -46,44 +36,35 @@ def last_per_key(changes: DataFrame) -> DataFrame:
     )
 
 
-def read_status(store: SnapshotStore, table: str = "status") -> DataFrame:
-    """The status table: the newest row per key over its folders."""
-    return last_per_key(store.read(table))
+def maintain_status(changes: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Start the job that keeps the newest status of every key, in its own state.
 
-
-def compact_status(store: SnapshotStore, table: str = "status") -> int:
-    """Rewrite the status table as one folder with the newest row per key; a job of its own.
-
-    It raises Conflict if rows were added meanwhile, and is then run again.
+    The state is the table: nothing else is written, and a change that comes twice, or late,
+    leaves the maximum as it is.
     """
-    now = store.snapshot()
-    return store.commit({table: last_per_key(now.read(table))}, base=now.version)
-
-
-def maintain_status(changes: DataFrame, store: SnapshotStore, checkpoint: str, table: str = "status"):
-    """Start the job that keeps a status table up to date: one commit per micro-batch.
-
-    A micro-batch adds its newest row per key as one more folder. Readers take the newest
-    row per key, so repeating a batch after a failure changes nothing.
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        store.commit(append={table: last_per_key(batch)})
-
     return (
-        unique_changes(changes)
-        .writeStream.outputMode("append")
-        .foreachBatch(merge)
+        last_per_key(changes)
+        .writeStream.outputMode("update")
+        .format("noop")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def read_status(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """key, status, changed_at, id of every key, from the job's state: the newest, or as of a micro-batch."""
+    reader = spark.read.format("statestore").option("path", checkpoint)
+    state = (reader if batch_id is None else reader.option("batchId", batch_id)).load()
+    last = F.col(f"value.`{state.schema['value'].dataType.names[0]}`")
+    return state.select(
+        F.col("key.key").alias("key"), last["status"].alias("status"), last["changed_at"].alias("changed_at"), last["id"].alias("id")
+    )
+
+
 def replay_status(changes: DataFrame) -> DataFrame:
     """Run the job over the pending changes and return the table."""
     spark = configure(changes.sparkSession)
-    out = scratch_path(spark, "status")
-    store = SnapshotStore(spark, f"{out}/tables")
-    maintain_status(changes, store, f"{out}/checkpoint").awaitTermination()
-    return read_status(store)
+    checkpoint = scratch_path(spark, "status")
+    maintain_status(changes, checkpoint).awaitTermination()
+    return read_status(spark, checkpoint)

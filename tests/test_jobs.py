@@ -53,11 +53,9 @@ def test_buy_now_records_a_bid(store, frame):
     assert "notifications" not in store.tables()
 
 
-def test_outbids_then_retention(store):
+def test_outbids_are_stored(store):
     jobs.record_outbids(store, NOW)
     assert tuples(store.read("notifications"), "user_id", "type") == [(7, "outbid")]
-    jobs.purge_notifications(store, "2024-02-20 00:00:00")
-    assert store.read("notifications").count() == 0
 
 
 def test_swap_moves_an_auction(store, frame):
@@ -133,16 +131,3 @@ def test_appends_of_two_writers_are_both_kept(store, frame):
     store._publish = late
     store.commit(append={"log": frame("id BIGINT", (2,))})
     assert tuples(store.read("log"), "id") == [(1,), (2,)]
-
-
-def test_purge_drops_days_and_leaves_the_others_alone(store, frame, spark):
-    rows = empty_table(spark, "notifications").unionByName(
-        frame("id BIGINT, user_id BIGINT, created_at TIMESTAMP_NTZ", *[(k, k, f"2024-01-{k:02d} 12:00:00") for k in range(1, 13)]), allowMissingColumns=True
-    )
-    store.commit({"notifications": rows})
-    before = store.manifest()["notifications"]
-    assert len(before) == 12
-    jobs.purge_notifications(store, "2024-02-06 18:00:00")  # everything up to 2024-01-07 18:00
-    after = store.manifest()["notifications"]
-    assert set(after) & set(before) == {f for f in before if f[-2:] > "07"}
-    assert tuples(store.read("notifications"), "id") == sorted([(k,) for k in range(8, 13)], key=str)
