@@ -21,7 +21,7 @@ from saleroom.sources.tables import read_table
 from saleroom.sources.views import AS_OF, PURGE_AS_OF, Marketplace, with_views
 from saleroom.streaming import bids as live_bids
 from saleroom.streaming import closing as live_closing
-from saleroom.streaming import fanout, inbox, live, mail, routing, windows
+from saleroom.streaming import fanout, inbox, intake, live, mail, routing, seats, windows
 from saleroom.streaming.runner import replay, replay_deliveries, replay_updates
 
 Query = Callable[[Marketplace], DataFrame]
@@ -1430,6 +1430,42 @@ def stream_inbox_reads(m: Marketplace) -> DataFrame:
     return replay_updates(inbox.live_inbox(live, flips), ["conversation_id"], "reads")
 
 
+@query("stream_inbox_participants", """
+    WITH totals AS (
+        SELECT conversation_id, max(sent_at) AS last_message_at, count(*) AS message_count,
+               count(CASE WHEN NOT is_read AND NOT is_from_admin AND id % 5 <> 0 THEN 1 END) AS unread_count
+        FROM v_messages GROUP BY conversation_id)
+    SELECT DISTINCT t.*, m.user_id, u.email, p.first_name, p.last_name
+    FROM totals t JOIN v_messages m ON m.conversation_id = t.conversation_id
+    JOIN v_users u ON u.id = m.user_id LEFT JOIN v_profiles p ON p.user_id = m.user_id
+""")
+def stream_inbox_participants(m: Marketplace) -> DataFrame:
+    talk = m.stream("conversations")["v_messages"]
+    flips = talk.where("is_read = false AND is_from_admin = false AND id % 5 = 0").select("id", "conversation_id")
+    live_rows = seats.named_seats(seats.live_seats(talk, flips), m["v_users"], m["v_profiles"])
+    return replay_updates(live_rows, ["conversation_id", "user_id"], "seats")
+
+
+@query("bid_intake", """
+    SELECT r.id, b.auction_id, CASE WHEN r.id % 19 = 0 THEN 0 ELSE b.user_id END AS user_id, CASE WHEN r.id % 19 = 0 THEN NULL ELSE b.bid_amount END AS bid_amount,
+           CAST(NULL AS VARCHAR) AS record,
+           concat_ws('; ', CASE WHEN coalesce(auction_id, 0) = 0 THEN 'auction_id is required' END,
+                     CASE WHEN r.id % 19 = 0 OR coalesce(user_id, 0) = 0 THEN 'user_id is required' END,
+                     CASE WHEN r.id % 19 = 0 OR coalesce(bid_amount, 0) = 0 THEN 'bid_amount is required' END) AS failed
+    FROM v_bid_records r JOIN v_bids b ON b.id = r.id WHERE r.id % 17 <> 0 AND r.id % 23 <> 0
+    UNION ALL
+    SELECT NULL, NULL, NULL, NULL, line, 'malformed record' FROM v_bid_records WHERE id % 17 = 0 OR id % 23 = 0
+""")
+def bid_intake(m: Marketplace) -> DataFrame:
+    # the records of two deliveries, each of several files; a micro-batch takes what fits its bytes
+    path = scratch_path(m.spark, "records")
+    for k in (0, 1):
+        m["v_bid_records"].where(F.col("id") % 2 == k).select("line").repartition(3).write.mode("append").text(path)
+    judged = intake.judged(intake.read_records(m.spark, path, "bids", 100_000), quality.bid_rules())
+    rows = replay(judged.drop("created_at", "updated_at"), "intake")
+    return rows.select("id", "auction_id", "user_id", "bid_amount", "record", F.array_join("failed", "; ").alias("failed"))
+
+
 @query("rate_limit_audit", """
     SELECT coalesce(email, 'no-email') AS key, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS hits,
            count(*) - 1 AS excess

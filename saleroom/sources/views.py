@@ -200,6 +200,15 @@ VIEWS = {
                     ELSE substr(p_name, 1 + CAST(p_partkey % 4 AS INT), 4 + CAST(p_size % 7 AS INT)) END AS term
         FROM part
     """,
+    # bids as the site receives them: JSON texts, some cut short, some with a wrong type, some without an amount
+    "v_bid_records": """
+        SELECT id, CASE WHEN id % 17 = 0 THEN chr(123) || '"id":' || CAST(id AS VARCHAR(20)) || ',"auction_id":'
+                        WHEN id % 23 = 0 THEN chr(123) || '"id":' || CAST(id AS VARCHAR(20)) || ',"bid_amount":"much"' || chr(125)
+                        WHEN id % 19 = 0 THEN chr(123) || '"id":' || CAST(id AS VARCHAR(20)) || ',"auction_id":' || CAST(auction_id AS VARCHAR(20)) || ',"user_id":0' || chr(125)
+                        ELSE chr(123) || '"id":' || CAST(id AS VARCHAR(20)) || ',"auction_id":' || CAST(auction_id AS VARCHAR(20))
+                             || ',"user_id":' || CAST(user_id AS VARCHAR(20)) || ',"bid_amount":' || CAST(bid_amount AS VARCHAR(20)) || chr(125) END AS line
+        FROM v_bids
+    """,
     # all bids, buy-now purchases among them
     "v_bids_and_purchases": """
         SELECT id, auction_id, user_id, bid_amount, created_at, id % 11 = 0 AS is_buy_now FROM v_bids

@@ -15,7 +15,7 @@ from saleroom.operators.notify import ITEM_COOLDOWN_MINUTES
 
 
 class MailGate(StatefulProcessor):
-    """Per user: the time of the last mail."""
+    """Per user: the time of the last mail, until the cooldown after it is over."""
 
     def __init__(self, gap_us: int, exempt: int | None, inclusive: bool):
         self.gap = gap_us
@@ -24,6 +24,7 @@ class MailGate(StatefulProcessor):
         self.side = "left" if inclusive else "right"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "at_us BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -39,9 +40,21 @@ class MailGate(StatefulProcessor):
                 sent.append(int(times[at]))
                 at = int(np.searchsorted(times, times[at] + self.gap, side=self.side))
         if sent:
+            if self.last.exists():
+                self.handle.deleteTimer(self._over(self.last.get()[0]))
             self.last.update((sent[-1],))
+            self.handle.registerTimer(self._over(sent[-1]))
             yield pd.DataFrame({"user_id": key[0], "at_us": sent})
 
+    def _over(self, last_us: int) -> int:
+        """When the watermark has come so far, no arrival on time meets the cooldown any more."""
+        return (last_us + self.gap) // 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self._over(self.last.get()[0]):
+            self.last.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
@@ -51,16 +64,23 @@ def throttle_mail(
     minutes: int = ITEM_COOLDOWN_MINUTES,
     exempt_user: int | None = None,
     inclusive: bool = False,
+    delay: str = "10 minutes",
 ) -> DataFrame:
     """The arrivals (user_id, sent_at) that lead to a mail, as (user_id, sent_at).
 
+    A user's state goes when the watermark (the newest arrival less `delay`) has passed the
+    cooldown, so the state holds the users of the last cooldown only. No arrival is dropped;
+    one later than `delay` is judged by what state is left.
+
     `exempt_user` (the admin) gets every mail. `inclusive` allows a mail exactly at
     the end of the cooldown.
     """
-    keyed = arrivals.select("user_id", epoch_micros(F.col("sent_at")).alias("at_us"))
+    timed = arrivals.withColumn("_event", F.col("sent_at").cast("timestamp_ltz")).withWatermark("_event", delay)
+    # without the watermark's column in it, Spark takes no late rows out of the operator's input
+    keyed = timed.select("user_id", epoch_micros(F.col("sent_at")).alias("at_us"))
     gate = MailGate(minutes * 60_000_000, exempt_user, inclusive)
     sent = keyed.groupBy("user_id").transformWithStateInPandas(
-        gate, "user_id BIGINT, at_us BIGINT", "Append", "None"
+        gate, "user_id BIGINT, at_us BIGINT", "Append", "EventTime"
     )
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     return sent.select("user_id", F.timestamp_add("MICROSECOND", F.col("at_us"), epoch).alias("sent_at"))
