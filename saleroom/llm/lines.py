@@ -1,23 +1,31 @@
 """Line dedup with a log-template tree.
 
 A line is parsed to a leaf of fixed depth: its number of words and its first `DEPTH` words,
-words with a digit standing for a variable field (unless they are most of the line). Leaves that occur in `least` or more
-different documents are looked into. There, a line that recurs as it is (fields aside) is a
-template of its own. In the other lines of the leaf a place becomes a variable field where
-many different words stand and none of them in half the lines; lines alike in the places left
-are one template, if enough places are left. Lines of templates that occur in `least` or more
-different documents are dropped, except in the template's first document (smallest id), so
-that nothing is lost where it is unique. Documents with the same text count as one: a copied
-document is no template.
-
-The work goes by partitions of whole documents. Per leaf or line, a partition reports at most
-`least` documents, which is all that the decision needs; so a line in a third of all documents
-costs a few entries per partition. Words travel as hashes.
+words with a digit standing for a variable field (unless they are most of the line). A field
+without a digit may stand among the first words; so a line whose leaf is rare goes to a second
+branch, by its number of words and its last `DEPTH` words. Leaves that occur in `least` or more
+different documents are looked into. There a place's word is fixed if it stands in that place
+in `least` or more documents of the leaf, and variable otherwise: what other lines the leaf
+holds makes no difference. A template is
+
+* a line as it is (fields aside), or else
+* the fixed words of a line with their places, if they are enough of it, or else
+* the same less one of them: a field whose values are frequent in the leaf on their own.
+
+Lines of a template that occurs in `least` or more different documents are dropped, except in
+the template's first document (smallest id), so that nothing is lost where it is unique.
+Documents with the same text count as one: a copied document is no template.
+
+The work goes by partitions of whole documents, in three rounds of one question: which keys
+(leaves; words in places, and lines; templates) occur in `least` or more documents? A
+partition reports at most `least` documents of a key, which is all that the decision needs, and
+keys are dealt out by their hash. So neither a line in a third of all documents nor a leaf
+with a third of all lines meets in one task.
 
 A null text stays null and has no lines. Lines without a word are kept. A document whose lines
 all go has an empty text. Rows with a null id come first. Repeated rows are edited alike.
 Empty tables give an empty result. A very long text belongs to one partition whole. All other
-columns are carried.
+columns are carried. Ids must be whole numbers.
 """
 
 from __future__ import annotations
@@ -33,14 +41,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from saleroom.llm.packed import (
-    REPLY, SENT, answered, bucket_of, dealt_out, first_seen, packed_places, received, replies_of, sent_table,
+    SENT, bucket_of, dealt_out, first_seen, packed_places, received, sent_table, unpacked_places,
 )
 from saleroom.llm.tokens import SpanHash, buffer_of, mixed, pieces, powers, whole_id, words_of
 
 DEPTH = 3
 LEAST_DOCS = 10
-# A place with so many different words is a variable field, for words in under half the lines.
-VARIETY = 10
 # Share of a template's places that aren't variable.
 FIXED = 0.6
 PART_CHARS = 4_000_000
@@ -62,12 +68,13 @@ class Lines:
     first: np.ndarray
     words: np.ndarray
     leaf: np.ndarray
+    tail: np.ndarray
     key: np.ndarray
 
     @staticmethod
     def of(rows: pa.Table) -> Lines:
         rows = rows.combine_chunks()
-        found = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64)]
+        found = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64)]
         texts: list[bytes | None] = []
         for piece in pieces(rows.select(["text"])):
             at_text = len(texts)
@@ -90,19 +97,21 @@ class Lines:
                 h[field & np.repeat(fields <= (1 - FIXED) * size, size)] = _FIELD
             place = np.arange(len(h)) - np.repeat(first, size)
             key = np.add.reduceat(h * powers(np.uint64(0xD6E8FEB86659FD93), int(size.max()))[place], first) if len(used) else np.zeros(0, np.uint64)
-            leaf = size.astype(np.uint64)
-            for k in range(DEPTH):
-                word = np.where(size > k, h[np.minimum(first + k, len(h) - 1)], np.uint64(0)) if len(used) else leaf
+            leaf, tail = size.astype(np.uint64), ~size.astype(np.uint64)
+            for k in range(DEPTH if len(used) else 0):
+                word = np.where(size > k, h[np.minimum(first + k, len(h) - 1)], np.uint64(0))
                 leaf = mixed(leaf * np.uint64(31) + word)
+                word = np.where(size > k, h[np.maximum(first + size - 1 - k, 0)], np.uint64(0))
+                tail = mixed(tail * np.uint64(31) + word)
             base = sum(len(x) for x in found[4])
-            for k, x in enumerate((owner + at_text, begin - at[owner], ends - at[owner], first + base, h, leaf, mixed(key))):
+            for k, x in enumerate((owner + at_text, begin - at[owner], ends - at[owner], first + base, h, leaf, tail, mixed(key))):
                 found[k].append(x)
-        owner, begin, end, first, words, leaf, key = (np.concatenate(x) for x in found)
+        owner, begin, end, first, words, leaf, tail, key = (np.concatenate(x) for x in found)
         ids = rows.column("doc_id").fill_null(_LOW).to_numpy()
         digests = np.array(
             [int.from_bytes(hashlib.blake2b(t or b"", digest_size=8).digest(), "big", signed=True) for t in texts], np.int64
         )
-        return Lines(ids, digests, texts, owner, begin, end, np.append(first, len(words)), words, leaf, key)
+        return Lines(ids, digests, texts, owner, begin, end, np.append(first, len(words)), words, leaf, tail, key)
 
 
 def _some_of_each(group: np.ndarray, digest: np.ndarray, most: int) -> np.ndarray:
@@ -117,135 +126,137 @@ def _some_of_each(group: np.ndarray, digest: np.ndarray, most: int) -> np.ndarra
     return np.sort(order[rank < most])
 
 
-def _send_leaves(buckets: int, least: int) -> Callable[[pa.Table], pa.Table]:
-    def run(rows: pa.Table) -> pa.Table:
+COMMON = "part bigint, round int, near binary, far binary, firsts binary"
+_COMMON = pa.schema([("part", pa.int64()), ("round", pa.int32()), ("near", pa.binary()), ("far", pa.binary()), ("firsts", pa.binary())])
+
+
+class Known:
+    """What a partition asked about and learned so far: its keys of each round, and which are common."""
+
+    def __init__(self, own: Lines, replies: pa.Table | None, upto: int) -> None:
+        self.own = own
+        self.keys: list[np.ndarray] = []
+        self.common: list[np.ndarray] = []
+        self.firsts: list[np.ndarray] = []
+        rows = replies.to_pylist() if replies is not None else []
+        for k in range(upto):
+            keys = (self.leaves, self.places, self.templates)[k]()[0]
+            mine = [r for r in rows if r["round"] == k]
+            at = np.concatenate([np.zeros(0, np.int64)] + [unpacked_places(r["near"], r["far"]) for r in mine])
+            first = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(r["firsts"], np.int64) for r in mine])
+            found, once = np.unique(keys[at], return_index=True)
+            slot = np.minimum(np.searchsorted(found, keys), max(0, len(found) - 1))
+            hit = found[slot] == keys if len(found) else np.zeros(len(keys), bool)
+            self.keys.append(keys)
+            self.common.append(hit)
+            self.firsts.append(np.where(hit, first[once][slot], 0) if len(found) else np.zeros(len(keys), np.int64))
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both leaves of every line, with the line's document."""
+        return np.concatenate([self.own.leaf, self.own.tail]), np.tile(self.own.owner, 2)
+
+    def _looked(self) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf of each line, is it looked into?): the leading leaf if it is common, else the trailing one."""
+        n = len(self.own.leaf)
+        lead, trail = self.common[0][:n], self.common[0][n:]
+        return np.where(lead, self.own.leaf, self.own.tail), lead | trail
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of looked-into lines with their places and leaf, and those lines as they are; others are zero."""
+        own = self.own
+        leaf, looked = self._looked()
+        size = np.diff(own.first)
+        line = np.repeat(np.arange(len(size)), size)
+        place = (np.arange(len(own.words)) - np.repeat(own.first[:-1], size)).astype(np.uint64)
+        word = mixed(leaf[line] * np.uint64(0xD6E8FEB86659FD93) + mixed(own.words + place * np.uint64(0x9E3779B97F4A7C15)))
+        return np.concatenate([np.where(looked[line], word, 0), np.where(looked, own.key, 0)]), np.concatenate([own.owner[line], own.owner])
+
+    def templates(self) -> tuple[np.ndarray, np.ndarray]:
+        """The fixed words of each line not common as it is, whole and less one of them; zero where they are too few."""
+        own, words = self.own, len(self.own.words)
+        size = np.diff(own.first)
+        line = np.repeat(np.arange(len(size)), size)
+        fixed, settled = self.common[1][:words], self.common[1][words:]
+        token = np.where(fixed, mixed(self.keys[1][:words] + np.uint64(1)), np.uint64(0))
+        total = np.add.reduceat(token, own.first[:-1]) if len(size) else np.zeros(0, np.uint64)
+        n = np.bincount(line[fixed], minlength=len(size))
+        leaf, looked = self._looked()
+        open_ = looked & ~settled
+        whole = np.where(open_ & (n >= FIXED * size), mixed(leaf ^ total), np.uint64(0))
+        less = fixed & open_[line] & (n[line] - 1 >= FIXED * size[line])
+        one_less = np.where(less, mixed((leaf[line] ^ (total[line] - token)) + np.uint64(7)), np.uint64(0))
+        return np.concatenate([whole, one_less]), np.concatenate([own.owner, own.owner[line]])
+
+    def dropped(self) -> np.ndarray:
+        """Lines that belong to a template and do not stand in its first document."""
+        own, words = self.own, len(self.own.words)
+        n = len(own.owner)
+        ids = own.ids[own.owner]
+        size = np.diff(own.first)
+        exact, whole = self.common[1][words:], self.common[2][:n]
+        less = np.where(self.common[2][n:], self.firsts[2][n:], np.iinfo(np.int64).max)
+        least = np.minimum.reduceat(less, own.first[:-1]) if n else np.zeros(0, np.int64)
+        some = (np.bincount(np.repeat(np.arange(n), size)[self.common[2][n:]], minlength=n) > 0) if n else exact
+        first = np.where(exact, self.firsts[1][words:], np.where(whole, self.firsts[2][:n], least))
+        return (exact | whole | some) & (first != ids)
+
+
+def _send(round_: int, buckets: int, least: int) -> Callable[..., pa.Table]:
+    """A partition's keys of a round, each with at most `least` of its documents and the first of all of them."""
+
+    def run(rows: pa.Table, replies: pa.Table | None = None) -> pa.Table:
+        if not rows.num_rows:
+            return sent_table([])
         number = rows.column("part")[0].as_py()
-        own = Lines.of(rows)
-        pick = _some_of_each(own.leaf, own.digests[own.owner], least)
-        leaf, digest = own.leaf[pick], own.digests[own.owner[pick]]
+        known = Known(Lines.of(rows), replies, round_)
+        keys, owner = (known.leaves, known.places, known.templates)[round_]()
+        asked = np.flatnonzero(keys)
+        keys, owner = keys[asked], owner[asked]
+        order, runs, sizes = first_seen(keys)
+        first = np.empty(len(keys), np.int64)
+        if len(keys):
+            first[order] = np.repeat(np.minimum.reduceat(known.own.ids[owner][order], runs), sizes)
+        pick = _some_of_each(keys, known.own.digests[owner], least)
+        key, digest, first, at = keys[pick], known.own.digests[owner[pick]], first[pick], asked[pick]
         return sent_table([
-            (b, number, *packed_places(pick[k]), leaf[k].tobytes(), digest[k].tobytes(), None)
-            for b, k in dealt_out(bucket_of(leaf, buckets))
+            (b, number, *packed_places(at[k]), key[k].tobytes(), digest[k].tobytes(), first[k].tobytes())
+            for b, k in dealt_out(bucket_of(key, buckets))
         ])
 
-    return run
-
-
-def _common_leaves(least: int) -> Callable[[pa.Table], pa.Table]:
-    def run(rows: pa.Table) -> pa.Table:
-        part, place, leaf = received(rows, np.uint64)
-        digest = np.concatenate([np.frombuffer(r, np.int64) for r in rows.column("ids").to_pylist()])
-        order, runs, sizes = first_seen(leaf)
-        n = np.zeros(len(runs), np.int64)
-        group = np.repeat(np.arange(len(runs)), sizes)
-        seen = np.unique(np.stack([group, digest[order]], axis=1), axis=0)[:, 0] if len(group) else group
-        n += np.bincount(seen, minlength=len(runs)) if len(seen) else 0
-        common = order[np.repeat(n >= least, sizes)]
-        return replies_of(part[common], place[common])
-
-    return run
-
+    return (lambda rows: run(rows)) if round_ == 0 else run
 
-LINE = "bucket bigint, part bigint, leaf bigint, key bigint, words binary, digests binary, doc_id bigint"
-_LINE = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("leaf", pa.int64()), ("key", pa.int64()), ("words", pa.binary()), ("digests", pa.binary()), ("doc_id", pa.int64())])
-DROP = "part bigint, keys binary, firsts binary"
-_DROP = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("firsts", pa.binary())])
 
-
-def _send_lines(buckets: int, least: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Every different line of the common leaves, with a few of its documents and the first of them."""
-
-    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _LINE.empty_table()
-        number = rows.column("part")[0].as_py()
-        own = Lines.of(rows)
-        looked = np.flatnonzero(np.isin(own.leaf, own.leaf[answered(replies)]))
-        order, runs, sizes = first_seen(own.key[looked])
-        order = looked[order]
-        out = []
-        for a, n in zip(runs.tolist(), sizes.tolist()):
-            same = order[a : a + n]
-            k = same[0]
-            docs = own.owner[same]
-            words = own.words[own.first[k] : own.first[k + 1]].astype(np.uint32)
-            out.append((
-                int(bucket_of(own.leaf[k : k + 1], buckets)[0]), number, int(own.leaf[k].astype(np.int64)), int(own.key[k].astype(np.int64)),
-                words.tobytes(), np.unique(own.digests[docs])[:least].tobytes(), int(own.ids[docs].min()),
-            ))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _LINE.types)], schema=_LINE) if out else _LINE.empty_table()
-
-    return run
-
-
-def generalised(words: np.ndarray) -> np.ndarray:
-    """The lines of one leaf (a row of word hashes each) with zero at variable places."""
-    out = words.copy()
-    for k in range(words.shape[1]):
-        value, back, n = np.unique(words[:, k], return_inverse=True, return_counts=True)
-        if len(value) >= VARIETY:
-            out[(2 * n < len(words))[back], k] = 0
-    return out
-
-
-def _templates(least: int) -> Callable[[pa.Table], pa.Table]:
-    """(part, keys to drop, the document where each stays) from the lines of a bucket of leaves."""
+def _common(round_: int, least: int) -> Callable[[pa.Table], pa.Table]:
+    """The entries of keys with `least` or more different documents, and each key's first document."""
 
     def run(rows: pa.Table) -> pa.Table:
-        part, leaf, key, first = (rows.column(c).to_numpy() for c in ("part", "leaf", "key", "doc_id"))
-        digests = [np.frombuffer(x, np.int64) for x in rows.column("digests").to_pylist()]
-        words = rows.column("words").to_pylist()
-        template = np.full(len(key), -1)  # number of the template of each row
-        firsts: list[int] = []
-
-        def settle(group: np.ndarray) -> bool:
-            if len(np.unique(np.concatenate([digests[i] for i in group]))) < least:
-                return False
-            template[group] = len(firsts)
-            firsts.append(int(first[group].min()))
-            return True
-
-        order, runs, sizes = first_seen(leaf)
-        for a, n in zip(runs.tolist(), sizes.tolist()):
-            inside = order[a : a + n]
-            by_key, starts, counts = first_seen(key[inside])
-            rest = []
-            for b, m in zip(starts.tolist(), counts.tolist()):
-                same = inside[by_key[b : b + m]]
-                if not settle(same):
-                    rest.append(same)
-            if len(rest) < VARIETY:
-                continue  # too few different lines for any variable place
-            shape = generalised(np.stack([np.frombuffer(words[same[0]], np.uint32) for same in rest]))
-            alike: dict[bytes, list[int]] = {}
-            for k in np.flatnonzero((shape != 0).mean(axis=1) >= FIXED):
-                alike.setdefault(shape[k].tobytes(), []).append(k)
-            for members in alike.values():
-                settle(np.concatenate([rest[k] for k in members]))
-        gone = np.flatnonzero(template >= 0)
-        stays = np.array(firsts, np.int64)[template[gone]]
-        order = np.argsort(part[gone], kind="stable")
-        gone, stays = gone[order], stays[order]
-        cuts = np.flatnonzero(np.diff(part[gone], prepend=-1)).tolist() + [len(gone)]
-        out = [(int(part[gone[a]]), key[gone[a:b]].tobytes(), stays[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _DROP.types)], schema=_DROP) if out else _DROP.empty_table()
+        part, place, key = received(rows, np.uint64)
+        digest, first = (np.concatenate([np.frombuffer(r, np.int64) for r in rows.column(c).to_pylist()]) for c in ("ids", "runs"))
+        order, runs, sizes = first_seen(key)
+        group = np.repeat(np.arange(len(runs)), sizes)
+        seen = np.unique(np.stack([group, digest[order]], axis=1), axis=0)[:, 0]
+        common = np.repeat(np.bincount(seen, minlength=len(runs)) >= least, sizes)
+        stays = np.repeat(np.minimum.reduceat(first[order], runs), sizes)[common]
+        part, place = part[order][common], place[order][common]
+        # one entry of each part and key is enough for the part to know the key
+        once = np.unique(np.stack([part, group[common]], axis=1), axis=0, return_index=True)[1]
+        part, place, stays = part[once], place[once], stays[once]
+        order = np.lexsort([place, part])
+        part, place, stays = part[order], place[order], stays[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
+        out = [(int(part[a]), round_, *packed_places(place[a:b]), stays[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _COMMON.types)], schema=_COMMON) if out else _COMMON.empty_table()
 
     return run
 
 
 def _edit(schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(rows: pa.Table, drops: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
         rows = rows.combine_chunks()
         own = Lines.of(rows)
-        keys = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x, np.int64) for x in drops.column("keys").to_pylist()])
-        stays = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x, np.int64) for x in drops.column("firsts").to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        keys, stays = keys[order], stays[order]
-        mine = own.key.astype(np.int64)
-        at = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
-        gone = (keys[at] == mine) & (stays[at] != own.ids[own.owner]) if len(keys) else np.zeros(len(mine), bool)
+        gone = Known(own, replies, 3).dropped()
         dropped = np.bincount(own.owner[gone], minlength=len(own.texts))
         cuts = np.searchsorted(own.owner, np.arange(len(own.texts) + 1))
         texts = []
@@ -283,20 +294,18 @@ def without_templates(
     )
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, chars // PART_CHARS)
-    buckets = max(1, chars // 200 // BUCKET_LINES)
-    # the same exchange of the texts serves all three stages
+    buckets = max(1, chars // 60 // BUCKET_LINES)
+    # the same exchange of the texts serves all rounds
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    common = (
-        dealt.groupBy("part").applyInArrow(_send_leaves(buckets, least), SENT)
-        .groupBy("bucket").applyInArrow(_common_leaves(least), REPLY)
-    )
-    drops = (
-        dealt.groupBy("part").cogroup(common.groupBy("part")).applyInArrow(_send_lines(buckets, least), LINE)
-        .groupBy("bucket").applyInArrow(_templates(least), DROP)
-    )
+    replies = None
+    for k in range(3):
+        asked = dealt.groupBy("part")
+        sent = asked.applyInArrow(_send(k, buckets, least), SENT) if replies is None else asked.cogroup(replies.groupBy("part")).applyInArrow(_send(k, buckets, least), SENT)
+        found = sent.groupBy("bucket").applyInArrow(_common(k, least), COMMON)
+        replies = found if replies is None else replies.unionByName(found)
     out = f"text string, row {rows.schema['row'].dataType.simpleString()}, n_lines bigint, n_dropped bigint"
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], out).schema)
-    edited = dealt.groupBy("part").cogroup(drops.groupBy("part")).applyInArrow(_edit(schema), out)
+    edited = dealt.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_edit(schema), out)
     return edited.select(
         *(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns),
         *(("n_lines", "n_dropped") if counts else ()),
