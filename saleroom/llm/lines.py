@@ -9,7 +9,8 @@ in `least` or more documents of the leaf, and variable otherwise: what other lin
 holds makes no difference. A template is
 
 * a line as it is (fields aside), or else
-* the fixed words of a line with their places, if they are enough of it, or else
+* the fixed words of a line with their places, if they are most of it and `BEYOND` of them
+  stand outside the leaf, or else
 * the same less one of them: a field whose values are frequent in the leaf on their own.
 
 Lines of a template that occurs in `least` or more different documents are dropped, except in
@@ -49,6 +50,8 @@ DEPTH = 3
 LEAST_DOCS = 10
 # Share of a template's places that aren't variable.
 FIXED = 0.6
+# Fixed words that a template with variable places must have beside those that make its leaf: a leaf alone is no template.
+BEYOND = 4
 PART_CHARS = 4_000_000
 BUCKET_LINES = 200_000
 _FIELD = np.uint64(0x5BF03635)
@@ -182,8 +185,9 @@ class Known:
         n = np.bincount(line[fixed], minlength=len(size))
         leaf, looked = self._looked()
         open_ = looked & ~settled
-        whole = np.where(open_ & (n >= FIXED * size), mixed(leaf ^ total), np.uint64(0))
-        less = fixed & open_[line] & (n[line] - 1 >= FIXED * size[line])
+        enough = np.maximum(FIXED * size, DEPTH + BEYOND)
+        whole = np.where(open_ & (n >= enough), mixed(leaf ^ total), np.uint64(0))
+        less = fixed & open_[line] & (n[line] - 1 >= enough[line])
         one_less = np.where(less, mixed((leaf[line] ^ (total[line] - token)) + np.uint64(7)), np.uint64(0))
         return np.concatenate([whole, one_less]), np.concatenate([own.owner, own.owner[line]])
 
