@@ -117,6 +117,14 @@ class Lines:
         return Lines(ids, digests, texts, owner, begin, end, np.append(first, len(words)), words, leaf, tail, key)
 
 
+def settled(rows: pa.Table) -> pa.Table:
+    """A partition's rows by id and text: shuffles hand them over in any order, and keys are told by their places."""
+    rows = rows.combine_chunks()
+    ids = rows.column("doc_id").fill_null(_LOW).to_numpy()
+    digests = np.array([hashlib.blake2b((t or "").encode(), digest_size=16).digest() + bytes([t is None]) for t in rows.column("text").to_pylist()], "S17")
+    return rows.take(pa.array(np.lexsort([digests, ids]))).combine_chunks()
+
+
 def _some_of_each(group: np.ndarray, digest: np.ndarray, most: int) -> np.ndarray:
     """Places of at most `most` different digests of each group, the smallest ones."""
     order = np.lexsort([digest, group])
@@ -212,7 +220,7 @@ def _send(round_: int, buckets: int, least: int) -> Callable[..., pa.Table]:
         if not rows.num_rows:
             return sent_table([])
         number = rows.column("part")[0].as_py()
-        known = Known(Lines.of(rows), replies, round_)
+        known = Known(Lines.of(settled(rows)), replies, round_)
         keys, owner = (known.leaves, known.places, known.templates)[round_]()
         asked = np.flatnonzero(keys)
         keys, owner = keys[asked], owner[asked]
@@ -258,7 +266,7 @@ def _edit(schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        rows = rows.combine_chunks()
+        rows = settled(rows)
         own = Lines.of(rows)
         gone = Known(own, replies, 3).dropped()
         dropped = np.bincount(own.owner[gone], minlength=len(own.texts))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from saleroom.llm import lines
@@ -70,3 +71,18 @@ def test_clean_lines_stay(frame):
     texts = ["\n".join(" ".join(draw.choices(vocabulary, k=draw.randint(5, 14))) for _ in range(8)) for _ in range(150)]
     found = edited(frame, texts)
     assert sum(r["n_dropped"] for r in found.values()) == 0
+
+
+def test_rounds_do_not_depend_on_the_order_of_rows():
+    """A shuffle hands a partition's rows over in any order; every round must see the same places."""
+    rows = [(k % 7 if k % 5 else None, f"line {k}\nthe same words in every text {k}" if k % 3 else None, 0) for k in range(40)]
+    make = lambda order: pa.table({"doc_id": pa.array([rows[k][0] for k in order], pa.int64()), "text": pa.array([rows[k][1] for k in order], pa.string()), "part": pa.array([0] * len(order), pa.int64())})
+    order = list(range(40))
+    send, one = lines._send(0, 3, 5), lines._send(1, 3, 5)
+    first = send(make(order)).sort_by("bucket").to_pylist()
+    replies = lines._common(0, 5)(send(make(order)))
+    second = one(make(order), replies).sort_by("bucket").to_pylist()
+    for seed in range(3):
+        random.Random(seed).shuffle(order)
+        assert send(make(order)).sort_by("bucket").to_pylist() == first
+        assert one(make(order), replies).sort_by("bucket").to_pylist() == second
