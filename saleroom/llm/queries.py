@@ -109,41 +109,6 @@ FROM shared JOIN sizes USING (item_id)
 WHERE 10 * n_shared >= 8 * n_shingles
 """
 
-OP10_SQL = rf"""
-WITH sized AS (
-  SELECT doc_id, source, coalesce(len({_WORDS.format('text')}), 0)::BIGINT AS size FROM documents),
-sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
-weighted AS (
-  SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sources),
-running AS (
-  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
-         coalesce(sum(source_size) OVER before, 0) AS size_before, coalesce(sum(weight) OVER before, 0) AS weight_before,
-         row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS place
-  FROM weighted
-  WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-filling AS (
-  SELECT *, 3 * total - 4 * size_before AS open_size, 2 * (weights - weight_before) AS open_weight FROM running),
-levels AS (SELECT *, weight * open_size >= 2 * source_size * open_weight AS filled FROM filling),
-level AS (
-  SELECT min_by(open_size, place) AS size_left, min_by(open_weight, place) AS weight_left FROM levels WHERE NOT filled),
-targets AS (
-  SELECT source, source_size,
-         CASE WHEN filled THEN (2 * source_size)::DOUBLE
-              ELSE (weight * size_left)::DOUBLE / weight_left::DOUBLE END AS target
-  FROM levels, level),
-rated AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END::BIGINT AS copies FROM targets),
-placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, t.copies,
-         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id::VARCHAR), s.size
-                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS size_before
-  FROM sized s JOIN rated t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (copies + CASE WHEN copies < 2 AND 2 * size_before + size <= 2 * (target - copies * source_size)
-                      THEN 1 ELSE 0 END)::BIGINT * size AS taken
-FROM placed
-"""
-
 _PLACE = r"regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {})"
 
 # The priors' strengths are fitted as in the operator; suffixes and domains of these hosts are their last one and two labels or an address.
@@ -233,4 +198,4 @@ QUERIES: dict[str, Query] = {
     "op13_hard_negatives": op13_hard_negatives,
 }
 
-SQL = {"op1_decontamination": OP1_SQL, "op10_mixing": OP10_SQL, "op11_url_filters": OP11_SQL, "op13_hard_negatives": OP13_SQL}
+SQL = {"op1_decontamination": OP1_SQL, "op11_url_filters": OP11_SQL, "op13_hard_negatives": OP13_SQL}
