@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-STATE = "_k bigint, _part int, upto array<bigint>, last array<bigint>, first bigint"
-ENTRY = "_k bigint, _part int, _last bigint"
+STATE = "_k {}, _part int, upto array<bigint>, last array<bigint>, first bigint"
+ENTRY = "_k {}, _part int, _last bigint"
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -25,13 +26,12 @@ def _whole(batches: Iterator[pa.RecordBatch], names: list[str]) -> pa.Table | No
     return pa.Table.from_batches(held) if held else None
 
 
-def _runs(keys: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each run of one key, and the end of all; is it null?); nulls come first."""
-    null = keys.is_null().to_numpy()
-    value = keys.fill_null(0).to_numpy()
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (null[1:] != null[:-1])
-    return np.append(np.flatnonzero(new), len(value)), null
+def _runs(keys: pa.ChunkedArray) -> np.ndarray:
+    """Start of each run of one key, and the end of all; nulls are one key."""
+    value = keys.combine_chunks()
+    before, after = value[:-1], value[1:]
+    same = pc.or_(pc.fill_null(pc.equal(after, before), False), pc.and_(pc.is_null(after), pc.is_null(before)))
+    return np.append(np.flatnonzero(np.append(True, ~same.to_numpy(zero_copy_only=False))), len(value))
 
 
 def following(times: np.ndarray, gap: int) -> np.ndarray:
@@ -53,7 +53,7 @@ def state_of(gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         rows = _whole(batches, ["_k", "_t", "_part"])
         if rows is None:
             return
-        cuts, _ = _runs(rows.column("_k"))
+        cuts = _runs(rows.column("_k"))
         out = []
         for k in sorted({0, len(cuts) - 2}):
             times = rows.column("_t").slice(cuts[k], cuts[k + 1] - cuts[k]).to_numpy()
@@ -63,7 +63,7 @@ def state_of(gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             step = np.flatnonzero(np.append(np.diff(last[:n]) != 0, True))
             out.append((rows.column("_k")[cuts[k]].as_py(), rows.column("_part")[0].as_py(), times[step].tolist(), last[step].tolist(), int(last[0])))
         names = ["_k", "_part", "upto", "last", "first"]
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+        kinds = [rows.schema.field("_k").type, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     return run
@@ -83,12 +83,40 @@ def chained(gap: int) -> Callable[[pa.Table], pa.Table]:
             if at < len(state["last"]):
                 last = state["last"][at]
         return pa.Table.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int64()))], ["_k", "_part", "_last"]
+            [pa.array(c, t) for c, t in zip(zip(*found), (rows.schema.field("_k").type, pa.int32(), pa.int64()))], ["_k", "_part", "_last"]
         )
 
     return run
 
 
+def counted(gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, start, n): how many of a part's rows (n each time) fall into each chain link, given the last link before the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _whole(batches, ["_k", "_t", "_n", "_last"])
+        if rows is None:
+            return
+        cuts = _runs(rows.column("_k"))
+        times, sums = rows.column("_t").to_numpy(), np.append(0, np.cumsum(rows.column("_n").to_numpy()))
+        before = rows.column("_last")
+        entries, known = before.fill_null(0).to_numpy(), before.is_valid().to_numpy()
+        at_row, start, n = [], [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            at, first = a, int(entries[a]) if known[a] else int(times[a])
+            while at < b:  # one turn per link
+                end = a + int(np.searchsorted(times[a:b], first + gap, side="right"))
+                if end > at:
+                    at_row.append(a)
+                    start.append(first)
+                    n.append(int(sums[end] - sums[at]))
+                at = end
+                first = int(times[at]) if at < b else first
+        keys = rows.column("_k").combine_chunks().take(pa.array(at_row, pa.int64()))
+        yield pa.RecordBatch.from_arrays([keys, pa.array(start, pa.int64()), pa.array(n, pa.int64())], ["_k", "_start", "_n"])
+
+    return run
+
+
 def mails(gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The times of a part that are mailed, given the last mail before the part."""
 
@@ -96,7 +124,7 @@ def mails(gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         rows = _whole(batches, ["_k", "_t", "_last"])
         if rows is None:
             return
-        cuts, _ = _runs(rows.column("_k"))
+        cuts = _runs(rows.column("_k"))
         times = rows.column("_t").to_numpy()
         before = rows.column("_last")
         entries = before.fill_null(0).to_numpy()

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saleroom.functions import cooldown
 from saleroom.functions.ids import pinned
 
 PART = "_part"
@@ -23,3 +24,15 @@ def in_parts(rows: DataFrame, order: list[str | Column]) -> DataFrame:
     when an executor is lost between two reads.
     """
     return pinned(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn(PART, F.spark_partition_id())
+
+
+def with_last_link(parts: DataFrame, gap: int) -> DataFrame:
+    """Adds _last to the first and last key of each part of (_k, _t): the last link before the part, of a chain
+    that goes on at each first time more than `gap` after its last link (null at the key's beginning)."""
+    kind = dict(parts.dtypes)["_k"]
+    states = parts.mapInArrow(cooldown.state_of(gap), cooldown.STATE.format(kind))
+    entries = states.groupBy("_k").applyInArrow(cooldown.chained(gap), cooldown.ENTRY.format(kind))
+    # at most two rows for each part
+    known = F.broadcast(entries.withColumnsRenamed({"_k": "_key", PART: "_at"}))
+    here = F.col("_k").eqNullSafe(F.col("_key")) & (F.col(PART) == F.col("_at"))
+    return parts.join(known, here, "left").drop("_key", "_at")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from saleroom.functions import cooldown, text
 from saleroom.functions.ordering import newest
-from saleroom.functions.skew import PART, in_parts
+from saleroom.functions.skew import in_parts, with_last_link
 from saleroom.functions.time import epoch_micros, interval, ntz
 
 # Minutes between two mails of a kind, days a notification is kept.
@@ -118,11 +118,8 @@ def mail_after_cooldown(
         )
     times = arrivals.select(F.col(key).cast("bigint").alias("_k"), epoch_micros(F.col(at)).alias("_t")).distinct()
     parts = in_parts(times, ["_k", "_t"])
-    states = parts.mapInArrow(cooldown.state_of(gap), cooldown.STATE).groupBy("_k").applyInArrow(cooldown.chained(gap), cooldown.ENTRY)
-    # at most two rows for each part
-    known = F.broadcast(states.withColumnsRenamed({"_k": "_key", PART: "_at"}))
-    here = F.col("_k").eqNullSafe(F.col("_key")) & (F.col(PART) == F.col("_at"))
-    sent = parts.join(known, here, "left").select("_k", "_t", "_last").mapInArrow(cooldown.mails(gap), "_k bigint, _t bigint")
+    entered = with_last_link(parts, gap).select("_k", "_t", "_last")
+    sent = entered.mapInArrow(cooldown.mails(gap), "_k bigint, _t bigint")
     epoch = ntz("1970-01-01 00:00:00")
     kind = dict(arrivals.dtypes)[key]
     return sent.select(F.col("_k").cast(kind).alias(key), F.timestamp_add("MICROSECOND", F.col("_t"), epoch).alias(at))

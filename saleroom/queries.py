@@ -1702,3 +1702,46 @@ def _scan(table: str) -> Query:
 
 for _table, _view in _STORED.items():
     query(f"scan_{_table}", f"SELECT {_SCANNED[_table]} FROM {_view}")(_scan(_table))
+
+
+def _first_hit_sql(hits: str, window: str, limit: int) -> str:
+    return f"""
+        WITH RECURSIVE hits AS ({hits}),
+        starts AS (
+            SELECT key, min(ts) AS window_start FROM hits GROUP BY key
+            UNION ALL
+            SELECT s.key, min(h.ts) FROM starts s JOIN hits h ON h.key = s.key AND h.ts >= s.window_start + INTERVAL {window}
+            GROUP BY s.key)
+        SELECT h.key, s.window_start, count(*) AS hits, count(*) - {limit} AS excess
+        FROM hits h ASOF JOIN starts s ON s.key = h.key AND s.window_start <= h.ts
+        GROUP BY 1, 2 HAVING count(*) > {limit}
+    """
+
+
+_MAIL_HITS = "SELECT coalesce('user' || CAST(user_id AS VARCHAR) || '@example.com', 'no-email') AS key, ts FROM v_live_events WHERE ts IS NOT NULL"
+
+
+def _mail_key() -> Column:
+    return windows.email_key(F.concat(F.lit("User"), F.col("user_id").cast("string"), F.lit("@Example.com")))
+
+
+@query("rate_limit_first_hit", _first_hit_sql(_MAIL_HITS, "7 DAY", 3))
+def rate_limit_first_hit(m: Marketplace) -> DataFrame:
+    return windows.over_limit(windows.hits_since_first(m["v_live_events"], _mail_key(), 7 * 86400), 3)
+
+
+@query("stream_rate_limit_first_hit", _first_hit_sql(_MAIL_HITS, "7 DAY", 3))
+def stream_rate_limit_first_hit(m: Marketplace) -> DataFrame:
+    # three deliveries, one after the other in time
+    whole = m["v_live_events"].where(F.col("ts").isNotNull())
+    low, high = whole.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select("low", "high").first()
+    third = F.floor(3 * (F.unix_micros(F.col("ts").cast("timestamp_ltz")) - F.unix_micros(F.lit(low).cast("timestamp_ltz")))
+                    / (F.unix_micros(F.lit(high).cast("timestamp_ltz")) - F.unix_micros(F.lit(low).cast("timestamp_ltz")) + 1))
+    deliveries = [whole.where(third == k) for k in range(3)]
+    touched = replay_deliveries(deliveries, lambda hits: windows.live_hits_since_first(hits, _mail_key(), 7 * 86400), "first-hit")
+    return windows.over_limit(touched.groupBy("key", "window_start").agg(F.max("hits").alias("hits")), 3)
+
+
+@query("rate_limit_first_hit_requests", _first_hit_sql("SELECT 'site' AS key, ts FROM v_requests", "1 MINUTE", 150))
+def rate_limit_first_hit_requests(m: Marketplace) -> DataFrame:
+    return windows.over_limit(windows.hits_since_first(m["v_requests"], F.lit("site"), 60), 150)

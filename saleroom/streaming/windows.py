@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from saleroom.functions.cooldown import counted
+from saleroom.functions.skew import in_parts, with_last_link
 from saleroom.functions.time import epoch_micros
 
 # Permitted hits and window length per kind of limit.
@@ -47,6 +49,93 @@ def over_limit(hits: DataFrame, limit: int) -> DataFrame:
     return hits.where(F.col("hits") > limit).withColumn("excess", F.col("hits") - limit)
 
 
+# ---- windows from a key's first hit -----------------------------------------------------
+#
+# A limiter opens a window at a key's first hit, [start, start + length), and the next one at
+# the first hit after it. Both forms below give (key, window_start, hits).
+
+
+def hits_since_first(hits: DataFrame, key: Column, seconds: int, at: str = "ts") -> DataFrame:
+    """All windows of a batch of hits, whatever their order.
+
+    Hits are added up per key and time (combined map-side) and cut into even parts by
+    (key, time), so that the one key of all requests without an e-mail fills many parts. A part
+    states how the chain of windows goes on through it; given the window it begins in, it counts
+    its own hits, and a window over several parts is added up from a row of each.
+    Hits without a time are no hits; a null key is a key.
+    """
+    gap = seconds * 1_000_000 - 1  # a hit at the very end opens the next window
+    timed = hits.where(F.col(at).isNotNull()).select(key.alias("_k"), epoch_micros(F.col(at)).alias("_t"))
+    parts = in_parts(timed.groupBy("_k", "_t").agg(F.count("*").alias("_n")), ["_k", "_t"])
+    kind = dict(parts.dtypes)["_k"]
+    found = with_last_link(parts, gap).select("_k", "_t", "_n", "_last").mapInArrow(
+        counted(gap), f"_k {kind}, _start bigint, _n bigint"
+    )
+    return found.groupBy(F.col("_k").alias("key"), _time("_start").alias("window_start")).agg(F.sum("_n").alias("hits"))
+
+
+def _time(micros: str) -> Column:
+    return F.timestamp_add("MICROSECOND", F.col(micros), F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+class FirstHitWindows(StatefulProcessor):
+    """Per key: start and hits of the open window, until the watermark has passed its end."""
+
+    def __init__(self, length_us: int):
+        self.length = length_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start_us BIGINT, hits BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = np.sort(np.concatenate([part["at_us"].to_numpy(dtype=np.int64) for part in rows]))
+        start, hits = self.open.get() if self.open.exists() else (int(times[0]), 0)
+        earlier, found, at = start, [], 0
+        while True:  # one turn per window
+            end = int(np.searchsorted(times, start + self.length, side="left"))
+            hits += end - at
+            if end > at:
+                found.append((key[0], start, hits))
+            at = end
+            if at == len(times):
+                break
+            start, hits = int(times[at]), 0
+        if self.open.exists() and start != earlier:
+            self.handle.deleteTimer(self._over(earlier))
+        self.open.update((start, hits))
+        self.handle.registerTimer(self._over(start))
+        yield pd.DataFrame(found, columns=["key", "start_us", "hits"])
+
+    def _over(self, start_us: int) -> int:
+        return (start_us + self.length) // 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self._over(self.open.get()[0]):
+            self.open.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def live_hits_since_first(hits: DataFrame, key: Column, seconds: int, at: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """The windows of a stream of hits, counted in order of arrival as a limiter does.
+
+    Every micro-batch gives the windows it touched with their hits so far; the largest count is
+    the latest. Within a micro-batch hits are put in order. A hit from before the open window
+    counts in it. No hit is dropped; a key's state goes when the watermark has passed its window.
+    """
+    timed = hits.where(F.col(at).isNotNull()).withColumn("_event", F.col(at).cast("timestamp_ltz")).withWatermark("_event", delay)
+    # without the watermark's column in it, Spark takes no late rows out of the operator's input
+    keyed = timed.select(key.alias("key"), epoch_micros(F.col(at)).alias("at_us"))
+    kind = dict(keyed.dtypes)["key"]
+    found = keyed.groupBy("key").transformWithStateInPandas(
+        FirstHitWindows(seconds * 1_000_000), f"key {kind}, start_us BIGINT, hits BIGINT", "Append", "EventTime"
+    )
+    return found.select("key", _time("start_us").alias("window_start"), "hits")
+
+
 SESSION = "conversation_id BIGINT, user_id BIGINT, start_us BIGINT, last_us BIGINT, n_events BIGINT, ended_by STRING"
 
 
