@@ -6,9 +6,15 @@ vector (each gram once) and a multinomial logistic regression gives a licence fa
 `unknown`. It is trained in numpy on notices written from the templates below, with words
 dropped, added and exchanged, and on at most `PLAIN_ROWS` paragraphs of the corpus itself that
 share no three words in a row with a template, as `unknown`. The level that a family's
-probability must reach is calibrated on paragraphs kept out of training. A prediction counts
+probability must reach is calibrated on paragraphs kept out of training that a template confirms. A prediction counts
 only if the paragraph also holds enough of one of that family's templates.
 
+Families whose notices differ in a word or two (the GNU, Apache, BSD and Creative Commons ones)
+form a stem: the classifier answers for the stem, its marks (a version, `Affero`, `Lesser`, `NC
+SA`) tell the family, and a template of that very family confirms it. A GNU notice without a
+version counts as gpl-3.0; the BSD conditions are the same in bsd and bsd-2, so only a name tells
+bsd-2.
+
 Null, empty and blank texts have no paragraphs and no licence. Repeated rows are rows,
 repeated paragraphs are counted. A very long text or paragraph is read whole, in pieces of
 whole texts. Empty tables give an empty result. Other columns, whatever their names, are
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 
 from saleroom.llm.tokens import SpanHash, buffer_of, column, mixed, pieces, sampled, segment_sums, small_batches
 
-# How public licences are commonly named in notices.
+# How public licences are commonly named in notices, and the paragraphs they are known by.
 TEMPLATES = {
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
@@ -36,40 +42,119 @@ TEMPLATES = {
         "SPDX-License-Identifier: Apache-2.0",
         "Released under the Apache 2.0 license",
     ),
+    "apache-1.1": (
+        "Licensed under the Apache Software License, Version 1.1",
+        "Licensed under the Apache License, Version 1.1",
+        "SPDX-License-Identifier: Apache-1.1",
+        "Released under the Apache 1.1 license",
+    ),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0",
         "Released under the GNU GPL version 3",
     ),
+    "gpl-2.0": (
+        "This work is licensed under the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0",
+        "Released under the GNU GPL version 2",
+    ),
+    "lgpl": (
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-2.1",
+        "Released under the GNU LGPL version 3",
+    ),
+    "agpl-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0",
+        "Released under the GNU AGPL version 3",
+    ),
     "mit": (
         "Released under the MIT License",
         "Licensed under the MIT License",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the '
+        "warranties of merchantability, fitness for a particular purpose and noninfringement",
+    ),
+    "isc": (
+        "Released under the ISC License",
+        "Licensed under the ISC License",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     ),
     "bsd": (
         "Licensed under the BSD 3-Clause License",
         "Released under the BSD License",
         "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission",
+    ),
+    "bsd-2": (
+        "Licensed under the BSD 2-Clause License",
+        "Released under the Simplified BSD License",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "SPDX-License-Identifier: MPL-2.0",
         "Licensed under the Mozilla Public License 2.0",
     ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+        "Licensed under the Eclipse Public License 2.0",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain",
+        "SPDX-License-Identifier: Unlicense",
+        "Released under the Unlicense",
+    ),
     "cc-by": (
         "Licensed under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "cc-by-sa": (
         "Licensed under CC BY-SA 4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+    ),
+    "cc-by-nd": (
+        "Licensed under CC BY-ND 4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    ),
+    "cc-by-nc-sa": (
+        "Licensed under CC BY-NC-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+    ),
+    "cc-by-nc-nd": (
+        "Licensed under CC BY-NC-ND 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-NC-ND-4.0",
     ),
     "cc0": (
         "To the extent possible under law, the author has waived all copyright: CC0 1.0 Universal",
@@ -77,13 +162,34 @@ TEMPLATES = {
     ),
     "all-rights-reserved": ("All rights reserved", "Copyright. All rights reserved worldwide"),
 }
+# Families with near relatives, and the words, or two words in a row, that tell each from those after it.
+STEMS: dict[str, dict[str, tuple[str, ...]]] = {
+    "gnu": {
+        "agpl-3.0": ("affero", "agpl", "agplv3"),
+        "lgpl": ("lesser", "lgpl", "gnu library", "lgplv2", "lgplv3"),
+        "gpl-2.0": ("version 2", "gpl 2", "license 2", "v2", "gplv2"),
+        "gpl-3.0": (),
+    },
+    "apache": {"apache-1.1": ("version 1", "apache 1", "license 1"), "apache-2.0": ()},
+    "bsd": {"bsd-2": ("2 clause", "simplified bsd", "two clause"), "bsd": ()},
+    "creative commons": {
+        "cc-by-nc-sa": ("nc sa", "noncommercial sharealike"),
+        "cc-by-nc-nd": ("nc nd", "noncommercial noderivatives", "noncommercial noderivs"),
+        "cc-by-nc": ("by nc", "attribution noncommercial"),
+        "cc-by-nd": ("by nd", "attribution noderivatives", "attribution noderivs"),
+        "cc-by-sa": ("by sa", "attribution sharealike"),
+        "cc-by": (),
+    },
+}
+STEM_OF = {family: next((stem for stem, of in STEMS.items() if family in of), family) for family in TEMPLATES}
 UNKNOWN = "unknown"
 
 BUCKETS = 1 << 15
 ORDERS = 3
 PLAIN_ROWS = 8_000
-VARIANTS = 150
-EPOCHS = 25
+VARIANTS = 100
+EPOCHS = 20
+STEP = 1.0
 # Share of a template's words, in order of 2-grams, that a paragraph must hold.
 HELD = 0.6
 # Share of calibration paragraphs without a licence that may pass the level.
@@ -146,15 +252,44 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
     return mixed(h[:-1] * np.uint64(31) + h[1:])
 
 
-def template_pairs() -> list[tuple[str, np.ndarray]]:
-    """(family, distinct hashes of two words in a row) of each template; a template of one pair has just that."""
+@dataclass
+class Template:
+    """family; distinct hashes of two words in a row; hashes of the words that no other stem's templates hold."""
+
+    family: str
+    pairs: np.ndarray
+    own: np.ndarray
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    return grams(pa.array([text])).words
+
+
+def template_pairs() -> list[Template]:
+    words = [(family, _word_hashes(notice)) for family, notices in TEMPLATES.items() for notice in notices]
     found = []
-    for family, notices in TEMPLATES.items():
-        for notice in notices:
-            found.append((family, np.unique(pair_hashes(grams(pa.array([notice])).words))))
+    for family, w in words:
+        others = np.concatenate([v for f, v in words if STEM_OF[f] != STEM_OF[family]])
+        found.append(Template(family, np.unique(pair_hashes(w)), np.setdiff1d(w, others)))
     return found
 
 
+def _phrase(phrase: str) -> int:
+    """The hash of a word, or of two words in a row."""
+    h = _word_hashes(phrase)
+    return int(pair_hashes(h)[0] if len(h) > 1 else h[0])
+
+
+def _marks() -> dict[str, dict[str, np.ndarray]]:
+    return {stem: {f: np.array([_phrase(x) for x in marks], np.uint64) for f, marks in of.items()} for stem, of in STEMS.items()}
+
+
+def named(words: np.ndarray, stem: str, marks: dict[str, dict[str, np.ndarray]]) -> str:
+    """The family of a stem that the words speak of: the first one with a mark among them, else the last."""
+    seen = np.concatenate([words, pair_hashes(words)])
+    return next((f for f, of in marks[stem].items() if np.isin(of, seen).any()), [*marks[stem]][-1]) if stem in marks else stem
+
+
 @dataclass
 class LicenceModel:
     families: list[str]  # the last is UNKNOWN
@@ -169,57 +304,114 @@ class LicenceModel:
         e = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
         return e / e.sum(axis=1, keepdims=True) if len(z) else e
 
+    def stems(self, p: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """The stems, UNKNOWN last, and their probabilities: relatives share one, as their notices differ in a word or two."""
+        names = [*dict.fromkeys(STEM_OF.get(f, f) for f in self.families)]
+        of = np.array([names.index(STEM_OF.get(f, f)) for f in self.families])
+        return names, np.stack([p[:, of == k].sum(axis=1) for k in range(len(names))], axis=1)
+
+
+def _held(words: np.ndarray, family: str, templates: list[Template]) -> tuple[float, int]:
+    """(share, number of pairs) of the family's template that the words hold best; 0 without that template's own words."""
+    pairs, best = np.unique(pair_hashes(words)), (0.0, 0)
+    for t in templates:
+        if t.family == family and len(t.pairs) and (not len(t.own) or np.isin(t.own, words).mean() >= HELD):
+            n = int(np.isin(t.pairs, pairs).sum())
+            best = max(best, (n / len(t.pairs), n))
+    return best
+
 
-def confirmed(g: Grams, paragraph: int, family: str, templates: list[tuple[str, np.ndarray]]) -> float:
-    """The largest share of one of the family's templates that the paragraph holds."""
+def confirmed(g: Grams, paragraph: int, family: str, templates: list[Template], marks: dict[str, dict[str, np.ndarray]] | None = None) -> float:
+    """The largest share of one of the family's templates that the paragraph holds; 0 if its words speak of a relative."""
     a, b = np.searchsorted(g.word_owner, [paragraph, paragraph + 1])
-    own = pair_hashes(g.words[a:b]) if b - a > 1 else np.zeros(0, np.uint64)
-    return max((float(np.isin(t, own).mean()) for f, t in templates if f == family and len(t)), default=0.0)
+    words = g.words[a:b]
+    if named(words, STEM_OF[family], marks or _marks()) != family:
+        return 0.0
+    return _held(words, family, templates)[0]
 
 
-def wrapped(g: Grams, model: LicenceModel, templates: list[tuple[str, np.ndarray]], found: list[tuple[int, int, str, float, float]]) -> list[tuple[int, int, str, float, float]]:
-    """(text, first line, family, probability, share) of notices that go on over the lines of one block.
+@dataclass
+class Notice:
+    """A licence found: number of its text, first and last paragraph, and what speaks for it."""
+
+    text: int
+    first: int
+    last: int
+    family: str
+    probability: float
+    share: float
+    pairs: int
+
+
+def on_lines(g: Grams, model: LicenceModel, templates: list[Template], marks: dict[str, dict[str, np.ndarray]]) -> list[Notice]:
+    """Notices of single lines: the classifier names the stem, marks the family, a template confirms it."""
+    names, p = model.stems(model.probabilities(g))
+    if not len(p):
+        return []
+    best = p.argmax(axis=1)
+    out = []
+    for k in np.flatnonzero((best < len(names) - 1) & (p.max(axis=1) >= model.level)):
+        a, b = np.searchsorted(g.word_owner, [k, k + 1])
+        family = named(g.words[a:b], names[best[k]], marks)
+        share, n = _held(g.words[a:b], family, templates)
+        if share >= HELD:
+            out.append(Notice(int(g.text[k]), int(k), int(k), family, float(p[k, best[k]]), share, n))
+    return out
+
 
-    A block is a run of lines with words. A notice lies within twice its template's words, so
-    that common pairs of a long block do not add up to one. Its lines together are classified
-    as one line is. `found` are the notices of single lines; they are not found again.
+def wrapped(g: Grams, model: LicenceModel, templates: list[Template], marks: dict[str, dict[str, np.ndarray]]) -> list[Notice]:
+    """Notices that go on over the lines of one block, a run of lines with words.
+
+    A notice lies within twice its template's words, so that common pairs of a long block do not
+    add up to one. Its lines together are classified as one line is.
     """
     if len(g.words) < 2:
         return []
     goes_on = (g.text[1:] == g.text[:-1]) & (g.line[1:] == g.line[:-1] + 1)
     block = np.concatenate([[0], np.cumsum(~goes_on)])[g.word_owner]
     pairs = pair_hashes(g.words)
-    hit = np.flatnonzero(np.isin(pairs, np.unique(np.concatenate([t for _, t in templates]))) & (block[1:] == block[:-1]))
-    spans: list[tuple[float, int, int, str]] = []
-    for family, template in templates:
-        own = hit[np.isin(pairs[hit], template)]
+    hit = np.flatnonzero(np.isin(pairs, np.unique(np.concatenate([t.pairs for t in templates]))) & (block[1:] == block[:-1]))
+    spans: set[tuple[int, int, str]] = set()
+    for t in templates:
+        own = hit[np.isin(pairs[hit], t.pairs)]
         # a block's words come before the next one's: its hits are cut off where it ends
-        until = np.minimum(own + 2 * len(template) + 1, np.searchsorted(block, block[own], "right") - 1)
+        until = np.minimum(own + 2 * len(t.pairs) + 1, np.searchsorted(block, block[own], "right") - 1)
         stop = np.searchsorted(own, until, "left")
-        for i in np.flatnonzero(stop - np.arange(len(own)) >= HELD * len(template)):
-            share = len(np.unique(pairs[own[i : stop[i]]])) / len(template)
+        for i in np.flatnonzero(stop - np.arange(len(own)) >= HELD * len(t.pairs)):
             a, b = int(g.word_owner[own[i]]), int(g.word_owner[own[stop[i] - 1] + 1])
-            if share >= HELD and b > a:
-                spans.append((share, a, b, family))
-    spans = sorted(set(spans), key=lambda x: (-x[0], x[2] - x[1], x[1], x[3]))
+            if b > a and len(np.unique(pairs[own[i : stop[i]]])) >= HELD * len(t.pairs):
+                spans.add((a, b, STEM_OF[t.family]))
     if not spans:
         return []
+    of = sorted(spans)
     first = np.searchsorted(g.word_owner, np.arange(len(g.text) + 1))
-    sizes = np.array([first[b + 1] - first[a] for _, a, b, _ in spans])
-    words = np.concatenate([g.words[first[a] : first[b + 1]] for _, a, b, _ in spans])
-    owner = np.repeat(np.arange(len(spans)), sizes)
-    p = model.probabilities(Grams(*_gram_buckets(words, owner), np.array([g.text[x[1]] for x in spans]), np.arange(len(spans)), words, owner))
-    taken = {(k, family) for _, k, family, _, _ in found}
+    words = [g.words[first[a] : first[b + 1]] for a, b, _ in of]
+    flat, owner = np.concatenate(words), np.repeat(np.arange(len(of)), [len(w) for w in words])
+    together = Grams(*_gram_buckets(flat, owner), np.array([g.text[a] for a, _, _ in of]), np.arange(len(of)), flat, owner)
+    names, p = model.stems(model.probabilities(together))
     out = []
-    for (share, a, b, family), row in zip(spans, p):
-        best = int(row.argmax())
-        mine = {(k, family) for k in range(a, b + 1)}
-        if model.families[best] == family and row[best] >= model.level and not mine & taken:
-            taken |= mine
-            out.append((int(g.text[a]), a, family, float(row[best]), share))
+    for (a, b, stem), w, row in zip(of, words, p):
+        if names[int(row.argmax())] == stem and row.max() >= model.level:
+            family = named(w, stem, marks)
+            share, n = _held(w, family, templates)
+            if share >= HELD:
+                out.append(Notice(int(g.text[a]), a, b, family, float(row.max()), share, n))
     return out
 
 
+def notices(g: Grams, model: LicenceModel, templates: list[Template], marks: dict[str, dict[str, np.ndarray]]) -> list[Notice]:
+    """All notices in order; of those of one stem that share a line, the one that holds most of its template's pairs, then the shortest."""
+    found = on_lines(g, model, templates, marks) + wrapped(g, model, templates, marks)
+    taken: set[tuple[int, str]] = set()
+    out = []
+    for x in sorted(found, key=lambda x: (-x.pairs, x.last - x.first, x.first, x.family)):
+        lines = {(k, STEM_OF[x.family]) for k in range(x.first, x.last + 1)}
+        if not lines & taken:
+            taken |= lines
+            out.append(x)
+    return sorted(out, key=lambda x: (x.first, x.family))
+
+
 def variants(notice: str, rng: np.random.Generator, others: list[str]) -> str:
     """A notice as people write it: some words lost or swapped, other words around it."""
     words = [w for w in notice.split() if rng.random() > 0.06]
@@ -242,6 +434,10 @@ def trained(plain: list[str], seed: int = 19) -> LicenceModel:
     # single words and pairs of the templates alone are no licence
     loose = sorted({w for notices in TEMPLATES.values() for n in notices for w in n.split()})
     stray = [" ".join(rng.permutation(loose)[: rng.integers(1, 4)]) + " " + " ".join(rng.permutation(others)[: rng.integers(0, 12)]) for _ in range(600)]
+    # unless they happen to make a whole notice
+    g, templates = grams(pa.array(stray)), template_pairs()
+    whole = {int(t) for k, t in enumerate(g.text) if any(_held(g.words[g.word_owner == k], f, templates)[0] >= HELD for f in TEMPLATES)}
+    stray = [x for k, x in enumerate(stray) if k not in whole]
     texts += [p.replace("\n", " ") for p in plain] + stray
     y += [len(families) - 1] * (len(plain) + len(stray))
     keep = [i for i, t in enumerate(texts) if t.strip()]
@@ -267,13 +463,15 @@ def trained(plain: list[str], seed: int = 19) -> LicenceModel:
             p[np.arange(len(pick)), labels[pick]] -= 1
             used, back = np.unique(bucket, return_inverse=True)
             steps = np.repeat(p * scale[:, None], sizes, axis=0)
-            weights[used] -= rate * 0.1 * np.stack([np.bincount(back, steps[:, k], len(used)) for k in range(len(families))], axis=1)
+            weights[used] -= rate * STEP * np.stack([np.bincount(back, steps[:, k], len(used)) for k in range(len(families))], axis=1)
             bias -= rate * p.mean(axis=0)
     model = LicenceModel(families, weights, bias, 0.5)
-    family = model.probabilities(g)[held, :-1].max(axis=1)
-    blank = family[labels[held] == len(families) - 1]
-    if len(blank):
-        model.level = float(np.clip(np.quantile(blank, 1 - FALSE_SHARE), 0.5, 0.9))
+    blank = np.isin(np.arange(len(rows)), held) & (labels == len(families) - 1)
+    if blank.any():
+        # what no template confirms cannot come through, whatever its probability
+        passed = [x.probability for x in on_lines(g, model, template_pairs(), _marks()) if blank[x.first]]
+        scores = np.concatenate([passed, np.zeros(int(blank.sum()) - len(passed))])
+        model.level = float(np.clip(np.quantile(scores, 1 - FALSE_SHARE), 0.5, 0.9))
     return model
 
 
@@ -301,29 +499,20 @@ def licences(docs: DataFrame, model: LicenceModel, doc_id: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, templates = shared.value, template_pairs()
+        model, templates, marks = shared.value, template_pairs(), _marks()
         for batch in batches:
             for piece in pieces(batch):
                 g = grams(column(piece, "text"))
-                p = model.probabilities(g)
-                best = p[:, :-1].argmax(axis=1)
-                sure = np.flatnonzero((p[np.arange(len(p)), best] >= model.level) & (p.argmax(axis=1) == best)) if len(p) else []
-                found = []
-                for k in sure:
-                    family = model.families[best[k]]
-                    share = confirmed(g, k, family, templates)
-                    if share >= HELD:
-                        found.append((int(g.text[k]), k, family, float(p[k, best[k]]), share))
-                found = sorted(found + wrapped(g, model, templates, found), key=lambda x: x[1])
+                found = notices(g, model, templates, marks)
                 ids = column(piece, "doc_id")
                 first = np.searchsorted(g.text, np.arange(piece.num_rows))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array([f[0] for f in found], pa.int64())),
-                        pa.array([int(f[1] - first[f[0]]) for f in found], pa.int64()),
-                        pa.array([f[2] for f in found], pa.string()),
-                        pa.array([f[3] for f in found], pa.float64()),
-                        pa.array([f[4] for f in found], pa.float64()),
+                        ids.take(pa.array([f.text for f in found], pa.int64())),
+                        pa.array([int(f.first - first[f.text]) for f in found], pa.int64()),
+                        pa.array([f.family for f in found], pa.string()),
+                        pa.array([f.probability for f in found], pa.float64()),
+                        pa.array([f.share for f in found], pa.float64()),
                     ],
                     ["doc_id", "paragraph", "family", "probability", "template_share"],
                 )
