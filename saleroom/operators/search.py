@@ -7,6 +7,10 @@ grams must occur in one column, so looking up the rarest of them is enough, and
 listings found are then compared by `ilike`. The index holds only grams that some term has,
 so what is shuffled grows with the texts' share of such grams; the plan is the same for any
 number of terms and has no nested loop.
+
+Listings are dealt by id once, and their index and the listings found stay where they were
+dealt. They are never broadcast, however small their files are: a few megabytes of repeated
+texts are hundreds as rows, and the driver would hold them all.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ def search_table(listings: DataFrame, terms: DataFrame) -> DataFrame:
 
     `terms` has a column `term`; repeated terms count once. `id` names a listing.
     """
-    visible = listings.where(shown())
+    visible = listings.where(shown()).repartition("id")
     grams = term_grams(terms)
     index = gram_index(visible, grams.select("gram").distinct())
     frequency = index.groupBy("gram").agg(F.count("*").alias("n"))
@@ -57,4 +61,4 @@ def search_table(listings: DataFrame, terms: DataFrame) -> DataFrame:
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")
     ).where("best.n > 0").select("term", F.col("best.gram").alias("gram"))
     candidates = rarest.join(index, "gram").select("term", "id")
-    return candidates.join(visible, "id").where(matches(F.col("term"))).select("term", *listings.columns)
+    return candidates.join(visible.hint("merge"), "id").where(matches(F.col("term"))).select("term", *listings.columns)

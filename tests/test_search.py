@@ -47,3 +47,12 @@ def test_plan_does_not_grow_with_the_terms(spark, frame):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
         plans.append(plan.count("\n"))
     assert plans[0] == plans[1]
+
+
+def test_listings_are_not_broadcast(spark, frame, tmp_path):
+    """However small their files look, they are joined by their ids in place."""
+    posts(frame, ("a", "b", "c")).write.parquet(str(tmp_path / "posts"))
+    rows = spark.read.parquet(str(tmp_path / "posts"))
+    found = search.search_table(rows, frame("term STRING", ("a",)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [id" not in plan and "SortMergeJoin [id" in plan
