@@ -136,103 +136,116 @@ def live_hits_since_first(hits: DataFrame, key: Column, seconds: int, at: str =
     return found.select("key", _time("start_us").alias("window_start"), "hits")
 
 
-SESSION = "conversation_id BIGINT, user_id BIGINT, start_us BIGINT, last_us BIGINT, n_events BIGINT, ended_by STRING"
+KEY = ["nulls", "conversation_id", "user_id"]
+SESSION = "nulls INT, conversation_id BIGINT, user_id BIGINT, start_us BIGINT, last_us BIGINT, n_events BIGINT, ended_by STRING"
+OPEN = ["start_us", "last_us", "n_events"]
+# State is kept per bucket of writers: a call, a state value and a timer for each writer would cost more than the work.
+BUCKETS = 1024
 
 
 class TypingSessions(StatefulProcessor):
-    """Per conversation and user: the open burst of typing, if any."""
+    """Per bucket of conversations and users: the open bursts of typing, one at most of each."""
 
     def __init__(self, gap_us: int):
         self.gap = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start_us BIGINT, last_us BIGINT, n BIGINT, timer_ms BIGINT")
+        lists = ", ".join(f"{c} ARRAY<BIGINT>" for c in KEY + OPEN)
+        self.open = handle.getValueState("open", f"timer_ms BIGINT, {lists}")
+
+    def _held(self) -> tuple[int | None, pd.DataFrame]:
+        """The timer and the open bursts."""
+        timer, *lists = self.open.get() if self.open.exists() else (None, *([] for _ in KEY + OPEN))
+        return timer, pd.DataFrame({c: np.array(v, np.int64) for c, v in zip(KEY + OPEN, lists)})
+
+    def _due(self, last_us: np.ndarray) -> np.ndarray:
+        """When bursts are over, in milliseconds."""
+        return (last_us + self.gap) // 1000 + 1
+
+    def _hold(self, timer: int | None, bursts: pd.DataFrame) -> None:
+        """Keep the open bursts, with a timer for the one that ends first."""
+        first = int(self._due(bursts["last_us"].to_numpy()).min()) if len(bursts) else None
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is None:
+            self.open.clear()
+            return
+        if timer != first:
+            self.handle.registerTimer(first)
+        self.open.update((first, *(bursts[c].tolist() for c in KEY + OPEN)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values(["at_us", "id"], kind="stable")
-        times = seen["at_us"].to_numpy(dtype=np.int64)
-        stops = seen["is_stop"].to_numpy(dtype=bool)
-        start, last, n = None, None, 0
-        if self.open.exists():
-            start, last, n, timer = self.open.get()
-            self.handle.deleteTimer(timer)
-            # an event from before the open burst's end joins it
-            times = np.maximum(times, start)
+        timer, held = self._held()
+        seen = pd.concat(list(rows))
+        # open bursts come first in their group, as one row each
+        both = pd.concat([
+            held.assign(at_us=held["last_us"], id=0, is_stop=False, event=False),
+            seen[[*KEY, "at_us", "id", "is_stop"]].assign(start_us=seen["at_us"], last_us=seen["at_us"], n_events=1, event=True),
+        ]).sort_values([*KEY, "event", "at_us", "id"], kind="stable")
+        keys = both[KEY].to_numpy(np.int64)
+        start, last, n = (both[c].to_numpy(np.int64) for c in OPEN)
+        stops, event = both["is_stop"].to_numpy(bool), both["event"].to_numpy(bool)
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+        group = np.cumsum(new) - 1
+        # an event from before the open burst's end joins it
+        opened = np.where(event[new], np.iinfo(np.int64).min, start[new])[group]
+        start, times = np.maximum(start, opened), np.maximum(last, opened)
         # a new burst begins after a stop, after an idle gap, or when none is open
-        previous = np.concatenate([[times[0] if last is None else last], times[:-1]])
-        idle = times - previous > self.gap
-        after_stop = np.concatenate([[False], stops[:-1]])
-        begins = idle | after_stop
-        begins[0] = start is None or idle[0]
-        burst = np.cumsum(begins)
-        frame = pd.DataFrame({"b": burst, "t": times, "stop": stops})
-        parts = frame.groupby("b").agg(
-            start_us=("t", "min"), last_us=("t", "max"), n_events=("t", "size"), stop=("stop", "max")
-        )
-        if start is not None:
-            if 0 in parts.index:  # continues the open burst
-                parts.loc[0, "start_us"] = min(start, parts.loc[0, "start_us"])
-                parts.loc[0, "last_us"] = max(last, parts.loc[0, "last_us"])
-                parts.loc[0, "n_events"] += n
-            else:
-                parts.loc[0] = [start, last, n, False]
-                parts = parts.sort_index()
-        stay_open = not parts["stop"].iloc[-1]
-        done = parts.iloc[:-1] if stay_open else parts
-        if stay_open:
-            s, e, k = (int(parts[c].iloc[-1]) for c in ("start_us", "last_us", "n_events"))
-            timer = (e + self.gap) // 1000 + 1
-            self.handle.registerTimer(timer)
-            self.open.update((s, e, k, timer))
-        elif self.open.exists():
-            self.open.clear()
-        if len(done):
-            yield pd.DataFrame({
-                "conversation_id": key[0],
-                "user_id": key[1],
-                "start_us": done["start_us"].astype("int64").to_numpy(),
-                "last_us": done["last_us"].astype("int64").to_numpy(),
-                "n_events": done["n_events"].astype("int64").to_numpy(),
-                "ended_by": np.where(done["stop"].astype(bool), "stop", "idle"),
-            })
+        begins = new | np.concatenate([[False], (np.diff(times) > self.gap) | stops[:-1]])
+        at = np.flatnonzero(begins)
+        stop = np.logical_or.reduceat(stops, at)
+        bursts = pd.DataFrame({
+            **dict(zip(KEY, keys[at].T)), "start_us": np.minimum.reduceat(start, at), "last_us": np.maximum.reduceat(times, at),
+            "n_events": np.add.reduceat(n, at), "ended_by": np.where(stop, "stop", "idle"),
+        })
+        newest = np.concatenate([group[at][1:] != group[at][:-1], [True]])
+        stay_open = newest & ~stop
+        self._hold(timer, bursts[stay_open])
+        if not stay_open.all():
+            yield bursts[~stay_open]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.open.exists():
-            return
-        start, last, n, timer = self.open.get()
-        if expiredTimerInfo.getExpiryTimeInMs() != timer:
+        timer, held = self._held()
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        if expired != timer:
             return
-        self.open.clear()
-        yield pd.DataFrame(
-            [(key[0], key[1], start, last, n, "idle")],
-            columns=["conversation_id", "user_id", "start_us", "last_us", "n_events", "ended_by"],
-        )
+        due = self._due(held["last_us"].to_numpy())
+        over = (due <= expired) | (due < timerValues.getCurrentWatermarkInMs())
+        self._hold(timer, held[~over])
+        yield held[over].assign(ended_by="idle")
 
     def close(self) -> None:
         pass
 
 
 def typing_sessions(
-    events: DataFrame, gap_seconds: float = 1, delay: str = "10 minutes"
+    events: DataFrame, gap_seconds: float = 1, delay: str = "10 minutes", buckets: int = BUCKETS
 ) -> DataFrame:
     """Finished typing bursts of an (id, conversation_id, user_id, ts, is_stop) stream.
 
     A burst ends at a stop event or after `gap_seconds` without an event. A burst is
     emitted once it is known to be over: at its stop, at the next event beyond the gap,
-    or when the watermark passes the gap.
+    or when the watermark passes the gap. `buckets` stays the same over a job's life.
     """
+    ids = ["conversation_id", "user_id"]
+    missing = F.col("conversation_id").isNull().cast("int") + F.col("user_id").isNull().cast("int") * 2
     keyed = (
         events.withColumn("event_time", F.col("ts").cast("timestamp_ltz"))
         .withWatermark("event_time", delay)
-        .select("id", "conversation_id", "user_id", "is_stop", "event_time", epoch_micros(F.col("ts")).alias("at_us"))
+        .select(
+            F.pmod(F.xxhash64(*ids), F.lit(buckets)).cast("int").alias("bucket"), "id", missing.alias("nulls"),
+            # zeros rather than nulls, which would turn whole numbers into floats on the way
+            *(F.coalesce(c, F.lit(0)).alias(c) for c in ids), F.coalesce("is_stop", F.lit(False)).alias("is_stop"),
+            "event_time", epoch_micros(F.col("ts")).alias("at_us"),
+        )
     )
-    bursts = keyed.groupBy("conversation_id", "user_id").transformWithStateInPandas(
+    bursts = keyed.groupBy("bucket").transformWithStateInPandas(
         TypingSessions(int(gap_seconds * 1_000_000)), SESSION, "Append", "EventTime"
     )
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     return bursts.select(
-        "conversation_id", "user_id",
+        *(F.when(F.col("nulls").bitwiseAND(bit) == 0, F.col(c)).alias(c) for bit, c in zip((1, 2), ids)),
         F.timestamp_add("MICROSECOND", F.col("start_us"), epoch).alias("started_at"),
         F.timestamp_add("MICROSECOND", F.col("last_us"), epoch).alias("last_event_at"),
         "n_events", "ended_by",
