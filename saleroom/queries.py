@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleroom.functions import text
+from saleroom.functions.ids import pinned
 from saleroom.operators import auctions, listings, messaging, notify, quality, sales, search, users
 from saleroom.plans import changes, closing, conversations, stored, trade
 from saleroom.session import scratch_path
@@ -1387,7 +1388,8 @@ _FLOOR = """
 def _floor(m: Marketplace) -> DataFrame:
     arrivals = m["v_arrivals"]
     deliveries = [arrivals.where(F.col("delivery") == k).drop("delivery") for k in range(3)]
-    return replay_deliveries(deliveries, lambda bids: live.auction_events(bids, m["v_snipe"], keep_hours=24 * 60), "floor")
+    known = pinned(m["v_snipe"])  # every delivery starts the job anew
+    return replay_deliveries(deliveries, lambda bids: live.auction_events(bids, known, keep_hours=24 * 60), "floor")
 
 
 @query("stream_auction_floor", _FLOOR)

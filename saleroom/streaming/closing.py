@@ -28,6 +28,37 @@ KEEP_CLOSED_HOURS = 24
 COLUMNS = ["kind", "auction_id", "end_us", "extensions", "user_id", "bid_amount", "bid_id", "reason"]
 
 
+def _whole(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers, zero where null, and where they are null."""
+    values = column.to_numpy()
+    if values.dtype.kind != "f":
+        return values.astype(np.int64, copy=False), np.zeros(len(values), bool)
+    null = np.isnan(values)
+    return np.where(null, 0, values).astype(np.int64), null
+
+
+def opening(batch: pd.DataFrame) -> int | None:
+    """The end that the first opening of a batch names."""
+    at = np.flatnonzero(batch["event"].to_numpy() == "open")
+    if not len(at):
+        return None
+    return int(batch["end_us"].to_numpy()[at[np.argmin(batch["at_us"].to_numpy()[at])]])
+
+
+class Bids:
+    """The bids of a batch in (created_at, id) order, as arrays."""
+
+    def __init__(self, batch: pd.DataFrame, since_us: int | None = None) -> None:
+        times, ids = batch["at_us"].to_numpy(np.int64), batch["id"].to_numpy(np.int64)
+        order = np.lexsort((ids, times))
+        order = order[batch["event"].to_numpy()[order] == "bid"]
+        if since_us is not None:
+            order = order[times[order] >= since_us]
+        self.times, self.ids = times[order], ids[order]
+        self.users, self.nobody = (part[order] for part in _whole(batch["user_id"]))
+        self.amounts, self.no_amount = (part[order] for part in _whole(batch["bid_amount"]))
+
+
 class AuctionCloser(StatefulProcessor):
     """Per auction: its current end, the top bid so far, whether it is closed."""
 

@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from saleroom.functions.ids import pinned
 from saleroom.functions.time import epoch_micros
 from saleroom.operators.auctions import EXTENSION_SECONDS, EXTENSION_WINDOW_SECONDS
-from saleroom.streaming.closing import KEEP_CLOSED_HOURS, bid_stream
+from saleroom.streaming.closing import KEEP_CLOSED_HOURS, Bids, bid_stream, opening
 from saleroom.streaming.fanout import fan_out
 
 STATE = "end_us BIGINT, amount INT, bid_id BIGINT, user_id BIGINT, closed BOOLEAN"
@@ -51,34 +51,44 @@ class AuctionFloor(StatefulProcessor):
         self.handle.registerTimer(-(-end_us // 1000))
 
     @staticmethod
-    def _shown(rows: dict[str, object]) -> pd.DataFrame:
-        shown = pd.DataFrame({c: rows.get(c) for c in COLUMNS}, columns=COLUMNS)
-        whole = {"user_id": "Int64", "bid_id": "Int64", "bid_amount": "Int32", "end_us": "Int64", "at_us": "Int64"}
-        return shown.astype(whole)
-
-    def _events(self, name: str, auction: int, bids: pd.DataFrame, **values: object) -> pd.DataFrame:
-        n = len(bids)
-        return self._shown({
-            "event_name": [name] * n, "auction_id": [auction] * n, "user_id": bids["user_id"].to_numpy(), "bid_id": bids["id"].to_numpy(),
-            "bid_amount": bids["bid_amount"].to_numpy(), "end_us": pd.array([None] * n, "Int64"), "at_us": bids["at_us"].to_numpy(), "reason": [None] * n,
-        } | values)
+    def _shown(auction: int, names: list[str] | np.ndarray, reason: object, **values: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        """Events as one table; each value comes with its mask of nulls."""
+        return pd.DataFrame({
+            "event_name": names, "auction_id": auction, **{c: pd.arrays.IntegerArray(*v) for c, v in values.items()}, "reason": reason,
+        }, columns=COLUMNS, copy=False)
+
+    def _events(self, auction: int, bids: Bids, found: list[tuple]) -> pd.DataFrame:
+        """One table of all events: each found as (name, places of its bids, users, ends, reason)."""
+        counts = [len(at) for _, at, *_ in found]
+        at = np.concatenate([at for _, at, *_ in found])
+        users = [bids.users[at] if of is None else of for _, at, of, *_ in found]
+        ends = [np.zeros(n, np.int64) if end is None else end for n, (*_, end, _) in zip(counts, found)]
+        none = np.zeros(len(at), bool)
+        return self._shown(
+            auction, np.repeat(np.array([name for name, *_ in found], object), counts),
+            np.concatenate([np.broadcast_to(np.asarray(why, object), n) for n, (*_, why) in zip(counts, found)]),
+            user_id=(np.concatenate(users), np.concatenate([bids.nobody[at] if of is None else np.zeros(len(at), bool) for _, at, of, *_ in found])),
+            bid_id=(bids.ids[at], none), bid_amount=(bids.amounts[at].astype(np.int32), bids.no_amount[at]),
+            end_us=(np.concatenate(ends), np.repeat([end is None for *_, end, _ in found], counts)), at_us=(bids.times[at], none),
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_us", "id"], kind="stable", ignore_index=True)
-        opened = batch[batch["event"] == "open"]
-        if len(opened) and not self.auction.exists():  # counts for its whole micro-batch
-            self._open(int(opened["end_us"].iloc[0]))
-        bids = batch[batch["event"] == "bid"].reset_index(drop=True)
-        if bids.empty:
+        # plain arrays, one state read and one table of events: a call is made for every auction
+        batch = pd.concat(list(rows))
+        opened = opening(batch)
+        state = self.auction.get()
+        if opened is not None and state is None:  # counts for its whole micro-batch
+            self._open(opened)
+            state = (opened, None, None, None, False)
+        bids = Bids(batch)
+        every = np.arange(len(bids.ids))
+        if not len(every):
             return
-        if not self.auction.exists():
-            yield self._events("bid-rejected", key[0], bids, reason=["unknown auction"] * len(bids))
+        if state is None or state[4]:
+            yield self._events(key[0], bids, [("bid-rejected", every, None, None, "unknown auction" if state is None else "after the end")])
             return
-        end_us, amount, bid_id, user_id, closed = self.auction.get()
-        if closed:
-            yield self._events("bid-rejected", key[0], bids, reason=["after the end"] * len(bids))
-            return
-        times, amounts = bids["at_us"].to_numpy(np.int64), bids["bid_amount"].to_numpy(np.int64)
+        end_us, amount, bid_id, user_id, _ = state
+        times, amounts = bids.times, np.where(bids.no_amount, np.iinfo(np.int64).min, bids.amounts)
         floor = np.iinfo(np.int64).min if amount is None else amount
         before = np.maximum.accumulate(np.concatenate([[floor], amounts]))[:-1]
         rises = np.flatnonzero(amounts > before)
@@ -93,30 +103,33 @@ class AuctionFloor(StatefulProcessor):
                 at += 1
         in_time = times < end_us
         placed = rises[in_time[rises]]
-        refused = np.setdiff1d(np.arange(len(bids)), placed)
+        is_placed = np.zeros(len(every), bool)
+        is_placed[placed] = True
+        refused = every[~is_placed]
+        found = []
         if len(refused):
-            why = np.where(in_time[refused], NOT_HIGHER, "after the end").tolist()
-            yield self._events("bid-rejected", key[0], bids.iloc[refused], reason=why)
-        if not len(placed):
-            return
-        taken = bids.iloc[placed]
-        yield self._events("bid-placed", key[0], taken)
-        users = taken["user_id"].to_numpy(np.int64)
-        held = pd.array([user_id, *users[:-1].tolist()], "Int64")  # who held the auction before each placed bid
-        lost = np.flatnonzero((~held.isna()) & (held != users).fillna(False))
-        if len(lost):
-            yield self._events("user-outbid", key[0], taken.iloc[lost], user_id=held[lost])
-        if moved:
-            yield self._events("auction-extended", key[0], bids.iloc[moved], end_us=pd.array(ends, "Int64"))
-            self.handle.deleteTimer(-(-first_end // 1000))
-            self.handle.registerTimer(-(-end_us // 1000))
-        last = taken.iloc[-1]
-        self.auction.update((end_us, int(last["bid_amount"]), int(last["id"]), int(last["user_id"]), False))
+            found.append(("bid-rejected", refused, None, None, np.where(in_time[refused], NOT_HIGHER, "after the end").astype(object)))
+        if len(placed):
+            found.append(("bid-placed", placed, None, None, None))
+            # who held the auction before each placed bid
+            users, held = bids.users[placed], np.concatenate([[0 if user_id is None else user_id], bids.users[placed[:-1]]])
+            lost = held != users
+            lost[0] &= user_id is not None
+            if lost.any():
+                found.append(("user-outbid", placed[lost], held[lost], None, None))
+            if moved:
+                found.append(("auction-extended", np.array(moved), None, np.array(ends, np.int64), None))
+                self.handle.deleteTimer(-(-first_end // 1000))
+                self.handle.registerTimer(-(-end_us // 1000))
+            last = placed[-1]
+            self.auction.update((end_us, int(amounts[last]), int(bids.ids[last]), int(bids.users[last]), False))
+        yield self._events(key[0], bids, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.auction.exists():
+        state = self.auction.get()
+        if state is None:
             return
-        end_us, amount, bid_id, user_id, closed = self.auction.get()
+        end_us, amount, bid_id, user_id, closed = state
         if closed:  # remembered long enough
             self.auction.clear()
             return
@@ -126,10 +139,11 @@ class AuctionFloor(StatefulProcessor):
         self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.keep_ms)
         names = ["auction-ended"] + ["user-won"] * (user_id is not None)
         n = len(names)
-        yield self._shown({
-            "event_name": names, "auction_id": [key[0]] * n, "user_id": pd.array([user_id] * n, "Int64"), "bid_id": pd.array([bid_id] * n, "Int64"),
-            "bid_amount": pd.array([amount] * n, "Int32"), "end_us": [end_us] * n, "at_us": [end_us] * n, "reason": ["expired"] * n,
-        })
+        some = {c: (np.full(n, v or 0, kind), np.full(n, v is None)) for c, v, kind in (
+            ("user_id", user_id, np.int64), ("bid_id", bid_id, np.int64), ("bid_amount", amount, np.int32),
+            ("end_us", end_us, np.int64), ("at_us", end_us, np.int64),
+        )}
+        yield self._shown(key[0], names, "expired", **some)
 
     def close(self) -> None:
         pass
