@@ -90,29 +90,30 @@ class AuctionCloser(StatefulProcessor):
         self.handle.registerTimer(now_ms + self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_us", "id"], kind="stable")
-        opened = batch[batch["event"] == "open"]
+        # plain arrays, one state read and one table of rows: a call is made for every auction
+        batch = pd.concat(list(rows))
+        opened = opening(batch)
+        state = self.auction.get()
         # an opening counts for its whole micro-batch; a second one changes nothing
-        if len(opened) and not self.auction.exists():
-            self._open(int(opened["end_us"].iloc[0]))
-        ended = batch[batch["event"] == "cancel"]
-        bids = batch[batch["event"] == "bid"]
-        if len(ended):  # bids before the cancellation no longer matter, those after it are late
-            if self.auction.exists() and not self.auction.get()[6]:
-                state = self.auction.get()
-                self.handle.deleteTimer(-(-state[0] // 1000))
-                self._shut(state, max(int(ended["at_us"].iloc[0]) // 1000, timerValues.getCurrentWatermarkInMs()))
-            bids = bids[bids["at_us"] >= ended["at_us"].iloc[0]]
-        if bids.empty:
+        if opened is not None and state is None:
+            self._open(opened)
+            state = (opened, 0, None, None, None, None, False)
+        cancelled = batch["at_us"].to_numpy()[batch["event"].to_numpy() == "cancel"]
+        gone_us = int(cancelled.min()) if len(cancelled) else None
+        if gone_us is not None and state is not None and not state[6]:
+            self.handle.deleteTimer(-(-state[0] // 1000))
+            self._shut(state, max(gone_us // 1000, timerValues.getCurrentWatermarkInMs()))
+            state = (*state[:6], True)
+        # bids before the cancellation no longer matter, those after it are late
+        bids = Bids(batch, gone_us)
+        every = np.arange(len(bids.ids))
+        if not len(every):
             return
-        if not self.auction.exists():
-            yield self._dead(key[0], bids, "unknown auction")
+        if state is None or state[6]:
+            yield self._dead(key[0], bids, every, "unknown auction" if state is None else "after the end")
             return
-        end_us, extensions, amount, at_us, bid_id, user_id, closed = self.auction.get()
-        if closed:
-            yield self._dead(key[0], bids, "after the end")
-            return
-        times = bids["at_us"].to_numpy(dtype=np.int64)
+        end_us, extensions, amount, at_us, bid_id, user_id, _ = state
+        times = bids.times
         first_end = end_us
         while True:  # one turn per extension, not per bid
             hit = int(np.searchsorted(times, end_us - self.window, side="left"))
@@ -124,43 +125,44 @@ class AuctionCloser(StatefulProcessor):
             self.handle.deleteTimer(-(-first_end // 1000))
             self._arm(end_us)
         # a bid counts while its auction runs: before the end it moved to
-        in_time = times < end_us
-        valid, late = bids[in_time], bids[~in_time]
-        if not valid.empty:
-            best = valid.sort_values(
-                ["bid_amount", "at_us", "id"], ascending=[False, True, True], kind="stable"
-            ).iloc[0]
-            rank = (-int(best["bid_amount"]), int(best["at_us"]), int(best["id"]))
+        n = int(np.searchsorted(times, end_us, side="left"))
+        if n:
+            best = int(np.argmax(bids.amounts[:n]))  # the first of the highest
+            rank = (-int(bids.amounts[best]), int(times[best]), int(bids.ids[best]))
             if amount is None or rank < (-amount, at_us, bid_id):
-                amount, at_us, bid_id = int(best["bid_amount"]), rank[1], rank[2]
-                user_id = int(best["user_id"])
+                amount, at_us, bid_id = -rank[0], rank[1], rank[2]
+                user_id = int(bids.users[best])
         self.auction.update((end_us, extensions, amount, at_us, bid_id, user_id, False))
-        if not late.empty:
-            yield self._dead(key[0], late, "after the end")
+        if n < len(every):
+            yield self._dead(key[0], bids, every[n:], "after the end")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.auction.exists():
+        state = self.auction.get()
+        if state is None:
             return
-        state = end_us, extensions, amount, at_us, bid_id, user_id, closed = self.auction.get()
+        end_us, extensions, amount, at_us, bid_id, user_id, closed = state
         if closed:
             self.auction.clear()
             return
         if expiredTimerInfo.getExpiryTimeInMs() < -(-end_us // 1000):
             return
         self._shut(state, expiredTimerInfo.getExpiryTimeInMs())
-        yield pd.DataFrame(
-            [("result", key[0], end_us, extensions, user_id, amount, bid_id, "expired")], columns=COLUMNS
-        ).astype({"user_id": "Int64", "bid_amount": "Int32", "bid_id": "Int64"})
+        one = {c: pd.arrays.IntegerArray(np.array([v or 0], kind), np.array([v is None])) for c, v, kind in (
+            ("user_id", user_id, np.int64), ("bid_amount", amount, np.int32), ("bid_id", bid_id, np.int64),
+        )}
+        yield pd.DataFrame({
+            "kind": ["result"], "auction_id": key[0], "end_us": end_us, "extensions": extensions, **one, "reason": "expired",
+        }, columns=COLUMNS)
 
     @staticmethod
-    def _dead(auction_id: int, bids: pd.DataFrame, reason: str) -> pd.DataFrame:
+    def _dead(auction_id: int, bids: Bids, at: np.ndarray, reason: str) -> pd.DataFrame:
+        none = pd.arrays.IntegerArray(np.zeros(len(at), np.int64), np.ones(len(at), bool))
         return pd.DataFrame({
-            "kind": "dead-letter", "auction_id": auction_id,
-            "end_us": pd.array([None] * len(bids), "Int64"),
-            "extensions": pd.array([None] * len(bids), "Int64"),
-            "user_id": bids["user_id"].to_numpy(), "bid_amount": bids["bid_amount"].to_numpy(),
-            "bid_id": bids["id"].to_numpy(), "reason": reason,
-        })[COLUMNS]
+            "kind": "dead-letter", "auction_id": auction_id, "end_us": none, "extensions": none,
+            "user_id": pd.arrays.IntegerArray(bids.users[at], bids.nobody[at]),
+            "bid_amount": pd.arrays.IntegerArray(bids.amounts[at].astype(np.int32), bids.no_amount[at]),
+            "bid_id": bids.ids[at], "reason": reason,
+        }, columns=COLUMNS)
 
     def close(self) -> None:
         pass
