@@ -21,7 +21,8 @@ The work goes by partitions of whole documents, in three rounds of one question:
 (leaves; words in places, and lines; templates) occur in `least` or more documents? A
 partition reports at most `least` documents of a key, which is all that the decision needs, and
 keys are dealt out by their hash. So neither a line in a third of all documents nor a leaf
-with a third of all lines meets in one task.
+with a third of all lines meets in one task. The first round reads whole texts; the others read
+the looked-into lines alone, which are taken out once, and the last step cuts by their spans.
 
 A null text stays null and has no lines. Lines without a word are kept. A document whose lines
 all go has an empty text. Rows with a null id come first. Repeated rows are edited alike.
@@ -72,12 +73,12 @@ class Lines:
     words: np.ndarray
     leaf: np.ndarray
     tail: np.ndarray
-    key: np.ndarray
 
     @staticmethod
     def of(rows: pa.Table) -> Lines:
+        """The lines of rows that are whole texts, or looked-into lines with the digests of their texts."""
         rows = rows.combine_chunks()
-        found = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64)]
+        found = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64)]
         texts: list[bytes | None] = []
         for piece in pieces(rows.select(["text"])):
             at_text = len(texts)
@@ -98,8 +99,6 @@ class Lines:
             if len(used):  # in a line of mostly fields, what stands in them is all there is
                 fields = np.add.reduceat(field.astype(np.int64), first)
                 h[field & np.repeat(fields <= (1 - FIXED) * size, size)] = _FIELD
-            place = np.arange(len(h)) - np.repeat(first, size)
-            key = np.add.reduceat(h * powers(np.uint64(0xD6E8FEB86659FD93), int(size.max()))[place], first) if len(used) else np.zeros(0, np.uint64)
             leaf, tail = size.astype(np.uint64), ~size.astype(np.uint64)
             for k in range(DEPTH if len(used) else 0):
                 word = np.where(size > k, h[np.minimum(first + k, len(h) - 1)], np.uint64(0))
@@ -107,14 +106,29 @@ class Lines:
                 word = np.where(size > k, h[np.maximum(first + size - 1 - k, 0)], np.uint64(0))
                 tail = mixed(tail * np.uint64(31) + word)
             base = sum(len(x) for x in found[4])
-            for k, x in enumerate((owner + at_text, begin - at[owner], ends - at[owner], first + base, h, leaf, tail, mixed(key))):
+            for k, x in enumerate((owner + at_text, begin - at[owner], ends - at[owner], first + base, h, leaf, tail)):
                 found[k].append(x)
-        owner, begin, end, first, words, leaf, tail, key = (np.concatenate(x) for x in found)
+        owner, begin, end, first, words, leaf, tail = (np.concatenate(x) for x in found)
         ids = rows.column("doc_id").fill_null(_LOW).to_numpy()
-        digests = np.array(
+        digests = rows.column("digest").to_numpy() if "digest" in rows.column_names else np.array(
             [int.from_bytes(hashlib.blake2b(t or b"", digest_size=8).digest(), "big", signed=True) for t in texts], np.int64
         )
-        return Lines(ids, digests, texts, owner, begin, end, np.append(first, len(words)), words, leaf, tail, key)
+        return Lines(ids, digests, texts, owner, begin, end, np.append(first, len(words)), words, leaf, tail)
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both leaves of every line, with the line's document."""
+        return np.concatenate([self.leaf, self.tail]), np.tile(self.owner, 2)
+
+    def of_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The line of every word, and its place there."""
+        size = np.diff(self.first)
+        return np.repeat(np.arange(len(size)), size), np.arange(len(self.words)) - np.repeat(self.first[:-1], size)
+
+    def keys(self) -> np.ndarray:
+        """A hash of each line's words in their order."""
+        _, place = self.of_words()
+        up = powers(np.uint64(0xD6E8FEB86659FD93), int(np.diff(self.first).max(initial=1)))
+        return mixed(np.add.reduceat(self.words * up[place], self.first[:-1])) if len(self.owner) else np.zeros(0, np.uint64)
 
 
 def settled(rows: pa.Table) -> pa.Table:
@@ -141,62 +155,88 @@ COMMON = "part bigint, round int, near binary, far binary, firsts binary"
 _COMMON = pa.schema([("part", pa.int64()), ("round", pa.int32()), ("near", pa.binary()), ("far", pa.binary()), ("firsts", pa.binary())])
 
 
-class Known:
-    """What a partition asked about and learned so far: its keys of each round, and which are common."""
-
-    def __init__(self, own: Lines, replies: pa.Table | None, upto: int) -> None:
-        self.own = own
-        self.keys: list[np.ndarray] = []
-        self.common: list[np.ndarray] = []
-        self.firsts: list[np.ndarray] = []
-        rows = replies.to_pylist() if replies is not None else []
-        for k in range(upto):
-            keys = (self.leaves, self.places, self.templates)[k]()[0]
-            mine = [r for r in rows if r["round"] == k]
-            at = np.concatenate([np.zeros(0, np.int64)] + [unpacked_places(r["near"], r["far"]) for r in mine])
-            first = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(r["firsts"], np.int64) for r in mine])
-            found, once = np.unique(keys[at], return_index=True)
-            slot = np.minimum(np.searchsorted(found, keys), max(0, len(found) - 1))
-            hit = found[slot] == keys if len(found) else np.zeros(len(keys), bool)
-            self.keys.append(keys)
-            self.common.append(hit)
-            self.firsts.append(np.where(hit, first[once][slot], 0) if len(found) else np.zeros(len(keys), np.int64))
+def _answers(keys: np.ndarray, replies: pa.Table | None, round_: int) -> tuple[np.ndarray, np.ndarray]:
+    """(is each key common?, the first document of those that are): the replies name one place of each common key."""
+    mine = [r for r in replies.to_pylist() if r["round"] == round_] if replies is not None else []
+    at = np.concatenate([np.zeros(0, np.int64)] + [unpacked_places(r["near"], r["far"]) for r in mine])
+    first = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(r["firsts"], np.int64) for r in mine])
+    found, once = np.unique(keys[at], return_index=True)
+    if not len(found):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    slot = np.minimum(np.searchsorted(found, keys), len(found) - 1)
+    hit = found[slot] == keys
+    return hit, np.where(hit, first[once][slot], 0)
+
+
+OPENED = "part bigint, row bigint, doc_id bigint, digest bigint, text string, lead binary, begins binary"
+_OPENED = pa.schema([
+    ("part", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()),
+    ("text", pa.string()), ("lead", pa.binary()), ("begins", pa.binary()),
+])
+
+
+def _open(rows: pa.Table, replies: pa.Table) -> pa.Table:
+    """The looked-into lines of each text that has some, one after another, with the text's place in the partition.
+
+    A line is looked into by its leading leaf if that is common (`lead`), else by the trailing one.
+    """
+    if not rows.num_rows:
+        return _OPENED.empty_table()
+    own = Lines.of(settled(rows))
+    common, _ = _answers(own.leaves()[0], replies, 0)
+    lead, trail = np.split(common, 2)
+    at = np.flatnonzero(lead | trail)
+    owner, begin, end = own.owner[at], own.begin[at], own.end[at]
+    cuts = np.flatnonzero(np.diff(owner, prepend=-1)).tolist() + [len(at)]
+    spans = list(zip(cuts, cuts[1:]))
+    texts = owner[cuts[:-1]]
+    joined = [b"".join(own.texts[owner[a]][x:y] for x, y in zip(begin[a:b], end[a:b])).decode() for a, b in spans]
+    columns = (
+        np.full(len(spans), rows.column("part")[0].as_py()), texts, own.ids[texts], own.digests[texts], joined,
+        [lead[at[a:b]].tobytes() for a, b in spans], [begin[a:b].tobytes() for a, b in spans],
+    )
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _OPENED.types)], schema=_OPENED)
 
-    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Both leaves of every line, with the line's document."""
-        return np.concatenate([self.own.leaf, self.own.tail]), np.tile(self.own.owner, 2)
 
-    def _looked(self) -> tuple[np.ndarray, np.ndarray]:
-        """(leaf of each line, is it looked into?): the leading leaf if it is common, else the trailing one."""
-        n = len(self.own.leaf)
-        lead, trail = self.common[0][:n], self.common[0][n:]
-        return np.where(lead, self.own.leaf, self.own.tail), lead | trail
+class Known:
+    """What a partition's looked-into lines asked about and learned in the rounds after the first."""
+
+    def __init__(self, opened: pa.Table, replies: pa.Table | None, upto: int) -> None:
+        opened = opened.sort_by("row")
+        self.own = Lines.of(opened)
+        self.rows = opened.column("row").to_numpy()
+        lead, self.begins = (np.frombuffer(b"".join(opened.column(c).to_pylist()), t) for c, t in (("lead", bool), ("begins", np.int64)))
+        self.leaf = np.where(lead, self.own.leaf, self.own.tail)
+        self.asked: dict[int, np.ndarray] = {}
+        self.common: dict[int, np.ndarray] = {}
+        self.firsts: dict[int, np.ndarray] = {}
+        for k in range(1, upto):
+            self.asked[k] = self.keys(k)[0]
+            self.common[k], self.firsts[k] = _answers(self.asked[k], replies, k)
+
+    def keys(self, round_: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.places() if round_ == 1 else self.templates()
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """The words of looked-into lines with their places and leaf, and those lines as they are; others are zero."""
+        """The words of the lines with their places and leaf, and the lines as they are."""
         own = self.own
-        leaf, looked = self._looked()
-        size = np.diff(own.first)
-        line = np.repeat(np.arange(len(size)), size)
-        place = (np.arange(len(own.words)) - np.repeat(own.first[:-1], size)).astype(np.uint64)
-        word = mixed(leaf[line] * np.uint64(0xD6E8FEB86659FD93) + mixed(own.words + place * np.uint64(0x9E3779B97F4A7C15)))
-        return np.concatenate([np.where(looked[line], word, 0), np.where(looked, own.key, 0)]), np.concatenate([own.owner[line], own.owner])
+        line, place = own.of_words()
+        word = mixed(self.leaf[line] * np.uint64(0xD6E8FEB86659FD93) + mixed(own.words + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        return np.concatenate([word, own.keys()]), np.concatenate([own.owner[line], own.owner])
 
     def templates(self) -> tuple[np.ndarray, np.ndarray]:
         """The fixed words of each line not common as it is, whole and less one of them; zero where they are too few."""
         own, words = self.own, len(self.own.words)
         size = np.diff(own.first)
-        line = np.repeat(np.arange(len(size)), size)
+        line, _ = own.of_words()
         fixed, settled = self.common[1][:words], self.common[1][words:]
-        token = np.where(fixed, mixed(self.keys[1][:words] + np.uint64(1)), np.uint64(0))
+        token = np.where(fixed, mixed(self.asked[1][:words] + np.uint64(1)), np.uint64(0))
         total = np.add.reduceat(token, own.first[:-1]) if len(size) else np.zeros(0, np.uint64)
         n = np.bincount(line[fixed], minlength=len(size))
-        leaf, looked = self._looked()
-        open_ = looked & ~settled
         enough = np.maximum(FIXED * size, DEPTH + BEYOND)
-        whole = np.where(open_ & (n >= enough), mixed(leaf ^ total), np.uint64(0))
-        less = fixed & open_[line] & (n[line] - 1 >= enough[line])
-        one_less = np.where(less, mixed((leaf[line] ^ (total[line] - token)) + np.uint64(7)), np.uint64(0))
+        whole = np.where(~settled & (n >= enough), mixed(self.leaf ^ total), np.uint64(0))
+        less = fixed & ~settled[line] & (n[line] - 1 >= enough[line])
+        one_less = np.where(less, mixed((self.leaf[line] ^ (total[line] - token)) + np.uint64(7)), np.uint64(0))
         return np.concatenate([whole, one_less]), np.concatenate([own.owner, own.owner[line]])
 
     def dropped(self) -> np.ndarray:
@@ -204,38 +244,50 @@ class Known:
         own, words = self.own, len(self.own.words)
         n = len(own.owner)
         ids = own.ids[own.owner]
-        size = np.diff(own.first)
+        line, _ = own.of_words()
         exact, whole = self.common[1][words:], self.common[2][:n]
         less = np.where(self.common[2][n:], self.firsts[2][n:], np.iinfo(np.int64).max)
         least = np.minimum.reduceat(less, own.first[:-1]) if n else np.zeros(0, np.int64)
-        some = (np.bincount(np.repeat(np.arange(n), size)[self.common[2][n:]], minlength=n) > 0) if n else exact
+        some = np.bincount(line[self.common[2][n:]], minlength=n) > 0
         first = np.where(exact, self.firsts[1][words:], np.where(whole, self.firsts[2][:n], least))
         return (exact | whole | some) & (first != ids)
 
 
 def _send(round_: int, buckets: int, least: int) -> Callable[..., pa.Table]:
-    """A partition's keys of a round, each with at most `least` of its documents and the first of all of them."""
+    """A partition's keys of a round, each with at most `least` of its documents and the first of all of them.
+
+    Whole texts with the replies of the first round are opened here.
+    """
 
     def run(rows: pa.Table, replies: pa.Table | None = None) -> pa.Table:
         if not rows.num_rows:
             return sent_table([])
         number = rows.column("part")[0].as_py()
-        known = Known(Lines.of(settled(rows)), replies, round_)
-        keys, owner = (known.leaves, known.places, known.templates)[round_]()
+        if round_ == 0:
+            own = Lines.of(settled(rows))
+            keys, owner = own.leaves()
+        else:
+            known = Known(rows if "lead" in rows.column_names else _open(rows, replies), replies, round_)
+            own = known.own
+            keys, owner = known.keys(round_)
         asked = np.flatnonzero(keys)
         keys, owner = keys[asked], owner[asked]
         order, runs, sizes = first_seen(keys)
         first = np.empty(len(keys), np.int64)
         if len(keys):
-            first[order] = np.repeat(np.minimum.reduceat(known.own.ids[owner][order], runs), sizes)
-        pick = _some_of_each(keys, known.own.digests[owner], least)
-        key, digest, first, at = keys[pick], known.own.digests[owner[pick]], first[pick], asked[pick]
+            first[order] = np.repeat(np.minimum.reduceat(own.ids[owner][order], runs), sizes)
+        pick = _some_of_each(keys, own.digests[owner], least)
+        key, digest, first, at = keys[pick], own.digests[owner[pick]], first[pick], asked[pick]
         return sent_table([
             (b, number, *packed_places(at[k]), key[k].tobytes(), digest[k].tobytes(), first[k].tobytes())
             for b, k in dealt_out(bucket_of(key, buckets))
         ])
 
-    return (lambda rows: run(rows)) if round_ == 0 else run
+    return run
+
+
+def _alone(step: Callable[..., pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    return lambda rows: step(rows)
 
 
 def _common(round_: int, least: int) -> Callable[[pa.Table], pa.Table]:
@@ -262,35 +314,54 @@ def _common(round_: int, least: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+GONE = "part bigint, row bigint, begins binary, ends binary"
+_GONE = pa.schema([("part", pa.int64()), ("row", pa.int64()), ("begins", pa.binary()), ("ends", pa.binary())])
+
+
+def _gone(opened: pa.Table, replies: pa.Table) -> pa.Table:
+    """Where the dropped lines stand in each text that loses some."""
+    if not opened.num_rows:
+        return _GONE.empty_table()
+    known = Known(opened, replies, 3)
+    own = known.own
+    at = np.flatnonzero(known.dropped())
+    row, begin = known.rows[own.owner[at]], known.begins[at]
+    end = begin + own.end[at] - own.begin[at]
+    cuts = np.flatnonzero(np.diff(row, prepend=-1)).tolist() + [len(at)]
+    spans = list(zip(cuts, cuts[1:]))
+    columns = (
+        np.full(len(spans), opened.column("part")[0].as_py()), row[cuts[:-1]],
+        [begin[a:b].tobytes() for a, b in spans], [end[a:b].tobytes() for a, b in spans],
+    )
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _GONE.types)], schema=_GONE)
+
+
 def _edit(schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, gone: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
         rows = settled(rows)
-        own = Lines.of(rows)
-        gone = Known(own, replies, 3).dropped()
-        dropped = np.bincount(own.owner[gone], minlength=len(own.texts))
-        cuts = np.searchsorted(own.owner, np.arange(len(own.texts) + 1))
-        texts = []
-        for k, text in enumerate(own.texts):
-            if dropped[k]:
-                left, last = [], 0
-                for i in range(cuts[k], cuts[k + 1]):
-                    if gone[i]:
-                        left.append(text[last : own.begin[i]])
-                        last = own.end[i]
-                left.append(text[last:])
-                text = b"".join(left)
+        cut = {r["row"]: [np.frombuffer(r[c], np.int64).tolist() for c in ("begins", "ends")] for r in gone.to_pylist()}
+        texts, n_lines, dropped = [], [], []
+        for k, text in enumerate(rows.column("text").to_pylist()):
+            begins, ends = cut.get(k, ((), ()))
+            # lines with a word; bytes know no white space but that between words
+            whole = (text or "").encode()
+            n_lines.append(sum(not not line.strip() for line in whole.split(b"\n")))
+            dropped.append(len(begins))
+            if begins:
+                edited = b"".join(whole[a:b] for a, b in zip([0, *ends], [*begins, len(whole)]))
                 # the last line of a text has no line feed of its own
-                if own.texts[k][-1:] != b"\n" and text[-1:] == b"\n":
-                    text = text[:-1]
-            texts.append(None if text is None else text.decode())
+                if whole[-1:] != b"\n" and edited[-1:] == b"\n":
+                    edited = edited[:-1]
+                text = edited.decode()
+            texts.append(text)
         # the other columns as they are, but all nullable as declared
         others = rows.column("row").combine_chunks()
         fields = list(schema.field("row").type)
         others = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(others.flatten(), fields)], fields=fields)
         return pa.Table.from_arrays(
-            [pa.array(texts, pa.string()), others, pa.array(np.diff(cuts), pa.int64()), pa.array(dropped, pa.int64())], schema=schema
+            [pa.array(texts, pa.string()), others, pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64())], schema=schema
         )
 
     return run
@@ -307,17 +378,20 @@ def without_templates(
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, chars // PART_CHARS)
     buckets = max(1, chars // 60 // BUCKET_LINES)
-    # the same exchange of the texts serves all rounds
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    replies = None
-    for k in range(3):
-        asked = dealt.groupBy("part")
-        sent = asked.applyInArrow(_send(k, buckets, least), SENT) if replies is None else asked.cogroup(replies.groupBy("part")).applyInArrow(_send(k, buckets, least), SENT)
-        found = sent.groupBy("bucket").applyInArrow(_common(k, least), COMMON)
-        replies = found if replies is None else replies.unionByName(found)
+
+    def common(round_: int, sent: DataFrame) -> DataFrame:
+        return sent.groupBy("bucket").applyInArrow(_common(round_, least), COMMON)
+
+    # the same exchange of the texts, and that of their looked-into lines, serve all steps
+    whole = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).groupBy("part")
+    leaves = common(0, whole.applyInArrow(_alone(_send(0, buckets, least)), SENT))
+    opened = whole.cogroup(leaves.groupBy("part")).applyInArrow(_open, OPENED).groupBy("part")
+    places = common(1, opened.applyInArrow(_alone(_send(1, buckets, least)), SENT))
+    templates = common(2, opened.cogroup(places.groupBy("part")).applyInArrow(_send(2, buckets, least), SENT))
+    gone = opened.cogroup(places.unionByName(templates).groupBy("part")).applyInArrow(_gone, GONE)
     out = f"text string, row {rows.schema['row'].dataType.simpleString()}, n_lines bigint, n_dropped bigint"
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], out).schema)
-    edited = dealt.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_edit(schema), out)
+    edited = whole.cogroup(gone.groupBy("part")).applyInArrow(_edit(schema), out)
     return edited.select(
         *(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns),
         *(("n_lines", "n_dropped") if counts else ()),
