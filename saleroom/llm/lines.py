@@ -10,7 +10,8 @@ holds makes no difference. A template is
 
 * a line as it is (fields aside), or else
 * the fixed words of a line with their places, if they are most of it and `BEYOND` of them
-  stand outside the leaf, or else
+  stand outside the leaf (in a line too short for that, all words but one, if as many stand
+  outside the leaf as in it), or else
 * the same less one of them: a field whose values are frequent in the leaf on their own.
 
 Lines of a template that occurs in `least` or more different documents are dropped, except in
@@ -233,7 +234,7 @@ class Known:
         token = np.where(fixed, mixed(self.asked[1][:words] + np.uint64(1)), np.uint64(0))
         total = np.add.reduceat(token, own.first[:-1]) if len(size) else np.zeros(0, np.uint64)
         n = np.bincount(line[fixed], minlength=len(size))
-        enough = np.maximum(FIXED * size, DEPTH + BEYOND)
+        enough = np.maximum(FIXED * size, np.minimum(DEPTH + BEYOND, np.maximum(size - 1, 2 * DEPTH)))
         whole = np.where(~settled & (n >= enough), mixed(self.leaf ^ total), np.uint64(0))
         less = fixed & ~settled[line] & (n[line] - 1 >= enough[line])
         one_less = np.where(less, mixed((self.leaf[line] ^ (total[line] - token)) + np.uint64(7)), np.uint64(0))
